@@ -147,3 +147,26 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(250) + F.col("l_quantity")).alias("tas"),
         (F.col("l_discount") / F.lit(864000.0)).alias("prate"),
     )
+
+
+def listing_with_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing plus one ``.nc.idx`` index sidecar per file (never matched)."""
+    base = listing(spark, sf_dir)
+    side = base.withColumn("path", F.concat(F.col("path"), F.lit(".idx")))
+    return base.unionByName(side)
+
+
+def descriptor(pattern: str = LISTING_PATTERN, parse_match=None, name: str = "tas"):
+    from gridcube.sources.listing import FileSetDescriptor
+    return FileSetDescriptor(name=name, dir="/data", pattern=pattern, parse_match=parse_match)
+
+
+def comparison_cube(spark: SparkSession, sf_dir: str, shift: bool = True) -> GridCube:
+    """The fixture cube as another service would return it: every tas off by
+    1e-9, the 1997-01-01 start off by 1, latitudes off by 1e-9 (``shift``)."""
+    c = standard_cube(spark, sf_dir)
+    bump = F.when(F.col("S") == F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1.0)).otherwise(F.lit(0.0))
+    cols = {"tas": F.col("tas") + F.lit(1e-9) + bump}
+    if shift:
+        cols["Y"] = F.col("Y") + F.lit(1e-9)
+    return c.replace(cells=c.cells.withColumns(cols))

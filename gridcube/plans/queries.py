@@ -56,3 +56,323 @@ FROM cube"""))
 def q_standardize(spark, sf_dir):
     cube = harmonized_cube(spark, sf_dir)
     return cube.with_coords(Axes.target).select("S", "M", "L", "Y", "X", "target", "tas", "prcp")
+
+
+# ------------------------------------------------------------------ listing (ops 1-8, 54)
+from gridcube.functions.calendar import encode_time  # noqa: E402
+from gridcube.plans.sql import LISTING_ABBREV, listing_views  # noqa: E402
+from gridcube.sources import listing as LS  # noqa: E402
+
+FIRST = "1997-01-01"
+
+
+def _parsed(spark, sf_dir, sidecars=False):
+    lst = FX.listing_with_sidecars(spark, sf_dir) if sidecars else FX.listing(spark, sf_dir)
+    return LS.parse_paths(lst, FX.descriptor())
+
+
+@query("list_files")
+def q_list_files(spark, sf_dir):
+    return LS.list_files(spark, sf_dir).select("path", "length")
+
+
+@query("parse_paths", with_views(
+    "SELECT path, t, m, p, l FROM parsed", **listing_views(with_sidecars=True)))
+def q_parse_paths(spark, sf_dir):
+    return _parsed(spark, sf_dir, sidecars=True).select("path", "t", "m", "p", "l")
+
+
+def lead_from_member(g):
+    """A catalogue-specific hook: the number in the file name is a lead, not a member."""
+    out = LS.default_parse_match({k: v for k, v in g.items() if k != "member"})
+    out["l"] = g["member"].cast("int") - 1
+    return out
+
+
+@query("parse_paths_custom", with_views(
+    "SELECT path, t, CAST(NULL AS INTEGER) AS m, p, m - 1 AS l FROM parsed", **listing_views()))
+def q_parse_paths_custom(spark, sf_dir):
+    d = FX.descriptor(parse_match=lead_from_member)
+    return LS.parse_paths(FX.listing(spark, sf_dir), d).select("path", "t", "m", "p", "l")
+
+
+@query("time_resolution", with_views(
+    "SELECT path, t, 'days' AS time_res, "
+    "CAST(date_diff('day', TIMESTAMP '1960-01-01', t) AS INTEGER) AS t_enc FROM parsed",
+    **listing_views()))
+def q_time_resolution(spark, sf_dir):
+    d = FX.descriptor()
+    res = d.time_res
+    return (LS.parse_paths(FX.listing(spark, sf_dir), d)
+            .select("path", "t", F.lit(res).alias("time_res"), encode_time(F.col("t"), res).alias("t_enc")))
+
+
+@query("month_abbrev", with_views("""
+SELECT path,
+       make_timestamp(CAST(regexp_extract(path, 'fc_(\\d{4})-([A-Za-z]{3})_m(\\d+)\\.nc$', 1) AS BIGINT),
+                      CAST(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'],
+                           lower(regexp_extract(path, 'fc_(\\d{4})-([A-Za-z]{3})_m(\\d+)\\.nc$', 2))) AS BIGINT),
+                      1, 0, 0, 0) AS t,
+       CAST(regexp_extract(path, 'fc_(\\d{4})-([A-Za-z]{3})_m(\\d+)\\.nc$', 3) AS INTEGER) AS m
+FROM listing_abbrev""", listing_abbrev=LISTING_ABBREV))
+def q_month_abbrev(spark, sf_dir):
+    d = FX.descriptor(pattern=FX.LISTING_PATTERN_ABBREV)
+    return LS.parse_paths(FX.listing(spark, sf_dir, month_names=True), d).select("path", "t", "m")
+
+
+@query("dedupe_paths", with_views("SELECT t, m, p, l, path FROM deduped", **listing_views(True)))
+def q_dedupe_paths(spark, sf_dir):
+    return LS.dedupe_paths(_parsed(spark, sf_dir, sidecars=True)).select("t", "m", "p", "l", "path")
+
+
+def pressure_from_member(g):
+    out = LS.default_parse_match(g)
+    out["p"] = F.lit(1000) - F.lit(250) * (out["m"] - 1)
+    return out
+
+
+@query("coord_index", with_views("""
+SELECT 'T' AS axis, CAST(row_number() OVER (ORDER BY t) - 1 AS INTEGER) AS pos, t,
+       CAST(NULL AS INTEGER) AS value FROM (SELECT DISTINCT t FROM parsed)
+UNION ALL
+SELECT 'M', CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER), NULL, m FROM (SELECT DISTINCT m FROM parsed)
+UNION ALL
+SELECT 'P', CAST(row_number() OVER (ORDER BY p DESC) - 1 AS INTEGER), NULL, p
+FROM (SELECT DISTINCT 1000 - 250 * (m - 1) AS p FROM parsed)""", **listing_views()))
+def q_coord_index(spark, sf_dir):
+    d = FX.descriptor(parse_match=pressure_from_member)
+    axes = LS.coord_index(LS.parse_paths(FX.listing(spark, sf_dir), d))
+    assert axes.L is None
+    null_i, null_t = F.lit(None).cast("int"), F.lit(None).cast("timestamp_ntz")
+    return (axes.T.select(F.lit("T").alias("axis"), "pos", F.col("T").alias("t"), null_i.alias("value"))
+            .unionByName(axes.M.select(F.lit("M").alias("axis"), "pos", null_t.alias("t"), F.col("M").alias("value")))
+            .unionByName(axes.P.select(F.lit("P").alias("axis"), "pos", null_t.alias("t"), F.col("P").alias("value"))))
+
+
+@query("list_times", with_views(
+    f"SELECT DISTINCT t FROM parsed WHERE t >= TIMESTAMP '{FIRST}'", **listing_views()))
+def q_list_times(spark, sf_dir):
+    return LS.list_times(_parsed(spark, sf_dir), first=FIRST)
+
+
+@query("path_lookup", with_views(
+    f"SELECT t, m, p, l, path FROM deduped WHERE t >= TIMESTAMP '{FIRST}'", **listing_views()))
+def q_path_lookup(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return LS.path_lookup(LS.dedupe_paths(parsed), LS.list_times(parsed, first=FIRST)) \
+        .select("t", "m", "p", "l", "path")
+
+
+# ------------------------------------------------------------------ schema (ops 16-25)
+from gridcube.model import Coord  # noqa: E402
+from gridcube.plans.sql import CONTENTS, CUBE_B, STORED_BEFORE, axis_sql  # noqa: E402
+from gridcube.sources import ingest as IG  # noqa: E402
+
+DIMS = ("S", "M", "L", "Y", "X")
+RAW_DIMS = ("IRIDL_time", "number", "step", "latitude", "longitude")
+
+
+@query("select_data_vars", with_views("SELECT S, M, L, Y, X, tas FROM cube"))
+def q_select_data_vars(spark, sf_dir):
+    return SC.select_data_vars(FX.standard_cube(spark, sf_dir), "tas").cells
+
+
+@query("drop_coords", with_views(
+    "SELECT S AS IRIDL_time, M AS number, L AS step, Y AS latitude, X AS longitude, tas FROM cube"))
+def q_drop_coords(spark, sf_dir):
+    return SC.drop_coords(FX.raw_cube(spark, sf_dir), ["prate"]).cells
+
+
+@query("set_aux_coords", with_views("SELECT DISTINCT Y, X, Y * 2 + X AS area FROM cube"))
+def q_set_aux_coords(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    c = c.replace(cells=c.cells.withColumn("area", F.col("Y") * 2 + F.col("X")),
+                  data_vars=(*c.data_vars, "area"))
+    c = SC.set_aux_coords(c, "area", {"area": ("Y", "X")})
+    assert "area" not in c.cells.columns
+    return c.coord_frame("area")
+
+
+@query("expand_coords", with_views(
+    "SELECT DISTINCT S AS IRIDL_time, L AS step, L * 30 AS lead_days_expanded FROM cube"))
+def q_expand_coords(spark, sf_dir):
+    c = FX.raw_cube(spark, sf_dir)
+    c = c.replace(coords={"lead_days": Coord(("step",), expr=F.col("step") * 30)})
+    c = SC.expand_coords(c, "lead_days", dim="IRIDL_time")
+    return c.coord_frame("lead_days_expanded")
+
+
+ASSIGNED = """
+SELECT d.path, d.t AS IRIDL_time, d.m AS number, c.step, c.latitude, c.longitude, c.tas, c.prate
+FROM deduped d JOIN parsed pa ON pa.path = d.path JOIN contents c ON c.o_orderkey = pa.o_orderkey"""
+_ASSIGNED_SQL = with_views("SELECT * FROM assigned", **listing_views(), contents=CONTENTS, assigned=ASSIGNED)
+
+
+def _assigned(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    files = LS.dedupe_paths(parsed).join(parsed.select("path", "o_orderkey"), "path")
+    return IG.assign_file_dims(FX.file_contents(spark, sf_dir), files, key="o_orderkey")
+
+
+@query("assign_file_dims", _ASSIGNED_SQL)
+def q_assign_file_dims(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("path", *RAW_DIMS[:3], "latitude", "longitude", "tas", "prate")
+
+
+@query("promote_time_dim", with_views("""
+SELECT d.path, d.t AS IRIDL_time, o.o_orderdate AS time, c.step, c.latitude, c.longitude, c.tas
+FROM deduped d JOIN parsed pa ON pa.path = d.path JOIN contents c ON c.o_orderkey = pa.o_orderkey
+JOIN orders o ON o.o_orderkey = pa.o_orderkey""", **listing_views(), contents=CONTENTS))
+def q_promote_time_dim(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    files = LS.dedupe_paths(parsed).join(parsed.select("path", "o_orderkey"), "path")
+    contents = FX.file_contents(spark, sf_dir).join(
+        FX.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("time")),
+        "o_orderkey")
+    out = IG.promote_time_dim(contents, files, t_dim="time", key="o_orderkey")
+    return out.select("path", "IRIDL_time", "time", "step", "latitude", "longitude", "tas")
+
+
+@query("drop_scalar_coords", with_views(
+    "SELECT S, M, Y, X, tas, prate FROM cube WHERE L = (SELECT min(L) FROM cube)"))
+def q_drop_scalar_coords(spark, sf_dir):
+    from gridcube.operators.select import isel
+    c = isel(FX.standard_cube(spark, sf_dir), L=0)
+    assert "L" in c.coords and not c.coords["L"].dims
+    c = SC.drop_scalar_coords(c)
+    return c.with_coords()
+
+
+@query("narrow_float", with_views(
+    "SELECT S, M, L, Y, X, CAST(tas AS FLOAT) AS tas, CAST(prate AS FLOAT) AS prate FROM cube"))
+def q_narrow_float(spark, sf_dir):
+    return SC.narrow_float(FX.standard_cube(spark, sf_dir)).cells
+
+
+@query("rename", with_views("SELECT S, M, L, Y, X, tas, prate AS prcp FROM cube"))
+def q_rename(spark, sf_dir):
+    c = SC.rename(FX.raw_cube(spark, sf_dir), FX.STANDARD_NAMES | {"nope": "whatever", "tas": "tas"})
+    return c.cells
+
+
+@query("drop_non_std", with_views(
+    "SELECT S, CAST(M - 1 AS INTEGER) AS M, L, Y, X, tas, prate AS prcp FROM cube"))
+def q_drop_non_std(spark, sf_dir):
+    c = SC.rename(FX.raw_cube(spark, sf_dir), FX.STANDARD_NAMES)
+    c = c.replace(cells=c.cells.withColumn("junk", F.col("tas") * 0), data_vars=(*c.data_vars, "junk"))
+    std = {k: v for k, v in FX.DA_ATTRS.items() if k != "M"}
+    out = SC.drop_non_std(c, std, bare_dims=["M"])
+    assert "junk" not in out.cells.columns and "M" in out.bare_dims
+    return out.cells
+
+
+# ------------------------------------------------------------------ selection (ops 30-32)
+from gridcube.operators import select as SL  # noqa: E402
+
+
+@query("isel", with_views(f"""
+SELECT c.* FROM cube c JOIN s USING (S) JOIN l USING (L)
+WHERE s.pos % 3 = 1 AND l.pos BETWEEN 0 AND 2""", s=axis_sql("S"), l=axis_sql("L")))
+def q_isel(spark, sf_dir):
+    return SL.isel(FX.standard_cube(spark, sf_dir), S=slice(1, None, 3), L=slice(0, 3)).cells
+
+
+@query("sel", with_views("""
+SELECT * FROM cube WHERE S <= TIMESTAMP '1999-05-01' AND M IN (1, 3) AND Y BETWEEN -45 AND 45"""))
+def q_sel(spark, sf_dir):
+    return SL.sel(FX.standard_cube(spark, sf_dir), S=slice(None, "1999-05-01"), M=[1, 3],
+                  Y=slice(-45.0, 45.0)).cells
+
+
+@query("probe_first", with_views("""
+SELECT S, M, L, Y, X, tas FROM cube
+WHERE S = (SELECT min(S) FROM cube) AND M = (SELECT min(M) FROM cube) AND L = (SELECT min(L) FROM cube)
+  AND Y = (SELECT max(Y) FROM cube) AND X = (SELECT min(X) FROM cube)"""))
+def q_probe_first(spark, sf_dir):
+    return SL.probe_first(FX.standard_cube(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ joins (ops 33-38)
+from gridcube.operators import align as AL  # noqa: E402
+
+
+def _stored(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    return c.replace(cells=c.cells.filter(F.col("S") < F.lit(STORED_BEFORE).cast("timestamp_ntz")))
+
+
+@query("new_times", with_views(f"""
+SELECT DISTINCT t FROM parsed
+WHERE t NOT IN (SELECT S FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}')
+ORDER BY t LIMIT 6""", **listing_views()))
+def q_new_times(spark, sf_dir):
+    return AL.new_times(_parsed(spark, sf_dir), _stored(spark, sf_dir).cells.select("S"), limit=6)
+
+
+@query("check_region", with_views(f"""
+SELECT a.path, 'IRIDL_time' AS dim, CAST(a.IRIDL_time AS VARCHAR) AS label, 'KeyError' AS error
+FROM (SELECT DISTINCT path, IRIDL_time FROM assigned) a
+WHERE a.IRIDL_time NOT IN (SELECT S FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}')
+UNION ALL
+SELECT path, 'latitude', concat(CAST(min(pos) AS VARCHAR), ':', CAST(max(pos) AS VARCHAR)), 'ValueError'
+FROM (SELECT DISTINCT a.path, a.latitude, y.pos FROM assigned a JOIN y ON y.Y = a.latitude)
+GROUP BY path HAVING max(pos) - min(pos) + 1 <> count(*)
+UNION ALL
+SELECT path, 'step', concat(CAST(min(pos) AS VARCHAR), ':', CAST(max(pos) AS VARCHAR)), 'ValueError'
+FROM (SELECT DISTINCT a.path, a.step, l.pos FROM assigned a JOIN l ON l.L = a.step)
+GROUP BY path HAVING max(pos) - min(pos) + 1 <> count(*)""",
+    **listing_views(), contents=CONTENTS, assigned=ASSIGNED,
+    stored=f"SELECT * FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}'",
+    y=axis_sql("Y", "stored", desc=True), l=axis_sql("L", "stored")))
+def q_check_region(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    assigned = _assigned(spark, sf_dir)
+    axes = {"IRIDL_time": stored.axis("S").withColumnRenamed("S", "IRIDL_time"),
+            "step": stored.axis("L").withColumnRenamed("L", "step"),
+            "latitude": stored.axis("Y").withColumnRenamed("Y", "latitude")}
+    return AL.check_region(assigned, axes)
+
+
+@query("align_to", with_views(f"SELECT * FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}'"))
+def q_align_to(spark, sf_dir):
+    return AL.align_to(FX.standard_cube(spark, sf_dir), _stored(spark, sf_dir)).cells
+
+
+@query("densify", with_views("""
+SELECT t.S, m.M, l.L, t.Y, t.X, c.tas, c.prate
+FROM (SELECT DISTINCT S, Y, X FROM cube WHERE S = (SELECT min(S) FROM cube)) t
+CROSS JOIN (SELECT DISTINCT M FROM cube) m CROSS JOIN (SELECT DISTINCT L FROM cube) l
+LEFT JOIN cube c ON c.S = t.S AND c.M = m.M AND c.L = l.L AND c.Y = t.Y AND c.X = t.X"""))
+def q_densify(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    first = c.cells.agg(F.min("S").alias("S"))
+    template = c.cells.join(first, "S", "left_semi").select("S", "Y", "X").distinct()
+    return AL.densify(c, template, {"M": c.axis("M"), "L": c.axis("L")}).cells
+
+
+@query("align_positional", with_views("""
+SELECT a.S, a.M, a.L, a.Y, a.X, a.tas AS a, b.tas AS b
+FROM (SELECT * FROM cube JOIN s USING (S) JOIN m USING (M) JOIN l USING (L) JOIN y USING (Y) JOIN x USING (X)) a
+FULL OUTER JOIN
+     (SELECT c.*, s.pos AS s_pos, m.pos AS m_pos, l.pos AS l_pos, yb.pos AS y_pos, x.pos AS x_pos
+      FROM cube_b c JOIN s USING (S) JOIN m USING (M) JOIN l USING (L) JOIN yb USING (Y) JOIN x USING (X)) b
+ON a.s_pos = b.s_pos AND a.m_pos = b.m_pos AND a.l_pos = b.l_pos AND a.y_pos = b.y_pos AND a.x_pos = b.x_pos
+""".replace("SELECT * FROM cube JOIN s USING (S)",
+            "SELECT cube.*, s.pos AS s_pos, m.pos AS m_pos, l.pos AS l_pos, y.pos AS y_pos, x.pos AS x_pos "
+            "FROM cube JOIN s USING (S)"),
+    cube_b=CUBE_B, s=axis_sql("S"), m=axis_sql("M"), l=axis_sql("L"), y=axis_sql("Y", desc=True),
+    yb=axis_sql("Y", "cube_b", desc=True), x=axis_sql("X")))
+def q_align_positional(spark, sf_dir):
+    a, b = FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir)
+    return AL.align_positional(a, b, "tas").select(*DIMS, "a", "b")
+
+
+@query("broadcast_coord", with_views("""
+SELECT S, M, L, Y, X, tas,
+       prate * CAST(date_diff('day', date_trunc('month', S) + to_months(L),
+                                     date_trunc('month', S) + to_months(L + 1)) AS DOUBLE) AS prate
+FROM cube"""))
+def q_broadcast_coord(spark, sf_dir):
+    c = H.add_target_monthly(FX.standard_cube(spark, sf_dir))
+    days = H.target_frame(c).withColumn("ndays", F.datediff(TARGET_END, TARGET_START))
+    return AL.broadcast_coord(c, days, ["S", "L"], "ndays", ["prate"]).cells

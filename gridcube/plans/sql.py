@@ -32,7 +32,7 @@ FROM orders
 
 # parsed listing: positional groups of the listing pattern
 PARSED = """
-SELECT path, modificationTime,
+SELECT path, modificationTime, o_orderkey,
        make_timestamp(CAST(regexp_extract(path, 'fc_(\\d{4})-(\\d{2})_m(\\d+)\\.nc$', 1) AS BIGINT),
                       CAST(regexp_extract(path, 'fc_(\\d{4})-(\\d{2})_m(\\d+)\\.nc$', 2) AS BIGINT),
                       1, 0, 0, 0) AS t,
@@ -69,3 +69,38 @@ def with_views(body: str, **views: str) -> str:
     allv.update(views)
     ctes = ",\n".join(f"{k} AS ({v})" for k, v in allv.items())
     return f"WITH {ctes}\n{body}"
+
+LISTING_SC = """
+SELECT path, modificationTime, o_orderkey FROM listing
+UNION ALL
+SELECT concat(path, '.idx') AS path, modificationTime, o_orderkey FROM listing
+"""
+
+
+def listing_views(with_sidecars: bool = False) -> dict[str, str]:
+    v = {"listing": LISTING}
+    if with_sidecars:
+        v["listing_sc"] = LISTING_SC
+        v["parsed"] = PARSED.replace("FROM listing", "FROM listing_sc")
+    else:
+        v["parsed"] = PARSED
+    v["deduped"] = DEDUPED
+    return v
+
+STORED_BEFORE = "2000-01-01"
+
+
+def axis_sql(dim: str, src: str = "cube", desc: bool = False) -> str:
+    order = f"{dim} DESC" if desc else dim
+    return (f"SELECT {dim}, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS pos "
+            f"FROM (SELECT DISTINCT {dim} FROM {src})")
+
+
+# comparison cube: every tas + 1e-9, the 1997-01-01 start + 1, Y shifted by 1e-9
+CUBE_B = """
+SELECT S, M, L, Y + CAST('1e-09' AS DOUBLE) AS Y, X,
+       tas + CAST('1e-09' AS DOUBLE) + CASE WHEN S = TIMESTAMP '1997-01-01' THEN CAST(1 AS DOUBLE)
+                                             ELSE CAST(0 AS DOUBLE) END AS tas,
+       prate
+FROM cube
+"""
