@@ -376,3 +376,329 @@ def q_broadcast_coord(spark, sf_dir):
     c = H.add_target_monthly(FX.standard_cube(spark, sf_dir))
     days = H.target_frame(c).withColumn("ndays", F.datediff(TARGET_END, TARGET_START))
     return AL.broadcast_coord(c, days, ["S", "L"], "ndays", ["prate"]).cells
+
+
+# ------------------------------------------------------------------ aggregations (ops 39-44)
+from gridcube.functions.compare import allclose  # noqa: E402
+from gridcube.operators import quality as QL  # noqa: E402
+
+
+@query("error_rate_gate", """
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day,
+       count(*) FILTER (WHERE event_type <> 'error' OR event_type IS NULL) AS n_ok,
+       count(*) FILTER (WHERE event_type = 'error') AS n_failed,
+       count(*) AS n_done,
+       count(*) FILTER (WHERE event_type = 'error') / count(*) AS failure_rate,
+       count(*) FILTER (WHERE event_type = 'error') / count(*) <= 0.1 AS passed
+FROM events GROUP BY 1""")
+def q_error_rate_gate(spark, sf_dir):
+    ev = FX.table(spark, sf_dir, "events")
+    outcomes = ev.select(F.to_date("ts").cast("timestamp_ntz").alias("day"),
+                         F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
+    return QL.load_outcomes(outcomes, by=["day"])
+
+
+@query("cube_shape", with_views("""
+SELECT 'L' AS dim, count(DISTINCT L) AS size FROM cube UNION ALL
+SELECT 'M', count(DISTINCT M) FROM cube UNION ALL SELECT 'S', count(DISTINCT S) FROM cube UNION ALL
+SELECT 'X', count(DISTINCT X) FROM cube UNION ALL SELECT 'Y', count(DISTINCT Y) FROM cube"""))
+def q_cube_shape(spark, sf_dir):
+    return QL.cube_shape(FX.standard_cube(spark, sf_dir))
+
+
+def _coords_sql() -> str:
+    parts = []
+    for d in DIMS:
+        desc = d == "Y"
+        pred = ("CASE WHEN a.v IS NULL AND b.v IS NULL THEN true WHEN a.v IS NULL OR b.v IS NULL THEN false "
+                "ELSE abs(a.v - b.v) <= CAST('1e-08' AS DOUBLE) + CAST('1e-05' AS DOUBLE) * abs(b.v) END"
+                if d in ("Y", "X") else "a.v IS NOT DISTINCT FROM b.v")
+        order = f"{d} DESC" if desc else d
+        ax = lambda src: (f"SELECT {d} AS v, row_number() OVER (ORDER BY {order}) AS pos "
+                          f"FROM (SELECT DISTINCT {d} FROM {src})")
+        parts.append(f"SELECT '{d}' AS coord, coalesce(bool_and({pred}), true) AS same, "
+                     f"'present' AS a, 'present' AS b "
+                     f"FROM ({ax('cube')}) a FULL OUTER JOIN ({ax('cube_b')}) b ON a.pos = b.pos")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("compare_coords", with_views(_coords_sql(), cube_b=CUBE_B))
+def q_compare_coords(spark, sf_dir):
+    return QL.compare_coords(FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir))
+
+
+_POS_VIEWS = dict(cube_b=CUBE_B, s=axis_sql("S"), m=axis_sql("M"), l=axis_sql("L"),
+                  y=axis_sql("Y", desc=True), yb=axis_sql("Y", "cube_b", desc=True), x=axis_sql("X"))
+_PAIRS = """
+SELECT a.S, a.M, a.L, a.Y, a.X, a.s_pos, a.m_pos, a.l_pos, a.y_pos, a.x_pos, a.tas AS a, b.tas AS b
+FROM (SELECT cube.*, s.pos AS s_pos, m.pos AS m_pos, l.pos AS l_pos, y.pos AS y_pos, x.pos AS x_pos
+      FROM cube JOIN s USING (S) JOIN m USING (M) JOIN l USING (L) JOIN y USING (Y) JOIN x USING (X)) a
+JOIN (SELECT c.*, s.pos AS s_pos, m.pos AS m_pos, l.pos AS l_pos, yb.pos AS y_pos, x.pos AS x_pos
+      FROM cube_b c JOIN s USING (S) JOIN m USING (M) JOIN l USING (L) JOIN yb USING (Y) JOIN x USING (X)) b
+ON a.s_pos = b.s_pos AND a.m_pos = b.m_pos AND a.l_pos = b.l_pos AND a.y_pos = b.y_pos AND a.x_pos = b.x_pos
+"""
+
+
+@query("max_diff", with_views("""
+SELECT abs(a - b) AS max_diff, S, M, L, Y, X, a, b FROM pairs
+WHERE abs(a - b) IS NOT NULL AND NOT isnan(abs(a - b))
+ORDER BY abs(a - b) DESC, s_pos, m_pos, l_pos, y_pos, x_pos LIMIT 1""", **_POS_VIEWS, pairs=_PAIRS))
+def q_max_diff(spark, sf_dir):
+    a, b = FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir)
+    pairs = AL.align_positional(a, b, "tas")
+    return QL.max_diff(pairs, list(DIMS))
+
+
+def _compare_sql() -> str:
+    shape = "\nUNION ALL\n".join(
+        f"SELECT 'shape' AS check, '{d}' AS item, "
+        f"(SELECT count(DISTINCT {d}) FROM cube) = (SELECT count(DISTINCT {d}) FROM cube_b) AS same"
+        for d in sorted(DIMS))
+    coords = f"SELECT 'coords', coord, same FROM ({_coords_sql()})"
+    data = """
+SELECT 'data', strftime(st.S, '%Y-%m-%d'),
+       coalesce(bool_and(CASE WHEN p.a IS NULL AND p.b IS NULL THEN true
+                              WHEN p.a IS NULL OR p.b IS NULL THEN false
+                              ELSE abs(p.a - p.b) <= CAST('1e-08' AS DOUBLE) + CAST('1e-05' AS DOUBLE) * abs(p.b)
+                         END), false)
+FROM (SELECT S FROM s WHERE pos IN (0, (SELECT count(*) FROM s) // 2, (SELECT count(*) FROM s) - 1)) st
+LEFT JOIN pairs p ON p.S = st.S GROUP BY st.S"""
+    return f"{shape}\nUNION ALL\n{coords}\nUNION ALL\n{data}"
+
+
+@query("compare_cubes", with_views(_compare_sql(), **_POS_VIEWS, pairs=_PAIRS))
+def q_compare_cubes(spark, sf_dir):
+    return QL.compare_cubes(FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir), "tas")
+
+
+# ------------------------------------------------------------------ windows, sorts (ops 45-48)
+@query("axis_position", with_views(
+    "SELECT c.S, c.M, c.L, y.pos AS Y, c.X, c.tas, c.prate FROM cube c JOIN y USING (Y)",
+    y=axis_sql("Y", desc=True)))
+def q_axis_position(spark, sf_dir):
+    return H.axis_position(FX.standard_cube(spark, sf_dir), "Y").cells
+
+
+# Python's str.strip() whitespace, as a regex class both engines read the same way.
+_WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query("pair_lines", f"""
+WITH split AS (
+  SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS arr FROM documents),
+lines AS (
+  SELECT doc_id, regexp_replace(arr[i], '^{_WS}+|{_WS}+$', '', 'g') AS s, i
+  FROM split, range(1, len(arr) + 1) r(i)),
+kept AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
+  FROM lines WHERE s <> '' AND NOT starts_with(s, '#')),
+pairs AS (
+  SELECT a.doc_id, a.k // 2 AS i, a.s AS url1, b.s AS url2
+  FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.k = a.k + 1 WHERE a.k % 2 = 0)
+SELECT doc_id, url1, arg_max(url2, i) AS url2 FROM pairs GROUP BY doc_id, url1""")
+def q_pair_lines(spark, sf_dir):
+    return QL.pair_lines(FX.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("standardize_y", with_views(
+    "SELECT c.S, c.M, c.L, c.Y, c.X, c.tas, y.pos AS y_pos FROM cube c JOIN y USING (Y)",
+    y=axis_sql("Y")))
+def q_standardize_y(spark, sf_dir):
+    c = H.standardize_y(FX.standard_cube(spark, sf_dir), want_increasing=True)
+    return AL.with_positions(c, ["Y"]).select(*DIMS, "tas", F.col("Y_pos").alias("y_pos"))
+
+
+@query("sample_starts", with_views("""
+SELECT c.S, c.M, c.L, c.Y, c.X, c.tas FROM cube c JOIN s USING (S)
+WHERE s.pos IN (0, (SELECT count(*) FROM s) // 2, (SELECT count(*) FROM s) - 1)""", s=axis_sql("S")))
+def q_sample_starts(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    starts = QL.sample_starts(c)
+    return c.cells.join(F.broadcast(starts.select("S")), "S", "left_semi").select(*DIMS, "tas")
+
+
+# ------------------------------------------------------------------ set operations (ops 49-51)
+@query("concat_slices", with_views(
+    "SELECT IRIDL_time, number, step, latitude, longitude, tas FROM assigned "
+    "WHERE IRIDL_time = (SELECT min(IRIDL_time) FROM assigned)",
+    **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
+def q_concat_slices(spark, sf_dir):
+    assigned = _assigned(spark, sf_dir)
+    t0 = assigned.agg(F.min("IRIDL_time")).first()[0]
+    first = assigned.filter(F.col("IRIDL_time") == F.lit(t0))
+    members = [r[0] for r in first.select("number").distinct().orderBy("number").collect()]
+    slices = [first.filter(F.col("number") == m) for m in members]
+    return IG.concat_slices(slices, ["IRIDL_time", "number", "step", "latitude", "longitude"]) \
+        .select("IRIDL_time", "number", "step", "latitude", "longitude", "tas")
+
+
+@query("append_times", with_views("SELECT * FROM cube"))
+def q_append_times(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    stored = _stored(spark, sf_dir).cells
+    new = c.cells.filter(F.col("S") >= F.lit(STORED_BEFORE).cast("timestamp_ntz"))
+    return IG.append_times(stored, new, "S")
+
+
+@query("snapshot_identical", with_views("""
+SELECT 'cells' AS part,
+       (SELECT count(*) FROM (SELECT * FROM cube EXCEPT ALL SELECT * FROM cube_b)) AS n_only_a,
+       (SELECT count(*) FROM (SELECT * FROM cube_b EXCEPT ALL SELECT * FROM cube)) AS n_only_b,
+       (SELECT count(*) FROM (SELECT * FROM cube EXCEPT ALL SELECT * FROM cube_b)) = 0
+   AND (SELECT count(*) FROM (SELECT * FROM cube_b EXCEPT ALL SELECT * FROM cube)) = 0 AS identical""",
+    cube_b="SELECT S, M, L, Y, X, tas + CASE WHEN S = TIMESTAMP '1997-01-01' THEN CAST(1 AS DOUBLE) "
+           "ELSE CAST(0 AS DOUBLE) END AS tas, prate FROM cube"))
+def q_snapshot_identical(spark, sf_dir):
+    a = FX.standard_cube(spark, sf_dir)
+    b = a.replace(cells=a.cells.withColumn("tas", F.col("tas") + F.when(
+        F.col("S") == F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1.0)).otherwise(F.lit(0.0))))
+    return QL.snapshot_identical(a.cells, b.cells)
+
+
+# ------------------------------------------------------------------ scalar functions (ops 52-62)
+from gridcube.functions import calendar as CAL  # noqa: E402
+from gridcube.functions.cf import mask_and_scale  # noqa: E402
+from gridcube.functions.units import unit_table  # noqa: E402
+
+
+@query("convert_units", with_views(f"""
+SELECT S, M, L, Y, X, tas * {dbl(1)} + {dbl(-KELVIN)} AS tas,
+       prate * {dbl(PRATE_SCALE)} + {dbl(0)} AS prate FROM cube"""))
+def q_convert_units(spark, sf_dir):
+    std = {"tas": {"units": "degree_Celsius"}, "prate": {"units": "mm/day"}}
+    return H.convert_units(FX.standard_cube(spark, sf_dir), std).cells
+
+
+@query("convert_units_float32", with_views("""
+SELECT S, M, L, Y, X,
+       CAST(tas AS FLOAT) * CAST(1 AS FLOAT) + CAST(-273.15 AS FLOAT) AS tas,
+       CAST(prate AS FLOAT) AS prate FROM cube"""))
+def q_convert_units_float32(spark, sf_dir):
+    c = SC.narrow_float(FX.standard_cube(spark, sf_dir))
+    std = {"tas": {"units": "degree_Celsius"}, "prate": {"units": None}}
+    out = H.convert_units(c, std)
+    assert "units" not in out.attrs["prate"]
+    return out.cells
+
+
+_UNIT_VALUES = ", ".join(
+    f"('{a}', '{b}', {dbl(1 if v is None else v[0])}, {dbl(0 if v is None else v[1])})"
+    for (a, b), v in __import__("gridcube.functions.units", fromlist=["x"]).STANDARD_UNIT_CONVERSIONS.items())
+
+
+@query("unit_table", with_views(f"""
+SELECT S, M, L, Y, X, var, units, value * scale + "offset" AS value
+FROM (SELECT S, M, L, Y, X, 'tas' AS var, 'K' AS from_units, 'degree_Celsius' AS units, tas AS value FROM cube
+      UNION ALL
+      SELECT S, M, L, Y, X, 'prate', 'kg m-2 s-1', 'mm/day', prate FROM cube) v
+JOIN (VALUES {_UNIT_VALUES}) u(from_units, to_units, scale, "offset")
+  ON u.from_units = v.from_units AND u.to_units = v.units"""))
+def q_unit_table(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    target = {"tas": "degree_Celsius", "prate": "mm/day"}
+    long = c.cells.unpivot(list(DIMS), ["tas", "prate"], "var", "value")
+    long = long.withColumns({
+        "from_units": F.when(F.col("var") == "tas", F.lit(c.attrs["tas"]["units"]))
+                       .otherwise(F.lit(c.attrs["prate"]["units"])),
+        "units": F.when(F.col("var") == "tas", F.lit(target["tas"])).otherwise(F.lit(target["prate"])),
+    })
+    return H.convert_units_long(long, unit_table(spark)).select(*DIMS, "var", "units", "value")
+
+
+_TARGETS = """
+SELECT DISTINCT S, L,
+       CAST(date_trunc('month', S) + to_months(L) AS TIMESTAMP) AS target,
+       CAST(date_trunc('month', S) + to_months(L) AS TIMESTAMP) AS target_start,
+       CAST(date_trunc('month', S) + to_months(L + 1) AS TIMESTAMP) AS target_end
+FROM cube"""
+
+
+@query("add_target_monthly", with_views(_TARGETS))
+def q_add_target_monthly(spark, sf_dir):
+    return H.target_frame(H.add_target_monthly(FX.standard_cube(spark, sf_dir)))
+
+
+@query("add_target_daily", with_views("""
+SELECT S, M, L, Y, X, tas, S + to_days(L) AS target, S + to_days(L) + INTERVAL 1 DAY AS target_end
+FROM cube"""))
+def q_add_target_daily(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    tgt = c.cells.select("S", "L").distinct().withColumn(
+        "target", F.timestamp_add("DAY", F.col("L"), F.col("S")))
+    c = c.replace(coords={"target": Coord(("S", "L"), table=tgt)})
+    out = H.add_target_daily(c)
+    return (out.with_coords("target", "target_bnds")
+               .select(*DIMS, "tas", "target", F.col("target_bnds.target_end").alias("target_end")))
+
+
+@query("monthly_total", with_views(f"""
+SELECT S, M, L, Y, X,
+       (prate * {dbl(PRATE_SCALE)} + {dbl(0)}) * CAST(date_diff('day', date_trunc('month', S) + to_months(L),
+                                     date_trunc('month', S) + to_months(L + 1)) AS DOUBLE) AS prate
+FROM cube"""))
+def q_monthly_total(spark, sf_dir):
+    c = SC.select_data_vars(FX.standard_cube(spark, sf_dir), "prate")
+    c = H.convert_units(c, {"prate": {"units": "mm/day"}})
+    c = H.monthly_total(H.add_target_monthly(c), ["prate"])
+    assert c.attrs["prate"]["units"] == "mm"
+    return c.cells
+
+
+@query("cf_time", with_views("""
+SELECT DISTINCT S, CAST(date_diff('hour', TIMESTAMP '1960-01-01', S) AS INTEGER) AS S_enc,
+       TIMESTAMP '1960-01-01' + to_hours(date_diff('hour', TIMESTAMP '1960-01-01', S)) AS S_dec
+FROM cube"""))
+def q_cf_time(spark, sf_dir):
+    s = FX.standard_cube(spark, sf_dir).cells.select("S").distinct()
+    unit = CAL.parse_units(FX.ENCODINGS["S"]["units"])
+    enc = s.withColumn("S_enc", CAL.encode_time(F.col("S"), unit))
+    return enc.withColumn("S_dec", CAL.decode_time(F.col("S_enc"), unit))
+
+
+PACKED_ATTRS = {"_FillValue": 50, "scale_factor": 0.5, "add_offset": 10.0}
+
+
+@query("cf_mask_scale", f"""
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN CAST(l_quantity AS INTEGER) = 50 THEN NULL
+            ELSE CAST(l_quantity AS INTEGER) * {dbl(0.5)} + {dbl(10.0)} END AS value
+FROM lineitem""")
+def q_cf_mask_scale(spark, sf_dir):
+    li = FX.table(spark, sf_dir, "lineitem")
+    packed = F.col("l_quantity").cast("int")
+    return li.select("l_orderkey", "l_linenumber", mask_and_scale(packed, PACKED_ATTRS).alias("value"))
+
+
+@query("convert_calendar", """
+SELECT event_id, S FROM (
+  SELECT event_id,
+         CAST(try(make_date(CAST(floor(event_id / 360) AS INTEGER) + 1960,
+                            CAST(floor(event_id / 30) AS INTEGER) % 12 + 1,
+                            CAST(event_id % 30 AS INTEGER) + 1)) AS TIMESTAMP) AS S
+  FROM events) WHERE S IS NOT NULL""")
+def q_convert_calendar(spark, sf_dir):
+    ev = FX.table(spark, sf_dir, "events")
+    assert CAL.fix_calendar_name("360") == "360_day"
+    return (ev.select("event_id", CAL.day360_to_standard(F.col("event_id")).alias("S"))
+              .filter(F.col("S").isNotNull()))
+
+
+@query("shift_lead", with_views(f"SELECT S, M, L - {dbl(0.5)} AS L, Y, X, tas, prate FROM cube"))
+def q_shift_lead(spark, sf_dir):
+    return H.shift_lead(FX.standard_cube(spark, sf_dir)).cells
+
+
+TEMPERATURE_VARS = ("tos", "tas", "tasmax", "tasmin")
+
+
+@query("allclose", with_views("""
+SELECT a.S, a.M, a.L, a.Y, a.X,
+       CASE WHEN a.tas IS NULL AND b.tas IS NULL THEN true WHEN a.tas IS NULL OR b.tas IS NULL THEN false
+            ELSE abs(a.tas - b.tas) <= CAST('0.0001' AS DOUBLE) + CAST('1e-05' AS DOUBLE) * abs(b.tas) END AS close
+FROM cube a JOIN cube_b b USING (S, M, L, Y, X)""",
+    cube_b=CUBE_B.replace("Y + CAST('1e-09' AS DOUBLE) AS Y", "Y")))
+def q_allclose(spark, sf_dir):
+    a = FX.standard_cube(spark, sf_dir).cells
+    b = FX.comparison_cube(spark, sf_dir, shift=False).cells.select(*DIMS, F.col("tas").alias("tas_b"))
+    atol = 1e-4 if "tas" in TEMPERATURE_VARS else 1e-8
+    return a.join(b, list(DIMS)).select(*DIMS, allclose(F.col("tas"), F.col("tas_b"), atol).alias("close"))
