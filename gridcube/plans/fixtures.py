@@ -170,3 +170,36 @@ def comparison_cube(spark: SparkSession, sf_dir: str, shift: bool = True) -> Gri
     if shift:
         cols["Y"] = F.col("Y") + F.lit(1e-9)
     return c.replace(cells=c.cells.withColumns(cols))
+
+
+def decode_fixture_files(spark: SparkSession, sf_dir: str):
+    """Decoder of the fixture file set: a file's contents are its order's lines."""
+    contents = file_contents(spark, sf_dir)
+
+    def decode(files: DataFrame) -> DataFrame:
+        keyed = files.select("path", F.regexp_extract("path", r"/data/run(\d+)/", 1)
+                             .cast("bigint").alias("o_orderkey"))
+        return (keyed.join(contents, "o_orderkey")
+                     .drop("o_orderkey").withColumn("error", F.lit(None).cast("string")))
+    return decode
+
+
+def fixture_catalog(spark: SparkSession, sf_dir: str):
+    """A three-level harmonised catalogue over the fixture cube:
+    / (adds a distributor attr) -> ens (standardize) -> model (rename) ->
+    hindcast (opens the provider cube, one variable per store)."""
+    from gridcube.operators import harmonize as H
+    from gridcube.operators.schema import rename, select_data_vars
+    from gridcube.sources.catalog import Catalog, CatalogNode
+
+    def add_distributor(c):
+        return c.replace(ds_attrs={**c.ds_attrs, "Distributor": "gridcube.example"})
+
+    store_names = {"tas": "tas", "prcp": "prate"}
+    root = CatalogNode("", transform=add_distributor)
+    ens = root.add(CatalogNode("ens", transform=lambda c: H.standardize(c, ensemble_config())))
+    model = ens.add(CatalogNode("model", transform=lambda c: rename(c, STANDARD_NAMES)))
+    model.add(CatalogNode("hindcast", open=lambda v: select_data_vars(raw_cube(spark, sf_dir), store_names[v]),
+                          list_vars=lambda: list(store_names)))
+    ens.add(CatalogNode("scratch", hidden=True))
+    return Catalog(root)

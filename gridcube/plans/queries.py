@@ -702,3 +702,128 @@ def q_allclose(spark, sf_dir):
     b = FX.comparison_cube(spark, sf_dir, shift=False).cells.select(*DIMS, F.col("tas").alias("tas_b"))
     atol = 1e-4 if "tas" in TEMPERATURE_VARS else 1e-8
     return a.join(b, list(DIMS)).select(*DIMS, allclose(F.col("tas"), F.col("tas_b"), atol).alias("close"))
+
+
+# ------------------------------------------------------------------ sources and sinks (ops 9-15, 29)
+from gridcube.session import shared_dir  # noqa: E402
+from gridcube.sources import decode as DC  # noqa: E402
+from gridcube.sources import store as ST  # noqa: E402
+
+
+@query("decode_files", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def q_decode_files(spark, sf_dir):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("l_orderkey", T.LongType()),
+                           T.StructField("l_linenumber", T.IntegerType()),
+                           T.StructField("l_quantity", T.DoubleType())])
+    dec = DC.decode_files(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet",
+                          DC.parquet_decoder([f.name for f in schema.fields]), schema)
+    good = QL.error_rate_gate(dec)
+    return good.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("read_cube", with_views("SELECT S, M, L, Y, X, tas FROM cube"))
+def q_read_cube(spark, sf_dir):
+    root = shared_dir(spark, "stores", "read_cube")
+    ST.write_cube(FX.standard_cube(spark, sf_dir), root, mode="overwrite")
+    cube = ST.read_cube(spark, root, drop_variables=["prate"])
+    assert cube.data_vars == ("tas",) and cube.descending == frozenset({"Y"})
+    return cube.cells
+
+
+@query("write_cube", with_views(
+    "SELECT S, M, L, Y, X, CAST(tas AS FLOAT) AS tas, CAST(prate AS FLOAT) AS prate FROM cube"))
+def q_write_cube(spark, sf_dir):
+    root = shared_dir(spark, "stores", "write_cube")
+    ST.write_cube(FX.standard_cube(spark, sf_dir), root, mode="overwrite", layout="packed")
+    return ST.read_cube(spark, root).cells
+
+
+@query("catalog_open", with_views(
+    f"SELECT S, M, L, Y, X, prate * {dbl(PRATE_SCALE)} + {dbl(0)} AS prcp FROM cube"))
+def q_catalog_open(spark, sf_dir):
+    cat = FX.fixture_catalog(spark, sf_dir)
+    assert cat.open_variable("/ens/model/hindcast/") is None
+    assert cat.open_variable("/ens/model/hindcast/nope") is None
+    cube = cat.open_variable("/ens/model/hindcast/prcp")
+    return cube.cells
+
+
+@query("transform_chain", with_views(f"SELECT S, M, L, Y, X, tas * {dbl(1)} + {dbl(-KELVIN)} AS tas FROM cube"))
+def q_transform_chain(spark, sf_dir):
+    cube = FX.fixture_catalog(spark, sf_dir).open_variable("/ens/model/hindcast/tas")
+    assert cube.ds_attrs["Distributor"] == "gridcube.example"
+    assert cube.attrs["tas"]["units"] == "degree_Celsius"
+    return cube.cells
+
+
+@query("describe_cube")
+def q_describe_cube(spark, sf_dir):
+    cube = harmonized_cube(spark, sf_dir)
+    return SC.describe_cube(cube).select("name", "role", "dims", "dtype", "size")
+
+
+# ------------------------------------------------------------------ ingest and streaming (ops 36, 39, 40, 49, 50, 64, 65)
+from gridcube.streaming import ingest as SI  # noqa: E402
+
+_GRID = ("step", "latitude", "longitude")
+
+
+def _run_update(spark, sf_dir, store, var, limit=None, first=None):
+    d = FX.descriptor(name=var)
+    return SI.update(spark, d, store, FX.listing(spark, sf_dir).drop("o_orderkey"),
+                     FX.decode_fixture_files(spark, sf_dir), data_vars=[var], grid_dims=_GRID,
+                     limit=limit, first=first, attrs={var: FX.RAW_ATTRS[var]}, ds_attrs=FX.RAW_DS_ATTRS)
+
+
+@query("ingest_update", with_views("""
+SELECT tm.IRIDL_time, mm.number, tm.step, tm.latitude, tm.longitude, a.tas
+FROM (SELECT DISTINCT IRIDL_time, step, latitude, longitude FROM assigned
+      WHERE IRIDL_time = (SELECT min(IRIDL_time) FROM assigned)) tm
+CROSS JOIN (SELECT DISTINCT m AS number FROM parsed) mm
+LEFT JOIN assigned a ON a.IRIDL_time = tm.IRIDL_time AND a.number = mm.number AND a.step = tm.step
+      AND a.latitude = tm.latitude AND a.longitude = tm.longitude
+UNION ALL
+SELECT IRIDL_time, number, step, latitude, longitude, tas FROM assigned
+WHERE IRIDL_time > (SELECT min(IRIDL_time) FROM assigned)""",
+    **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
+def q_ingest_update(spark, sf_dir):
+    store = shared_dir(spark, "stores", "ingest_update")
+    assert _run_update(spark, sf_dir, store, "tas", limit=3)          # first start + 2 more
+    assert _run_update(spark, sf_dir, store, "tas")                   # the rest
+    assert not _run_update(spark, sf_dir, store, "tas")               # nothing new: idempotent
+    return ST.read_cube(spark, store).cells
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    root = shared_dir(spark, "stores", "run_summary")
+    runs = {v: (lambda v=v: _run_update(spark, sf_dir, f"{root}/{v}", v)) for v in ("tas", "prate")}
+    runs["zg"] = lambda: _run_update(spark, sf_dir, f"{root}/zg", "zg")
+    return SI.run_summary(spark, runs)
+
+
+@query("late_start_guard", with_views("""
+SELECT DISTINCT t AS IRIDL_time,
+       CASE WHEN t < (SELECT max(S) FROM stored) THEN 'late' ELSE 'accepted' END AS status
+FROM parsed WHERE t NOT IN (SELECT S FROM stored)""", **listing_views(),
+    stored="SELECT * FROM cube WHERE S >= TIMESTAMP '1997-01-01' AND S < TIMESTAMP '2000-01-01'"))
+def q_late_start_guard(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    stored = c.cells.filter(F.col("S").between(F.lit("1997-01-01").cast("timestamp_ntz"),
+                                               F.lit("1999-12-31").cast("timestamp_ntz")))
+    incoming = AL.new_times(_parsed(spark, sf_dir), stored.select("S"))
+    stored_max = stored.agg(F.max("S")).first()[0]
+    return SI.late_start_guard(incoming.withColumnRenamed("t", "IRIDL_time"), stored_max)
+
+
+@query("ingest_stream", with_views("SELECT * FROM cube"))
+def q_ingest_stream(spark, sf_dir):
+    c = FX.standard_cube(spark, sf_dir)
+    base = shared_dir(spark, "streams", "ingest_stream")
+    # the provider drops slices into a folder: one set of files per start
+    c.cells.repartition(8, "S").write.parquet(f"{base}/source")
+    q = SI.ingest_stream(spark, f"{base}/source", c.cells.schema, f"{base}/store",
+                         f"{base}/checkpoint", DIMS, c.data_vars, time_col="S")
+    q.awaitTermination()
+    return ST.read_cube(spark, f"{base}/store").cells
