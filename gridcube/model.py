@@ -18,6 +18,7 @@ data, and it decides which expressions are built (units, calendars).
 from __future__ import annotations
 
 import dataclasses
+import weakref
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from types import MappingProxyType
@@ -52,6 +53,13 @@ TARGET_END = "target_end"
 
 _EMPTY: Mapping = MappingProxyType({})
 
+# Axis tables per cells plan (and direction), computed once per plan.
+_AXES: "weakref.WeakKeyDictionary[DataFrame, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+# More labels than this make a dimension "not a coordinate": its axis is then
+# numbered on the cluster instead of being held as a small local table.
+MAX_AXIS_LABELS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Coord:
@@ -108,15 +116,40 @@ class GridCube:
 
     # -------------------------------------------------------------- axes
     def axis(self, dim: str) -> DataFrame:
-        """Labels of one dimension with their 0-based stored position.
-
-        The distinct label set is coordinate-sized; the window that numbers
-        it runs on that small table only, never on ``cells``.
+        """Labels of one dimension with their 0-based stored position."""
+        return self.axes([dim])[dim]
+
+    def axes(self, dims=None) -> dict[str, DataFrame]:
+        """Axis tables ``(label, pos)`` of several dimensions.
+
+        All requested axes come from ONE aggregation over ``cells`` (each
+        task keeps only the distinct labels it saw, so the shuffle is
+        coordinate-sized). The labels are coordinates, kept as small
+        driver-local tables that later joins broadcast without another pass;
+        they are remembered per ``cells`` plan. An axis with more than
+        ``MAX_AXIS_LABELS`` labels is not a coordinate and is numbered with a
+        distributed window instead.
         """
-        labels = self.cells.select(dim).distinct()
-        order = F.col(dim).desc() if dim in self.descending else F.col(dim).asc()
-        w = Window.orderBy(order)
-        return labels.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+        dims = list(dims or self.dims)
+        memo = _AXES.setdefault(self.cells, {})  # dim -> ascending labels (list) or None
+        todo = [d for d in dims if d not in memo]
+        if todo:
+            row = self.cells.agg(*[F.collect_set(d).alias(d) for d in todo]).first()
+            for d in todo:
+                memo[d] = sorted(row[d]) if len(row[d]) <= MAX_AXIS_LABELS else None
+        types = {f.name: f.dataType for f in self.cells.schema.fields}
+        out = {}
+        for d in dims:
+            desc = d in self.descending
+            if memo[d] is not None:
+                labels = memo[d][::-1] if desc else memo[d]
+                schema = T.StructType([T.StructField(d, types[d]), T.StructField("pos", T.IntegerType(), False)])
+                out[d] = self.spark.createDataFrame([(v, i) for i, v in enumerate(labels)], schema)
+            else:
+                labels = self.cells.select(d).distinct()
+                order = F.col(d).desc() if desc else F.col(d).asc()
+                out[d] = labels.withColumn("pos", (F.row_number().over(Window.orderBy(order)) - 1).cast("int"))
+        return out
 
     # -------------------------------------------------------------- coords
     def with_coords(self, *names: str) -> DataFrame:

@@ -23,8 +23,11 @@ def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataF
     """Return (table, fits) where ``fits`` says it holds at most ``max_rows`` rows.
 
     ``limit(max_rows + 1)`` lets Spark stop counting early when the table is
-    unexpectedly large.
+    unexpectedly large. Driver-local tables (built from collected coordinate
+    labels) are small by construction and are not counted.
     """
+    if small.isLocal():
+        return small, True
     n = small.limit(max_rows + 1).count()
     return small, n <= max_rows
 
