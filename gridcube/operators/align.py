@@ -104,11 +104,15 @@ def densify(cube: GridCube, template: DataFrame, axes: Mapping[str, DataFrame])
     return cube.replace(cells=cells.select(*cube.cells.columns))
 
 
-def with_positions(cube: GridCube, dims: Sequence[str]) -> DataFrame:
-    """``cells`` plus ``<dim>_pos`` for each dim (size-checked broadcast joins)."""
-    out = cube.cells
+def with_positions(cube: GridCube, dims: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
+    """``cells`` (default: the cube's) plus ``<dim>_pos`` for each dim.
+
+    Positions always refer to the whole cube's axes, so a subset of the
+    cells keeps the positions it has in the full cube."""
+    out = cube.cells if cells is None else cells
+    axes = cube.axes(dims)
     for d in dims:
-        out = join_small(out, cube.axis(d).withColumnRenamed("pos", f"{d}_pos"), d, "inner")
+        out = join_small(out, axes[d].withColumnRenamed("pos", f"{d}_pos"), d, "inner")
     return out
 
 
