@@ -211,7 +211,7 @@ _ASSIGNED_SQL = with_views("SELECT * FROM assigned", **listing_views(), contents
 def _assigned(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     files = LS.dedupe_paths(parsed).join(parsed.select("path", "o_orderkey"), "path")
-    return IG.assign_file_dims(FX.file_contents(spark, sf_dir), files, key="o_orderkey")
+    return IG.assign_file_dims(FX.file_contents(spark, sf_dir), files, key="o_orderkey", coords=["m"])
 
 
 @query("assign_file_dims", _ASSIGNED_SQL)
@@ -229,7 +229,7 @@ def q_promote_time_dim(spark, sf_dir):
     contents = FX.file_contents(spark, sf_dir).join(
         FX.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("time")),
         "o_orderkey")
-    out = IG.promote_time_dim(contents, files, t_dim="time", key="o_orderkey")
+    out = IG.promote_time_dim(contents, files, t_dim="time", key="o_orderkey", coords=["m"])
     return out.select("path", "IRIDL_time", "time", "step", "latitude", "longitude", "tas")
 
 

@@ -18,6 +18,22 @@ from pyspark.sql import functions as F
 # widest coordinate row is a few timestamps and numbers, so 2M rows < 100 MB).
 MAX_BROADCAST_ROWS = 2_000_000
 
+# Coordinate tables up to this many rows are turned into driver-local tables
+# when they are reused (a broadcast collects them to the driver anyway).
+MAX_LOCAL_ROWS = 100_000
+
+
+def localize(small: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """A coordinate-sized table as a driver-local table, so that every later
+    join broadcasts it without recomputing its (possibly expensive) plan.
+    Tables over ``max_rows`` are returned unchanged."""
+    if small.isLocal():
+        return small
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return small
+    return small.sparkSession.createDataFrame(rows, small.schema)
+
 
 def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return (table, fits) where ``fits`` says it holds at most ``max_rows`` rows.

@@ -68,7 +68,8 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         decoded = spark.read.parquet(staging)
         good = error_rate_gate(file_errors(decoded))  # raises above the tolerated rate
         ok = decoded.join(good.select("path"), "path", "left_semi").drop("error")
-        return assign_file_dims(ok, files_now, key="path").select(*dims, *data_vars)
+        file_coords = [c for c in ("m", "p", "l") if FILE_DIM_NAMES[c] in file_axes]
+        return assign_file_dims(ok, files_now, key="path", coords=file_coords).select(*dims, *data_vars)
 
     if not store_exists(spark, store):
         t_first = LS.list_times(parsed, first).agg(F.min("t")).first()[0]

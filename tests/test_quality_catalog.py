@@ -152,3 +152,15 @@ def test_raw_catalog_entries(spark):
     assert rc.frame(spark).count() == 2
     with pytest.raises(KeyError):
         rc.get_entry("ens/model/zg")
+
+
+def test_schema_error_paths(make_cube):
+    from gridcube.operators import schema as SC
+    c = make_cube()
+    with pytest.raises(KeyError):
+        SC.drop_coords(c, ["nope"])
+    with pytest.raises(SC.SchemaError):
+        SC.drop_coords(c, ["S"])
+    with pytest.raises(KeyError):
+        SC.select_data_vars(c, "nope")
+    assert SC.drop_coords(c, "prcp").data_vars == ()
