@@ -2,10 +2,14 @@
 
 Layout of a store at ``root``:
 
-* ``root/cells/year=YYYY/*.parquet`` — the long cell table, partitioned by
-  the year of the start dimension and sorted by the dims inside each file
-  (repeated coordinates compress to almost nothing with dictionary + RLE,
-  and row-group statistics prune label predicates on every dim);
+* ``root/cells/tkey=N/*.parquet`` — the long cell table, one partition per
+  start (``tkey`` = hours since 1960-01-01 of the start, like the
+  reference's one-slice-per-start chunking), sorted by the dims inside each
+  file (repeated coordinates compress to almost nothing with dictionary +
+  RLE, and row-group statistics prune label predicates on every dim). New
+  starts are written with dynamic partition overwrite, so re-running a
+  failed or repeated load replaces exactly those starts: appends are
+  idempotent, and the stored time axis is the set of partition values;
 * ``root/meta/`` — one JSON text row with dims, data vars, attrs, encodings
   and axis directions (written through Spark, so any Hadoop file system works);
 * ``root/chunks/`` (packed layout only) — one row per (S, M, P, L) holding each
@@ -20,6 +24,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridcube.functions.calendar import decode_time, encode_time
 from gridcube.model import Axes, GridCube
 from gridcube.plans.strategy import join_small
 
@@ -38,8 +43,10 @@ def _time_dim(cube: GridCube) -> str:
     return cube.dims[0]
 
 
-def _meta(cube: GridCube, layout: str, grid: tuple[str, str] | None = None) -> str:
+def _meta(cube: GridCube, layout: str, grid: tuple[str, str] | None = None,
+          fixed_axes: dict | None = None) -> str:
     return json.dumps({
+        "fixed_axes": fixed_axes or {},
         "dims": list(cube.dims), "data_vars": list(cube.data_vars),
         "attrs": {k: dict(v) for k, v in cube.attrs.items()},
         "ds_attrs": dict(cube.ds_attrs),
@@ -73,29 +80,62 @@ def store_exists(spark: SparkSession, root: str) -> bool:
         return False
 
 
+PART = "tkey"
+
+
+def _with_tkey(df: DataFrame, t: str) -> tuple[DataFrame, list[str]]:
+    if dict(df.dtypes).get(t, "").startswith("timestamp"):
+        return df.withColumn(PART, encode_time(F.col(t), "hours")), [PART]
+    return df, []
+
+
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
-               grid: tuple[str, str] = (Axes.Y, Axes.X)) -> None:
-    """Write ``cube`` to ``root`` (``mode`` as in DataFrameWriter).
+               grid: tuple[str, str] = (Axes.Y, Axes.X), fixed_axes: dict | None = None) -> None:
+    """Write ``cube`` to ``root``.
 
+    ``mode``: ``errorifexists`` / ``overwrite`` (replace the whole store) /
+    ``append`` (add or replace whole starts: dynamic partition overwrite).
+    ``fixed_axes`` records axes that never grow (members, levels, leads of
+    the file set) so later loads check new files without scanning cells.
     No shuffle: rows are sorted inside each task before the partitioned write.
     """
     spark = cube.spark
     t = _time_dim(cube)
+    existed = store_exists(spark, root)
+    writer_mode = "overwrite" if mode == "append" else mode
+
+    def write(df: DataFrame, sub: str, order: list[str]) -> None:
+        df, parts = _with_tkey(df, t)
+        w = (df.sortWithinPartitions(*parts, *order).write.mode(writer_mode)
+               .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
+        if mode == "append":
+            w = w.option("partitionOverwriteMode", "dynamic")
+        if parts:
+            w = w.partitionBy(*parts)
+        w.parquet(f"{root}/{sub}")
+
     if layout == "cells":
-        df = cube.cells.withColumn("year", F.year(t))
-        (df.sortWithinPartitions("year", *cube.dims)
-           .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-           .partitionBy("year").parquet(f"{root}/cells"))
+        write(cube.cells, "cells", list(cube.dims))
     elif layout == "packed":
         chunks, axes = pack_chunks(cube, grid)
-        for d, ax in axes.items():
-            ax.coalesce(1).write.mode(mode).parquet(f"{root}/axes/{d}")
-        (chunks.withColumn("year", F.year(t)).sortWithinPartitions("year", *chunks.columns[:1])
-               .write.mode(mode).partitionBy("year").parquet(f"{root}/chunks"))
+        if not (mode == "append" and existed):
+            for d, ax in axes.items():
+                ax.coalesce(1).write.mode(writer_mode).parquet(f"{root}/axes/{d}")
+        write(chunks, "chunks", [c for c in cube.dims if c not in grid])
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    if mode != "append" or not store_exists(spark, root):
-        _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None))
+    if mode != "append" or not existed:
+        _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None, fixed_axes))
+
+
+def stored_times(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct starts already in the store, from the partition values only
+    (no cell data is read)."""
+    meta = read_meta(spark, root)
+    sub = "chunks" if meta["layout"] == "packed" else "cells"
+    t = meta["time_dim"]
+    keys = spark.read.parquet(f"{root}/{sub}").select(PART).distinct()
+    return keys.select(decode_time(F.col(PART), "hours").alias(t))
 
 
 def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: bool = True) -> GridCube:
@@ -109,7 +149,7 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
         axes = {d: spark.read.parquet(f"{root}/axes/{d}") for d in meta["grid"]}
         cells = unpack_chunks(cube.cells, dims, data_vars, tuple(meta["grid"]), axes)
     else:
-        cells = spark.read.parquet(f"{root}/cells").select(*dims, *data_vars)
+        cells = spark.read.parquet(f"{root}/cells").select(*dims, *data_vars)  # tkey pruned
     cube = GridCube(
         cells=cells, dims=dims, data_vars=data_vars,
         attrs={k: v for k, v in meta["attrs"].items() if k not in drop},

@@ -25,7 +25,8 @@ from gridcube.operators.quality import error_rate_gate
 from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
 from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims
-from gridcube.sources.store import read_cube, store_exists, write_cube
+from gridcube.plans.strategy import localize
+from gridcube.sources.store import read_meta, store_exists, stored_times, write_cube
 
 TIME = Axes.INGEST_TIME
 
@@ -84,17 +85,18 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
                                           "dtype": "int32"}},
                         descending=frozenset(n for n in file_axes if n == "P"))
         cube = densify(cube, template, file_axes)
-        write_cube(cube, store, mode="overwrite")
+        fixed = {d: [r[0] for r in ax.orderBy("pos").collect()] for d, ax in file_axes.items()}
+        write_cube(cube, store, mode="overwrite", fixed_axes=fixed)
         initialized = True
         if limit is not None:
             limit -= 1
-    stored = read_cube(spark, store, drop_variables=data_vars)
-    todo = new_times(parsed, stored.cells.select(F.col(TIME).alias("t")), first=first,
+    stored = localize(stored_times(spark, store))  # one row per stored start
+    todo = new_times(parsed, stored.select(F.col(TIME).alias("t")), first=first,
                      limit=limit if limit is None else max(limit, 0))
     bounds = todo.agg(F.min("t").alias("lo")).first()
     if bounds["lo"] is None:
         return initialized
-    last_old = stored.cells.agg(F.max(TIME)).first()[0]
+    last_old = stored.agg(F.max(TIME)).first()[0]
     if last_old is not None and bounds["lo"] < last_old:
         raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
     chosen = LS.path_lookup(files, todo)
@@ -102,7 +104,11 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     labels = chosen.select("path", *[F.col(c).alias(FILE_DIM_NAMES[c]) for c in ("m", "p", "l")
                                      if FILE_DIM_NAMES[c] in file_axes])
     if file_axes:
-        store_axes = {d: stored.axis(d) for d in file_axes}
+        fixed = read_meta(spark, store).get("fixed_axes", {})
+        types = dict(labels.dtypes)
+        store_axes = {d: spark.createDataFrame([(v, i) for i, v in enumerate(fixed.get(d, []))],
+                                               f"{d} {types[d]}, pos int")
+                      for d in file_axes}
         raise_on_region_errors(check_region(labels, store_axes))
     cells = load(chosen)
     write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
@@ -151,10 +157,11 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.select(*dims, *data_vars)
         if store_exists(spark, store):
-            stored_times = read_cube(spark, store, drop_variables=data_vars).cells.select(time_col)
-            stored_max = stored_times.agg(F.max(time_col)).first()[0]
-            # idempotent replay: starts already stored are skipped
-            batch = batch.join(stored_times.distinct(), time_col, "left_anti")
+            stored = localize(stored_times(spark, store))
+            stored_max = stored.agg(F.max(time_col)).first()[0]
+            # idempotent replay: starts already stored are skipped (and a
+            # start written twice would replace its own partition anyway)
+            batch = batch.join(F.broadcast(stored), time_col, "left_anti")
         else:
             stored_max = None
         labelled = late_start_guard(batch, stored_max, time_col)

@@ -169,3 +169,15 @@ def test_stream_ingest_diverts_late_starts(spark, make_cube, tmp_path):
     q.awaitTermination()
     assert ST.read_cube(spark, store).cells.count() == 4
     assert spark.read.parquet(str(tmp_path / "late")).count() == 12
+
+
+def test_append_replaces_whole_starts(spark, make_cube, tmp_path):
+    c = make_cube(n_s=3, n_l=2)
+    root = str(tmp_path / "s")
+    first = c.replace(cells=c.cells.filter(F.month("S") == 1))
+    ST.write_cube(first, root, mode="overwrite")
+    rest = c.replace(cells=c.cells.filter(F.month("S") > 1))
+    ST.write_cube(rest, root, mode="append")
+    ST.write_cube(rest, root, mode="append")  # a repeated load replaces, never duplicates
+    assert ST.read_cube(spark, root).cells.count() == c.cells.count()
+    assert sorted(r[0].month for r in ST.stored_times(spark, root).collect()) == [1, 2, 3]
