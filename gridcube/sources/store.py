@@ -2,9 +2,9 @@
 
 Layout of a store at ``root``:
 
-* ``root/cells/tkey=N/*.parquet`` — the long cell table, one partition per
-  start (``tkey`` = hours since 1960-01-01 of the start, like the
-  reference's one-slice-per-start chunking), sorted by the dims inside each
+* ``root/cells/<time dim>=<start>/*.parquet`` — the long cell table, one
+  partition per start (like one slice per start in a chunked array), so a
+  predicate on the start is a partition filter; sorted by the dims inside each
   file (repeated coordinates compress to almost nothing with dictionary +
   RLE, and row-group statistics prune label predicates on every dim). New
   starts are written with dynamic partition overwrite, so re-running a
@@ -23,8 +23,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridcube.functions.calendar import decode_time, encode_time
 from gridcube.model import Axes, GridCube
 from gridcube.plans.strategy import join_small
 
@@ -44,9 +44,10 @@ def _time_dim(cube: GridCube) -> str:
 
 
 def _meta(cube: GridCube, layout: str, grid: tuple[str, str] | None = None,
-          fixed_axes: dict | None = None) -> str:
+          fixed_axes: dict | None = None, schemas: dict | None = None) -> str:
     return json.dumps({
         "fixed_axes": fixed_axes or {},
+        "schemas": schemas or {},
         "dims": list(cube.dims), "data_vars": list(cube.data_vars),
         "attrs": {k: dict(v) for k, v in cube.attrs.items()},
         "ds_attrs": dict(cube.ds_attrs),
@@ -80,13 +81,10 @@ def store_exists(spark: SparkSession, root: str) -> bool:
         return False
 
 
-PART = "tkey"
-
-
-def _with_tkey(df: DataFrame, t: str) -> tuple[DataFrame, list[str]]:
-    if dict(df.dtypes).get(t, "").startswith("timestamp"):
-        return df.withColumn(PART, encode_time(F.col(t), "hours")), [PART]
-    return df, []
+def _partitions(df: DataFrame, t: str) -> list[str]:
+    """Partition by the start itself when it is a timestamp (read back with
+    the stored schema, so it stays TIMESTAMP_NTZ)."""
+    return [t] if dict(df.dtypes).get(t, "").startswith("timestamp") else []
 
 
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
@@ -97,15 +95,23 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
     ``append`` (add or replace whole starts: dynamic partition overwrite).
     ``fixed_axes`` records axes that never grow (members, levels, leads of
     the file set) so later loads check new files without scanning cells.
-    No shuffle: rows are sorted inside each task before the partitioned write.
+    One rebalance exchange clusters rows by start (skew-split by AQE); rows
+    are then sorted by the dims inside each task before the partitioned write.
     """
     spark = cube.spark
     t = _time_dim(cube)
     existed = store_exists(spark, root)
     writer_mode = "overwrite" if mode == "append" else mode
 
+    schemas = {}
+
     def write(df: DataFrame, sub: str, order: list[str]) -> None:
-        df, parts = _with_tkey(df, t)
+        parts = _partitions(df, t)
+        schemas[sub] = df.schema.json()
+        if parts:
+            # gather each start's rows (AQE splits a hot start over several
+            # tasks and merges small ones), so files are few and full-sized
+            df = df.hint("rebalance", *parts)
         w = (df.sortWithinPartitions(*parts, *order).write.mode(writer_mode)
                .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
         if mode == "append":
@@ -125,17 +131,22 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
     else:
         raise ValueError(f"unknown layout {layout!r}")
     if mode != "append" or not existed:
-        _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None, fixed_axes))
+        _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None, fixed_axes,
+                                       schemas))
+
+
+def _read(spark: SparkSession, root: str, meta: dict, sub: str) -> DataFrame:
+    schema = meta.get("schemas", {}).get(sub)
+    reader = spark.read.schema(T.StructType.fromJson(json.loads(schema))) if schema else spark.read
+    return reader.parquet(f"{root}/{sub}")
 
 
 def stored_times(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct starts already in the store, from the partition values only
-    (no cell data is read)."""
+    """Distinct starts already in the store: the partition values only (no
+    cell data is read)."""
     meta = read_meta(spark, root)
     sub = "chunks" if meta["layout"] == "packed" else "cells"
-    t = meta["time_dim"]
-    keys = spark.read.parquet(f"{root}/{sub}").select(PART).distinct()
-    return keys.select(decode_time(F.col(PART), "hours").alias(t))
+    return _read(spark, root, meta, sub).select(meta["time_dim"]).distinct()
 
 
 def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: bool = True) -> GridCube:
@@ -145,11 +156,11 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
     data_vars = tuple(v for v in meta["data_vars"] if v not in drop)
     dims = tuple(meta["dims"])
     if meta["layout"] == "packed":
-        cube = GridCube(cells=spark.read.parquet(f"{root}/chunks"), dims=dims, data_vars=data_vars)
+        cube = GridCube(cells=_read(spark, root, meta, "chunks"), dims=dims, data_vars=data_vars)
         axes = {d: spark.read.parquet(f"{root}/axes/{d}") for d in meta["grid"]}
         cells = unpack_chunks(cube.cells, dims, data_vars, tuple(meta["grid"]), axes)
     else:
-        cells = spark.read.parquet(f"{root}/cells").select(*dims, *data_vars)  # tkey pruned
+        cells = _read(spark, root, meta, "cells").select(*dims, *data_vars)
     cube = GridCube(
         cells=cells, dims=dims, data_vars=data_vars,
         attrs={k: v for k, v in meta["attrs"].items() if k not in drop},
