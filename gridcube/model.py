@@ -133,11 +133,9 @@ class GridCube:
         dims = list(dims or self.dims)
         memo = _AXES.setdefault(self.cells, {})  # dim -> ascending labels (list) or None
         todo = [d for d in dims if d not in memo]
-        if todo:
-            row = self.cells.agg(*[F.collect_set(d).alias(d) for d in todo]).first()
-            for d in todo:
-                memo[d] = sorted(row[d]) if len(row[d]) <= MAX_AXIS_LABELS else None
         types = {f.name: f.dataType for f in self.cells.schema.fields}
+        if todo:
+            memo.update(self._collect_labels(todo, types))
         out = {}
         for d in dims:
             desc = d in self.descending
@@ -151,6 +149,31 @@ class GridCube:
                 out[d] = labels.withColumn("pos", (F.row_number().over(Window.orderBy(order)) - 1).cast("int"))
         return out
 
+    def _collect_labels(self, todo: list[str], types) -> dict[str, list | None]:
+        """Distinct labels of several dims in one pass: each row is tagged
+        once per dim, de-duplicated map-side and on the shuffle (no task ever
+        holds more than its share), and at most ``MAX_AXIS_LABELS`` per dim
+        reach the driver; a larger dim gets None (numbered on the cluster)."""
+        tagged = F.array(*[
+            F.struct(F.lit(i).alias("_k"),
+                     *[(F.col(x) if x == d else F.lit(None).cast(types[x])).alias(x) for x in todo])
+            for i, d in enumerate(todo)])
+        labels = (self.cells.select(F.explode(tagged).alias("_e")).select("_e.*").distinct())
+        cap = MAX_AXIS_LABELS * len(todo) + 1
+        rows = labels.limit(cap).collect()
+        found: dict[str, list] = {d: [] for d in todo}
+        for r in rows:
+            d = todo[r["_k"]]
+            if r[d] is not None:
+                found[d].append(r[d])
+        if len(rows) < cap:
+            return {d: sorted(v) for d, v in found.items()}
+        out = {}
+        for d in todo:  # rare: some dim is not coordinate-sized; check each alone
+            few = self.cells.select(d).distinct().filter(F.col(d).isNotNull()).limit(MAX_AXIS_LABELS + 1).collect()
+            out[d] = sorted(r[0] for r in few) if len(few) <= MAX_AXIS_LABELS else None
+        return out
+
     # -------------------------------------------------------------- coords
     def with_coords(self, *names: str) -> DataFrame:
         """``cells`` with the named aux coordinates added as columns."""

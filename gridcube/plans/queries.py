@@ -479,8 +479,7 @@ def q_axis_position(spark, sf_dir):
     return H.axis_position(FX.standard_cube(spark, sf_dir), "Y").cells
 
 
-# Python's str.strip() whitespace, as a regex class both engines read the same way.
-_WS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WS = QL.PY_WHITESPACE  # the same class in both engines
 
 
 @query("pair_lines", f"""
