@@ -479,14 +479,14 @@ def q_axis_position(spark, sf_dir):
     return H.axis_position(FX.standard_cube(spark, sf_dir), "Y").cells
 
 
-_WS = QL.PY_WHITESPACE  # the same class in both engines
+_WS = "".join(f"' || chr({ord(c)}) || '" for c in QL.PY_WHITESPACE)  # same characters as Spark
 
 
 @query("pair_lines", f"""
 WITH split AS (
   SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS arr FROM documents),
 lines AS (
-  SELECT doc_id, regexp_replace(arr[i], '^{_WS}+|{_WS}+$', '', 'g') AS s, i
+  SELECT doc_id, trim(arr[i], ('{_WS}')) AS s, i
   FROM split, range(1, len(arr) + 1) r(i)),
 kept AS (
   SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
