@@ -68,3 +68,19 @@ def day360_to_standard(day_number: Column, epoch_year: int = 1960) -> Column:
 def fix_calendar_name(name: str | None) -> str | None:
     """A calendar named '360' means '360_day'."""
     return "360_day" if name == "360" else name
+
+
+def convert_calendar(cube, dim: str = "S", calendar: str | None = None, unit: str = "days"):
+    """A start axis stored as integer ``days since 1960-01-01`` in a 360-day
+    calendar becomes standard TIMESTAMP_NTZ with the same year, month and
+    day; starts whose date does not exist (e.g. 30 February) are removed."""
+    cal = fix_calendar_name(calendar or cube.encodings.get(dim, {}).get("calendar"))
+    if cal != "360_day":
+        raise ValueError(f"only 360_day -> standard is supported, got {cal!r}")
+    if unit != "days":
+        raise ValueError("360-day starts must be encoded in days")
+    conv = day360_to_standard(F.col(dim))
+    cells = cube.cells.withColumn(dim, conv).filter(F.col(dim).isNotNull())
+    enc = {k: dict(v) for k, v in cube.encodings.items()}
+    enc.setdefault(dim, {})["calendar"] = "standard"
+    return cube.replace(cells=cells, encodings=enc)

@@ -149,8 +149,13 @@ def stored_times(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, meta, sub).select(meta["time_dim"]).distinct()
 
 
-def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: bool = True) -> GridCube:
-    """Open a store read-only; ``drop_variables`` are pruned from the scan."""
+def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: bool = True,
+              decode_cf: bool = True) -> GridCube:
+    """Open a store read-only; ``drop_variables`` are pruned from the scan.
+
+    With ``decode_cf``, packed variables (``_FillValue`` / ``missing_value`` /
+    ``scale_factor`` / ``add_offset`` attrs) are unpacked on read; with
+    ``decode_times=False`` time coordinates stay CF-encoded integers."""
     meta = read_meta(spark, root)
     drop = set(drop_variables)
     data_vars = tuple(v for v in meta["data_vars"] if v not in drop)
@@ -167,6 +172,16 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
         ds_attrs=meta["ds_attrs"], encodings=meta["encodings"],
         descending=frozenset(meta["descending"]), bare_dims=frozenset(meta["bare_dims"]),
     )
+    if decode_cf:
+        from gridcube.functions.cf import mask_and_scale
+        packed = {v: mask_and_scale(F.col(v), cube.var_attrs(v)) for v in cube.data_vars
+                  if any(k in cube.var_attrs(v) for k in ("_FillValue", "missing_value",
+                                                           "scale_factor", "add_offset"))}
+        if packed:
+            attrs = {k: {a: b for a, b in v.items() if a not in ("_FillValue", "missing_value",
+                                                                  "scale_factor", "add_offset")}
+                     if k in packed else v for k, v in cube.attrs.items()}
+            cube = cube.replace(cells=cube.cells.withColumns(packed), attrs=attrs)
     if not decode_times:
         from gridcube.functions.calendar import encode_time, parse_units
         cols = {}

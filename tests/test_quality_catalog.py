@@ -164,3 +164,48 @@ def test_schema_error_paths(make_cube):
     with pytest.raises(KeyError):
         SC.select_data_vars(c, "nope")
     assert SC.drop_coords(c, "prcp").data_vars == ()
+
+
+def test_cf_encode_decode_round_trip(spark, make_cube):
+    from gridcube.functions.cf import cf_decode, cf_encode
+    c = make_cube().replace(encodings={"S": {"units": "days since 1960-01-01", "calendar": "standard"}})
+    enc = cf_encode(c)
+    assert dict(enc.cells.dtypes)["S"] == "int" and enc.attrs["S"]["units"].startswith("days")
+    assert enc.cells.agg(F.min("S")).first()[0] == 7305
+    back = cf_decode(enc)
+    assert sorted(tuple(r) for r in back.cells.collect()) == sorted(tuple(r) for r in c.cells.collect())
+
+
+def test_convert_calendar_drops_impossible_dates(spark):
+    from gridcube.functions.calendar import convert_calendar
+    from gridcube.model import GridCube
+    days = list(range(0, 720))  # two 360-day years: 1960 (leap) and 1961
+    df = spark.createDataFrame([(d, 1.0) for d in days], "S int, v double")
+    c = GridCube(cells=df, dims=("S",), data_vars=("v",), encodings={"S": {"calendar": "360"}})
+    out = convert_calendar(c)
+    # every 360-day month has 30 days: only 30 Feb 1960, 29 and 30 Feb 1961 do not exist
+    assert out.cells.count() == 720 - 1 - 2
+    assert out.cells.filter(F.col("S") == F.lit("1961-03-30").cast("timestamp_ntz")).count() == 1
+    assert out.encodings["S"]["calendar"] == "standard"
+
+
+def test_compare_datasets_checks_variables(spark, make_cube):
+    a = make_cube()
+    assert all(r["same"] for r in QL.compare_datasets(a, a).collect())
+    two = a.replace(cells=a.cells.withColumn("x", F.lit(1.0)), data_vars=("prcp", "x"))
+    with pytest.raises(ValueError, match="target_bnds"):
+        QL.compare_datasets(a, two)
+
+
+def test_read_cube_unpacks_cf(spark, make_cube, tmp_path):
+    from gridcube.sources import store as ST
+    c = make_cube()
+    packed = c.replace(cells=c.cells.withColumn("prcp", F.col("prcp").cast("int")),
+                       attrs={"prcp": {"_FillValue": 3, "scale_factor": 0.5, "add_offset": 10.0}})
+    ST.write_cube(packed, str(tmp_path / "p"), mode="overwrite")
+    out = ST.read_cube(spark, str(tmp_path / "p"))
+    vals = sorted((r["prcp"] is None, r["prcp"]) for r in out.cells.collect())
+    assert vals[0] == (False, 10.0) and sum(1 for v in vals if v[0]) == 1
+    assert "_FillValue" not in out.attrs["prcp"]
+    raw = ST.read_cube(spark, str(tmp_path / "p"), decode_cf=False)
+    assert raw.cells.filter(F.col("prcp").isNull()).count() == 0
