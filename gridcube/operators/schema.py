@@ -26,7 +26,10 @@ def rename(cube: GridCube, mapping: Mapping[str, str]) -> GridCube:
     m = {a: b for a, b in mapping.items() if a in present and a != b}
     if not m:
         return cube
-    r = lambda n: m.get(n, n)
+
+    def r(n: str) -> str:
+        return m.get(n, n)
+
     coords = {}
     for name, c in cube.coords.items():
         table = c.table

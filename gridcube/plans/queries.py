@@ -413,12 +413,11 @@ def _coords_sql() -> str:
         pred = ("CASE WHEN a.v IS NULL AND b.v IS NULL THEN true WHEN a.v IS NULL OR b.v IS NULL THEN false "
                 "ELSE abs(a.v - b.v) <= CAST('1e-08' AS DOUBLE) + CAST('1e-05' AS DOUBLE) * abs(b.v) END"
                 if d in ("Y", "X") else "a.v IS NOT DISTINCT FROM b.v")
-        order = f"{d} DESC" if desc else d
-        ax = lambda src: (f"SELECT {d} AS v, row_number() OVER (ORDER BY {order}) AS pos "
-                          f"FROM (SELECT DISTINCT {d} FROM {src})")
+        ax_a, ax_b = (axis_sql(d, src, desc).replace(f"SELECT {d},", f"SELECT {d} AS v,", 1)
+                      for src in ("cube", "cube_b"))
         parts.append(f"SELECT '{d}' AS coord, coalesce(bool_and({pred}), true) AS same, "
                      f"'present' AS a, 'present' AS b "
-                     f"FROM ({ax('cube')}) a FULL OUTER JOIN ({ax('cube_b')}) b ON a.pos = b.pos")
+                     f"FROM ({ax_a}) a FULL OUTER JOIN ({ax_b}) b ON a.pos = b.pos")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -557,7 +556,7 @@ def q_snapshot_identical(spark, sf_dir):
 # ------------------------------------------------------------------ scalar functions (ops 52-62)
 from gridcube.functions import calendar as CAL  # noqa: E402
 from gridcube.functions.cf import mask_and_scale  # noqa: E402
-from gridcube.functions.units import unit_table  # noqa: E402
+from gridcube.functions.units import STANDARD_UNIT_CONVERSIONS, unit_table  # noqa: E402
 
 
 @query("convert_units", with_views(f"""
@@ -582,7 +581,7 @@ def q_convert_units_float32(spark, sf_dir):
 
 _UNIT_VALUES = ", ".join(
     f"('{a}', '{b}', {dbl(1 if v is None else v[0])}, {dbl(0 if v is None else v[1])})"
-    for (a, b), v in __import__("gridcube.functions.units", fromlist=["x"]).STANDARD_UNIT_CONVERSIONS.items())
+    for (a, b), v in STANDARD_UNIT_CONVERSIONS.items())
 
 
 @query("unit_table", with_views(f"""
