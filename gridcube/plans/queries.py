@@ -775,14 +775,14 @@ def _run_update(spark, sf_dir, store, var, limit=None, first=None):
 
 
 @query("ingest_update", with_views("""
-SELECT tm.IRIDL_time, mm.number, tm.step, tm.latitude, tm.longitude, a.tas
+SELECT tm.IRIDL_time, mm.number, tm.step, tm.latitude, tm.longitude, CAST(a.tas AS FLOAT) AS tas
 FROM (SELECT DISTINCT IRIDL_time, step, latitude, longitude FROM assigned
       WHERE IRIDL_time = (SELECT min(IRIDL_time) FROM assigned)) tm
 CROSS JOIN (SELECT DISTINCT m AS number FROM parsed) mm
 LEFT JOIN assigned a ON a.IRIDL_time = tm.IRIDL_time AND a.number = mm.number AND a.step = tm.step
       AND a.latitude = tm.latitude AND a.longitude = tm.longitude
 UNION ALL
-SELECT IRIDL_time, number, step, latitude, longitude, tas FROM assigned
+SELECT IRIDL_time, number, step, latitude, longitude, CAST(tas AS FLOAT) FROM assigned
 WHERE IRIDL_time > (SELECT min(IRIDL_time) FROM assigned)""",
     **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
 def q_ingest_update(spark, sf_dir):

@@ -24,7 +24,7 @@ from gridcube.operators.align import check_region, densify, new_times, raise_on_
 from gridcube.operators.quality import error_rate_gate
 from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
-from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims
+from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims, promote_time_dim
 from gridcube.plans.strategy import localize
 from gridcube.sources.store import read_meta, store_exists, stored_times, write_cube
 
@@ -49,15 +49,25 @@ def _file_axes(axes: LS.DatasetCoords) -> dict[str, DataFrame]:
 
 
 def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, listing: DataFrame,
-           decode: Decode, data_vars: Iterable[str], grid_dims: Iterable[str],
+           decode: Decode, data_vars: Iterable[str] | None, grid_dims: Iterable[str],
            limit: int | None = None, first=None, attrs: Mapping | None = None,
-           ds_attrs: Mapping | None = None) -> bool:
-    """Bring the store up to date; returns whether it changed."""
+           ds_attrs: Mapping | None = None, narrow: bool = True) -> bool:
+    """Bring the store up to date; returns whether it changed.
+
+    The descriptor's options shape each decoded file as the reference's file
+    opener does: ``data_vars`` keeps only those variables, ``drop_coords``
+    must name existing columns and drops them, ``original_time_dim`` is a
+    file-internal start promoted to the time dimension, and float64 data
+    variables are stored as float32 (``narrow``)."""
     parsed = LS.parse_paths(listing, descriptor)
     files = LS.dedupe_paths(parsed)
     axes = LS.coord_index(parsed)
     file_axes = _file_axes(axes)
     dims = (TIME, *file_axes, *grid_dims)
+    if data_vars is None:
+        data_vars = descriptor.data_vars
+    if data_vars is None:
+        raise IngestError("name the data variables (descriptor.data_vars or data_vars=)")
     data_vars = tuple(data_vars)
     initialized = False
 
@@ -69,8 +79,21 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         decoded = spark.read.parquet(staging)
         good = error_rate_gate(file_errors(decoded))  # raises above the tolerated rate
         ok = decoded.join(good.select("path"), "path", "left_semi").drop("error")
+        missing = [c for c in descriptor.drop_coords if c not in ok.columns]
+        if missing:
+            raise IngestError(f"cannot drop {missing}: not in the decoded files")
+        ok = ok.drop(*descriptor.drop_coords)
         file_coords = [c for c in ("m", "p", "l") if FILE_DIM_NAMES[c] in file_axes]
-        return assign_file_dims(ok, files_now, key="path", coords=file_coords).select(*dims, *data_vars)
+        if descriptor.original_time_dim:
+            cells = promote_time_dim(ok, files_now, descriptor.original_time_dim, key="path",
+                                     coords=file_coords)
+        else:
+            cells = assign_file_dims(ok, files_now, key="path", coords=file_coords)
+        cells = cells.select(*dims, *data_vars)
+        if narrow:
+            types = dict(cells.dtypes)
+            cells = cells.withColumns({v: F.col(v).cast("float") for v in data_vars if types[v] == "double"})
+        return cells
 
     if not store_exists(spark, store):
         t_first = LS.list_times(parsed, first).agg(F.min("t")).first()[0]

@@ -181,3 +181,29 @@ def test_append_replaces_whole_starts(spark, make_cube, tmp_path):
     ST.write_cube(rest, root, mode="append")  # a repeated load replaces, never duplicates
     assert ST.read_cube(spark, root).cells.count() == c.cells.count()
     assert sorted(r[0].month for r in ST.stored_times(spark, root).collect()) == [1, 2, 3]
+
+
+def test_update_applies_descriptor_options(spark, tmp_path):
+    d = tmp_path / "files"
+    d.mkdir()
+    for i in range(2):
+        pd.DataFrame({"Y": [0.0, 1.0], "X": [10.0, 10.0], "tas": [1.0, 2.0], "junk": [0, 0],
+                      "time": pd.to_datetime([f"200{i}-01-03"] * 2)}).to_parquet(d / f"fc_200{i}01_m1.parquet")
+    schema = T.StructType([*GRID_SCHEMA.fields, T.StructField("junk", T.LongType()),
+                           T.StructField("time", T.TimestampNTZType())])
+    desc = LS.FileSetDescriptor(name="tas", dir=str(d), data_vars="tas", drop_vars="junk",
+                                original_time_dim="time",
+                                pattern=r"fc_(?P<year>\d{4})(?P<month>\d{2})_m(?P<member>\d)\.parquet$")
+    assert desc.drop_coords == ["junk"] and desc.data_vars == ["tas"]
+
+    def decode(files):
+        return DC.decode_files(spark, files, DC.parquet_decoder(), schema)
+    store = str(tmp_path / "store")
+    assert SI.update(spark, desc, store, LS.list_files(spark, str(d)), decode, None, ["Y", "X"])
+    out = ST.read_cube(spark, store)
+    assert out.data_vars == ("tas",) and dict(out.cells.dtypes)["tas"] == "float"
+    assert sorted(r[0].year for r in ST.stored_times(spark, store).collect()) == [2000, 2001]
+    bad = LS.FileSetDescriptor(name="tas", dir=str(d), data_vars="tas", drop_coords="nope",
+                               pattern=desc.pattern)
+    with pytest.raises(IngestError, match="cannot drop"):
+        SI.update(spark, bad, str(tmp_path / "s2"), LS.list_files(spark, str(d)), decode, None, ["Y", "X"])
