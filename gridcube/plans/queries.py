@@ -825,3 +825,24 @@ def q_ingest_stream(spark, sf_dir):
                          f"{base}/checkpoint", DIMS, c.data_vars, time_col="S")
     q.awaitTermination()
     return ST.read_cube(spark, f"{base}/store").cells
+
+
+@query("ingest_file_stream", with_views(
+    "SELECT IRIDL_time, number, step, latitude, longitude, CAST(tas AS FLOAT) AS tas FROM assigned",
+    **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
+def q_ingest_file_stream(spark, sf_dir):
+    from pyspark.sql import types as T
+    base = shared_dir(spark, "streams", "ingest_file_stream")
+    # the provider's raw files: one Parquet file per (start, member), named like the listing
+    assigned = _assigned(spark, sf_dir)
+    (assigned.select(F.regexp_extract("path", r"(fc_[^/]+\.nc)$", 1).alias("file"),
+                     "step", "latitude", "longitude", "tas")
+             .repartition("file").write.partitionBy("file").parquet(f"{base}/raw"))
+    desc = FX.descriptor(pattern=r"fc_(?P<year>\d{4})-(?P<month>\d{2})_m(?P<member>\d+)\.nc/")
+    desc.dir = f"{base}/raw"
+    schema = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("latitude", T.DoubleType()),
+                           T.StructField("longitude", T.DoubleType()), T.StructField("tas", T.DoubleType())])
+    q = SI.ingest_file_stream(spark, desc, DC.parquet_decoder([f.name for f in schema.fields]), schema,
+                              f"{base}/store", f"{base}/checkpoint", _GRID, ["tas"])
+    q.awaitTermination()
+    return ST.read_cube(spark, f"{base}/store").cells

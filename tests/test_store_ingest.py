@@ -207,3 +207,24 @@ def test_update_applies_descriptor_options(spark, tmp_path):
                                pattern=desc.pattern)
     with pytest.raises(IngestError, match="cannot drop"):
         SI.update(spark, bad, str(tmp_path / "s2"), LS.list_files(spark, str(d)), decode, None, ["Y", "X"])
+
+
+def test_file_stream_incremental_and_late(spark, tmp_path):
+    d = _write_files(tmp_path, n_starts=2, members=(1, 2))
+    desc = LS.FileSetDescriptor(name="tas", dir=d,
+                                pattern=r"fc_(?P<year>\d{4})(?P<month>\d{2})_m(?P<member>\d)\.parquet$")
+    store, ck = str(tmp_path / "store"), str(tmp_path / "ck")
+
+    def run():
+        SI.ingest_file_stream(spark, desc, DC.parquet_decoder(), GRID_SCHEMA, store, ck, ["Y", "X"],
+                              ["tas"], on_late="divert", late_dir=str(tmp_path / "late")).awaitTermination()
+    run()
+    assert ST.read_cube(spark, store).cells.count() == 2 * 2 * 4
+    _write_files(tmp_path, n_starts=3, members=(1, 2))  # adds the 2002 start (older files rewritten)
+    pd.DataFrame({"Y": [0.0], "X": [10.0], "tas": [1.0]}).to_parquet(os.path.join(d, "fc_199901_m1.parquet"))
+    run()
+    cells = ST.read_cube(spark, store).cells
+    assert sorted(r[0].year for r in ST.stored_times(spark, store).collect()) == [2000, 2001, 2002]
+    assert cells.count() == 3 * 2 * 4
+    assert dict(cells.dtypes)["tas"] == "float"
+    assert spark.read.parquet(str(tmp_path / "late")).count() == 1
