@@ -179,8 +179,9 @@ def decode_fixture_files(spark: SparkSession, sf_dir: str):
     def decode(files: DataFrame) -> DataFrame:
         keyed = files.select("path", F.regexp_extract("path", r"/data/run(\d+)/", 1)
                              .cast("bigint").alias("o_orderkey"))
-        return (keyed.join(contents, "o_orderkey")
-                     .drop("o_orderkey").withColumn("error", F.lit(None).cast("string")))
+        from gridcube.plans.strategy import join_small
+        return (join_small(contents, keyed, "o_orderkey")
+                .drop("o_orderkey").withColumn("error", F.lit(None).cast("string")))
     return decode
 
 

@@ -59,9 +59,11 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     must name existing columns and drops them, ``original_time_dim`` is a
     file-internal start promoted to the time dimension, and float64 data
     variables are stored as float32 (``narrow``)."""
-    parsed = LS.parse_paths(listing, descriptor)
-    files = LS.dedupe_paths(parsed)
-    axes = LS.coord_index(parsed)
+    # one row per file coordinate; every later decision (axes, starts, the
+    # files to load) derives from this table, so the listing is parsed once
+    # (and held driver-local when it is coordinate-sized)
+    files = localize(LS.dedupe_paths(LS.parse_paths(listing, descriptor)))
+    axes = LS.coord_index(files)
     file_axes = _file_axes(axes)
     dims = (TIME, *file_axes, *grid_dims)
     if data_vars is None:
@@ -96,7 +98,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         return cells
 
     if not store_exists(spark, store):
-        t_first = LS.list_times(parsed, first).agg(F.min("t")).first()[0]
+        t_first = LS.list_times(files, first).agg(F.min("t")).first()[0]
         if t_first is None:
             raise IngestError(f"no files match {descriptor.pattern!r} under {descriptor.dir}")
         cells = load(files.filter(F.col("t") == F.lit(t_first)))
@@ -114,7 +116,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         if limit is not None:
             limit -= 1
     stored = localize(stored_times(spark, store))  # one row per stored start
-    todo = new_times(parsed, stored.select(F.col(TIME).alias("t")), first=first,
+    todo = new_times(files, stored.select(F.col(TIME).alias("t")), first=first,
                      limit=limit if limit is None else max(limit, 0))
     bounds = todo.agg(F.min("t").alias("lo")).first()
     if bounds["lo"] is None:
