@@ -51,14 +51,19 @@ def _file_axes(axes: LS.DatasetCoords) -> dict[str, DataFrame]:
 def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, listing: DataFrame,
            decode: Decode, data_vars: Iterable[str] | None, grid_dims: Iterable[str],
            limit: int | None = None, first=None, attrs: Mapping | None = None,
-           ds_attrs: Mapping | None = None, narrow: bool = True) -> bool:
+           ds_attrs: Mapping | None = None, narrow: bool = True, refill: bool = False) -> bool:
     """Bring the store up to date; returns whether it changed.
 
     The descriptor's options shape each decoded file as the reference's file
     opener does: ``data_vars`` keeps only those variables, ``drop_coords``
     must name existing columns and drops them, ``original_time_dim`` is a
     file-internal start promoted to the time dimension, and float64 data
-    variables are stored as float32 (``narrow``)."""
+    variables are stored as float32 (``narrow``).
+
+    A start that is already stored is not revisited, even when some of its
+    files failed to load. ``refill=True`` reloads every stored start that
+    lacks data from one of its listed files (the whole start is rewritten,
+    replacing its partition)."""
     # one row per file coordinate; every later decision (axes, starts, the
     # files to load) derives from this table, so the listing is parsed once
     # (and held driver-local when it is coordinate-sized)
@@ -118,6 +123,9 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     stored = localize(stored_times(spark, store))  # one row per stored start
     todo = new_times(files, stored.select(F.col(TIME).alias("t")), first=first,
                      limit=limit if limit is None else max(limit, 0))
+    if refill:
+        refilled = _refill(spark, store, files, file_axes, data_vars, load)
+        initialized = initialized or refilled
     bounds = todo.agg(F.min("t").alias("lo")).first()
     if bounds["lo"] is None:
         return initialized
@@ -140,6 +148,31 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     return True
 
 
+def _refill(spark: SparkSession, store: str, files: DataFrame, file_axes, data_vars, load) -> bool:
+    """Reload stored starts where a listed file left no data."""
+    from gridcube.sources.store import read_cube
+    fdims = list(file_axes)
+    names = {FILE_DIM_NAMES[c]: c for c in ("m", "p", "l")}
+    cells = read_cube(spark, store).cells
+    has_data = None
+    for v in data_vars:
+        e = F.col(v).isNotNull()
+        has_data = e if has_data is None else has_data | e
+    present = (cells.filter(has_data).select(F.col(TIME).alias("t"),
+                                             *[F.col(d).alias(names[d]) for d in fdims]).distinct())
+    stored_t = localize(stored_times(spark, store)).withColumnRenamed(TIME, "t")
+    listed = files.join(F.broadcast(stored_t), "t", "left_semi")
+    gaps = listed.join(present, ["t", *[names[d] for d in fdims]], "left_anti").select("t").distinct()
+    gaps = localize(gaps)
+    if gaps.limit(1).count() == 0:
+        return False
+    chosen = LS.path_lookup(files, gaps)
+    write_cube(GridCube(cells=load(chosen), dims=(TIME, *fdims, *[c for c in cells.columns
+                                                                  if c not in (TIME, *fdims, *data_vars)]),
+                        data_vars=tuple(data_vars)), store, mode="append")
+    return True
+
+
 def run_summary(spark: SparkSession, runs: Mapping[str, Callable[[], bool]]) -> DataFrame:
     """Run each variable's update; one failure does not stop the others.
     Returns ``(var, status, message)``."""

@@ -228,3 +228,20 @@ def test_file_stream_incremental_and_late(spark, tmp_path):
     assert cells.count() == 3 * 2 * 4
     assert dict(cells.dtypes)["tas"] == "float"
     assert spark.read.parquet(str(tmp_path / "late")).count() == 1
+
+
+def test_update_refill_reloads_starts_with_missing_files(spark, tmp_path):
+    d = _write_files(tmp_path, n_starts=3, members=(1, 2))
+    late_file = os.path.join(d, "fc_200101_m2.parquet")
+    content = open(late_file, "rb").read()
+    os.remove(late_file)
+    store = str(tmp_path / "store")
+    assert _update(spark, tmp_path, store)
+    assert ST.read_cube(spark, store).cells.count() == 5 * 4  # a later start: nothing densified
+    open(late_file, "wb").write(content)  # the missing file arrives later
+    assert not _update(spark, tmp_path, store)  # default: a stored start is not revisited
+    assert _update(spark, tmp_path, store, refill=True)
+    cells = ST.read_cube(spark, store).cells
+    assert cells.count() == 6 * 4
+    assert cells.filter((F.year("IRIDL_time") == 2001) & (F.col("number") == 2)).first()["tas"] == 12.0
+    assert not _update(spark, tmp_path, store, refill=True)
