@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcube.model import Axes, GridCube
+from gridcube.model import Axes, Coord, GridCube
 from gridcube.plans.strategy import join_small
 
 # Files hold at most this many rows (about 64 MB of float cells with their coords).
@@ -44,8 +44,10 @@ def _time_dim(cube: GridCube) -> str:
 
 
 def _meta(cube: GridCube, layout: str, grid: tuple[str, str] | None = None,
-          fixed_axes: dict | None = None, schemas: dict | None = None) -> str:
+          fixed_axes: dict | None = None, schemas: dict | None = None,
+          extra: dict | None = None) -> str:
     return json.dumps({
+        **(extra or {}),
         "fixed_axes": fixed_axes or {},
         "schemas": schemas or {},
         "dims": list(cube.dims), "data_vars": list(cube.data_vars),
@@ -88,7 +90,8 @@ def _partitions(df: DataFrame, t: str) -> list[str]:
 
 
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
-               grid: tuple[str, str] = (Axes.Y, Axes.X), fixed_axes: dict | None = None) -> None:
+               grid: tuple[str, str] = (Axes.Y, Axes.X), fixed_axes: dict | None = None,
+               extra_meta: dict | None = None) -> None:
     """Write ``cube`` to ``root``.
 
     ``mode``: ``errorifexists`` / ``overwrite`` (replace the whole store) /
@@ -132,7 +135,7 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
         raise ValueError(f"unknown layout {layout!r}")
     if mode != "append" or not existed:
         _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None, fixed_axes,
-                                       schemas))
+                                       schemas, extra_meta))
 
 
 def _read(spark: SparkSession, root: str, meta: dict, sub: str) -> DataFrame:
@@ -164,10 +167,17 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
         cube = GridCube(cells=_read(spark, root, meta, "chunks"), dims=dims, data_vars=data_vars)
         axes = {d: spark.read.parquet(f"{root}/axes/{d}") for d in meta["grid"]}
         cells = unpack_chunks(cube.cells, dims, data_vars, tuple(meta["grid"]), axes)
+        coords = {}
     else:
-        cells = _read(spark, root, meta, "cells").select(*dims, *data_vars)
+        raw = _read(spark, root, meta, "cells")
+        cells = raw.select(*dims, *data_vars)
+        # coordinates stored with the cells / in their own small tables
+        coords = {n: Coord(tuple(d), table=raw.select(*d, n))
+                  for n, d in meta.get("cell_coords", {}).items() if n not in drop}
+    coords.update({n: Coord(tuple(d), table=spark.read.parquet(f"{root}/coords/{n}"))
+                   for n, d in meta.get("table_coords", {}).items() if n not in drop})
     cube = GridCube(
-        cells=cells, dims=dims, data_vars=data_vars,
+        cells=cells, dims=dims, data_vars=data_vars, coords=coords,
         attrs={k: v for k, v in meta["attrs"].items() if k not in drop},
         ds_attrs=meta["ds_attrs"], encodings=meta["encodings"],
         descending=frozenset(meta["descending"]), bare_dims=frozenset(meta["bare_dims"]),

@@ -77,6 +77,12 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         raise IngestError("name the data variables (descriptor.data_vars or data_vars=)")
     data_vars = tuple(data_vars)
     initialized = False
+    # coordinates that vary per start are kept with the cells as <c>_expanded;
+    # aux coordinates do not vary with the start and are stored once
+    expanded = {c: f"{c}_expanded" for c in descriptor.expand_coords}
+    aux = list(descriptor.aux_coords)
+    extra_meta = {"cell_coords": {n: [TIME, *grid_dims] for n in expanded.values()},
+                  "table_coords": {c: list(grid_dims) for c in aux}}
 
     def load(files_now: DataFrame) -> DataFrame:
         # decode once into a staging table on the shared file system: the gate
@@ -90,13 +96,16 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         if missing:
             raise IngestError(f"cannot drop {missing}: not in the decoded files")
         ok = ok.drop(*descriptor.drop_coords)
+        absent = [c for c in [*expanded, *aux] if c not in ok.columns]
+        if absent:
+            raise IngestError(f"coordinates {absent} are not in the decoded files")
         file_coords = [c for c in ("m", "p", "l") if FILE_DIM_NAMES[c] in file_axes]
         if descriptor.original_time_dim:
             cells = promote_time_dim(ok, files_now, descriptor.original_time_dim, key="path",
                                      coords=file_coords)
         else:
             cells = assign_file_dims(ok, files_now, key="path", coords=file_coords)
-        cells = cells.select(*dims, *data_vars)
+        cells = cells.select(*dims, *data_vars, *[F.col(c).alias(n) for c, n in expanded.items()], *aux)
         if narrow:
             types = dict(cells.dtypes)
             cells = cells.withColumns({v: F.col(v).cast("float") for v in data_vars if types[v] == "double"})
@@ -107,6 +116,10 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         if t_first is None:
             raise IngestError(f"no files match {descriptor.pattern!r} under {descriptor.dir}")
         cells = load(files.filter(F.col("t") == F.lit(t_first)))
+        for c in aux:  # from the first start, like the reference's first slice
+            (cells.select(*grid_dims, c).dropDuplicates(list(grid_dims))
+                  .write.mode("overwrite").parquet(f"{store}/coords/{c}"))
+        cells = cells.drop(*aux)
         # missing files of the first start become all-missing slices
         template = cells.select(TIME, *grid_dims).distinct()
         cube = GridCube(cells=cells, dims=dims, data_vars=data_vars, attrs=dict(attrs or {}),
@@ -116,7 +129,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
                         descending=frozenset(n for n in file_axes if n == "P"))
         cube = densify(cube, template, file_axes)
         fixed = {d: [r[0] for r in ax.orderBy("pos").collect()] for d, ax in file_axes.items()}
-        write_cube(cube, store, mode="overwrite", fixed_axes=fixed)
+        write_cube(cube, store, mode="overwrite", fixed_axes=fixed, extra_meta=extra_meta)
         initialized = True
         if limit is not None:
             limit -= 1
@@ -143,7 +156,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
                                                f"{d} {types[d]}, pos int")
                       for d in file_axes}
         raise_on_region_errors(check_region(labels, store_axes))
-    cells = load(chosen)
+    cells = load(chosen).drop(*aux)
     write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
     return True
 

@@ -245,3 +245,27 @@ def test_update_refill_reloads_starts_with_missing_files(spark, tmp_path):
     assert cells.count() == 6 * 4
     assert cells.filter((F.year("IRIDL_time") == 2001) & (F.col("number") == 2)).first()["tas"] == 12.0
     assert not _update(spark, tmp_path, store, refill=True)
+
+
+def test_update_keeps_aux_and_expanded_coords(spark, tmp_path):
+    d = tmp_path / "files"
+    d.mkdir()
+    for i in range(2):
+        pd.DataFrame({"Y": [0.0, 1.0], "X": [10.0, 10.0], "tas": [1.0, 2.0], "area": [5.0, 6.0],
+                      "valid": [float(i), float(i)]}).to_parquet(d / f"fc_200{i}01_m1.parquet")
+    schema = T.StructType([*GRID_SCHEMA.fields, T.StructField("area", T.DoubleType()),
+                           T.StructField("valid", T.DoubleType())])
+    desc = LS.FileSetDescriptor(name="tas", dir=str(d), data_vars="tas", aux_coords="area",
+                                expand_coords="valid",
+                                pattern=r"fc_(?P<year>\d{4})(?P<month>\d{2})_m(?P<member>\d)\.parquet$")
+
+    def decode(files):
+        return DC.decode_files(spark, files, DC.parquet_decoder(), schema)
+    store = str(tmp_path / "store")
+    assert SI.update(spark, desc, store, LS.list_files(spark, str(d)), decode, None, ["Y", "X"])
+    cube = ST.read_cube(spark, store)
+    assert set(cube.coords) == {"area", "valid_expanded"}
+    assert cube.cells.columns == ["IRIDL_time", "number", "Y", "X", "tas"]
+    assert sorted(r["area"] for r in cube.coord_frame("area").collect()) == [5.0, 6.0]
+    v = {(r["IRIDL_time"].year, r["valid_expanded"]) for r in cube.coord_frame("valid_expanded").collect()}
+    assert v == {(2000, 0.0), (2001, 1.0)}
