@@ -107,6 +107,27 @@ class GridCube:
     def var_attrs(self, name: str) -> Mapping[str, str]:
         return self.attrs.get(name, _EMPTY)
 
+    # method forms of the common operators (labelled-array style)
+    def isel(self, **indexers) -> "GridCube":
+        from gridcube.operators.select import isel
+        return isel(self, **indexers)
+
+    def sel(self, **indexers) -> "GridCube":
+        from gridcube.operators.select import sel
+        return sel(self, **indexers)
+
+    def rename(self, mapping: Mapping[str, str]) -> "GridCube":
+        from gridcube.operators.schema import rename
+        return rename(self, mapping)
+
+    def drop_vars(self, names) -> "GridCube":
+        from gridcube.operators.schema import drop_coords
+        return drop_coords(self, names)
+
+    def sizes(self) -> dict[str, int]:
+        """Dimension sizes (from the axis tables)."""
+        return {d: a.count() for d, a in self.axes().items()}
+
     def transform(self, fn, *args, **kwargs) -> "GridCube":
         out = fn(self, *args, **kwargs)
         if not isinstance(out, GridCube):

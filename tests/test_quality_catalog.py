@@ -209,3 +209,14 @@ def test_read_cube_unpacks_cf(spark, make_cube, tmp_path):
     assert "_FillValue" not in out.attrs["prcp"]
     raw = ST.read_cube(spark, str(tmp_path / "p"), decode_cf=False)
     assert raw.cells.filter(F.col("prcp").isNull()).count() == 0
+
+
+def test_method_forms(make_cube):
+    c = make_cube(n_s=4, n_l=3)
+    assert c.sizes() == {"S": 4, "L": 3, "Y": 2, "X": 2}
+    out = c.rename({"prcp": "pr"}).isel(S=slice(0, 2)).sel(L=[0, 1])
+    assert out.data_vars == ("pr",) and out.cells.count() == 2 * 2 * 4
+    assert c.drop_vars("prcp").data_vars == ()
+    assert c.transform(lambda x: x.isel(L=0)).dims == ("S", "Y", "X")
+    with pytest.raises(TypeError):
+        c.transform(lambda x: None)
