@@ -846,3 +846,21 @@ def q_ingest_file_stream(spark, sf_dir):
                               f"{base}/store", f"{base}/checkpoint", _GRID, ["tas"])
     q.awaitTermination()
     return ST.read_cube(spark, f"{base}/store").cells
+
+
+@query("export_cube", with_views("""
+SELECT CAST(date_diff('hour', TIMESTAMP '1960-01-01', S) AS INTEGER) AS S, M, L, Y, X,
+       CAST(date_trunc('month', S) + to_months(L) AS TIMESTAMP) AS target,
+       tas * CAST('1' AS DOUBLE) + CAST('-273.15' AS DOUBLE) AS tas
+FROM cube WHERE S <= TIMESTAMP '1999-05-01' AND M IN (1, 3)"""))
+def q_export_cube(spark, sf_dir):
+    from gridcube.sources.export import export_cube
+    cube = FX.fixture_catalog(spark, sf_dir).open_variable("/ens/model/hindcast/tas")
+    cube = cube.sel(S=slice(None, "1999-05-01"), M=[1, 3])
+    cube = cube.replace(coords={"target": cube.coords["target"]},
+                        ds_attrs={**cube.ds_attrs, "title": 'quoted "title"'})
+    path = shared_dir(spark, "exports", "tas")
+    out = export_cube(cube, path)
+    assert "title" not in out.ds_attrs and out.attrs["tas"]["coordinates"] == "target target_bnds"
+    assert out.attrs["S"]["units"] == "hours since 1960-01-01"
+    return spark.read.parquet(f"{path}/data")
