@@ -75,6 +75,14 @@ def read_meta(spark: SparkSession, root: str) -> dict:
     return json.loads(row[0])
 
 
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on the store's file system (any Hadoop file system)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(p, True))
+
+
 def store_exists(spark: SparkSession, root: str) -> bool:
     try:
         read_meta(spark, root)

@@ -26,7 +26,7 @@ from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
 from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims, promote_time_dim
 from gridcube.plans.strategy import localize
-from gridcube.sources.store import read_meta, store_exists, stored_times, write_cube
+from gridcube.sources.store import read_meta, remove_path, store_exists, stored_times, write_cube
 
 TIME = Axes.INGEST_TIME
 
@@ -77,6 +77,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         raise IngestError("name the data variables (descriptor.data_vars or data_vars=)")
     data_vars = tuple(data_vars)
     initialized = False
+    stagings: list[str] = []  # removed once their cells are published
     # coordinates that vary per start are kept with the cells as <c>_expanded;
     # aux coordinates do not vary with the start and are stored once
     expanded = {c: f"{c}_expanded" for c in descriptor.expand_coords}
@@ -89,6 +90,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         # and the append both read it, and a lost executor does not re-decode
         staging = f"{store.rstrip('/')}_staging/{uuid.uuid4().hex}"
         decode(files_now).write.parquet(staging)
+        stagings.append(staging)
         decoded = spark.read.parquet(staging)
         good = error_rate_gate(file_errors(decoded))  # raises above the tolerated rate
         ok = decoded.join(good.select("path"), "path", "left_semi").drop("error")
@@ -130,6 +132,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         cube = densify(cube, template, file_axes)
         fixed = {d: [r[0] for r in ax.orderBy("pos").collect()] for d, ax in file_axes.items()}
         write_cube(cube, store, mode="overwrite", fixed_axes=fixed, extra_meta=extra_meta)
+        _drop_stagings(spark, stagings)
         initialized = True
         if limit is not None:
             limit -= 1
@@ -141,6 +144,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         initialized = initialized or refilled
     bounds = todo.agg(F.min("t").alias("lo")).first()
     if bounds["lo"] is None:
+        _drop_stagings(spark, stagings)
         return initialized
     last_old = stored.agg(F.max(TIME)).first()[0]
     if last_old is not None and bounds["lo"] < last_old:
@@ -158,9 +162,17 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         raise_on_region_errors(check_region(labels, store_axes))
     cells = load(chosen).drop(*aux)
     write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
+    _drop_stagings(spark, stagings)
     return True
 
 
+def _drop_stagings(spark: SparkSession, stagings: list[str]) -> None:
+    """Staging tables are scratch once their cells are published; a failed
+    run leaves its staging table for inspection."""
+    while stagings:
+        remove_path(spark, stagings.pop())
+
+
 def _refill(spark: SparkSession, store: str, files: DataFrame, file_axes, data_vars, load) -> bool:
     """Reload stored starts where a listed file left no data."""
     from gridcube.sources.store import read_cube
@@ -310,6 +322,7 @@ def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, de
             types = dict(cells.dtypes)
             cells = cells.withColumns({v: F.col(v).cast("float") for v in data_vars if types[v] == "double"})
         write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
+        remove_path(spark, staging)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
