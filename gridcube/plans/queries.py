@@ -13,11 +13,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcube.model import TARGET_END, TARGET_START, Axes
+from gridcube.functions import calendar as CAL
+from gridcube.functions.calendar import encode_time
+from gridcube.functions.cf import mask_and_scale
+from gridcube.functions.compare import allclose
+from gridcube.functions.units import STANDARD_UNIT_CONVERSIONS, unit_table
+from gridcube.model import TARGET_END, TARGET_START, Axes, Coord
+from gridcube.operators import align as AL
 from gridcube.operators import harmonize as H
+from gridcube.operators import quality as QL
 from gridcube.operators import schema as SC
+from gridcube.operators import select as SL
 from gridcube.plans import fixtures as FX
-from gridcube.plans.sql import dbl, with_views
+from gridcube.plans.sql import (CONTENTS, CUBE_B, LISTING_ABBREV, STORED_BEFORE, axis_sql, dbl,
+                                listing_views, with_views)
+from gridcube.session import shared_dir
+from gridcube.sources import decode as DC
+from gridcube.sources import ingest as IG
+from gridcube.sources import listing as LS
+from gridcube.sources import store as ST
+from gridcube.streaming import ingest as SI
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,9 +74,6 @@ def q_standardize(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ listing (ops 1-8, 54)
-from gridcube.functions.calendar import encode_time  # noqa: E402
-from gridcube.plans.sql import LISTING_ABBREV, listing_views  # noqa: E402
-from gridcube.sources import listing as LS  # noqa: E402
 
 FIRST = "1997-01-01"
 
@@ -164,9 +176,6 @@ def q_path_lookup(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ schema (ops 16-25)
-from gridcube.model import Coord  # noqa: E402
-from gridcube.plans.sql import CONTENTS, CUBE_B, STORED_BEFORE, axis_sql  # noqa: E402
-from gridcube.sources import ingest as IG  # noqa: E402
 
 DIMS = ("S", "M", "L", "Y", "X")
 RAW_DIMS = ("IRIDL_time", "number", "step", "latitude", "longitude")
@@ -267,7 +276,6 @@ def q_drop_non_std(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ selection (ops 30-32)
-from gridcube.operators import select as SL  # noqa: E402
 
 
 @query("isel", with_views(f"""
@@ -293,7 +301,6 @@ def q_probe_first(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ joins (ops 33-38)
-from gridcube.operators import align as AL  # noqa: E402
 
 
 def _stored(spark, sf_dir):
@@ -379,8 +386,6 @@ def q_broadcast_coord(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ aggregations (ops 39-44)
-from gridcube.functions.compare import allclose  # noqa: E402
-from gridcube.operators import quality as QL  # noqa: E402
 
 
 @query("error_rate_gate", """
@@ -554,9 +559,6 @@ def q_snapshot_identical(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ scalar functions (ops 52-62)
-from gridcube.functions import calendar as CAL  # noqa: E402
-from gridcube.functions.cf import mask_and_scale  # noqa: E402
-from gridcube.functions.units import STANDARD_UNIT_CONVERSIONS, unit_table  # noqa: E402
 
 
 @query("convert_units", with_views(f"""
@@ -703,9 +705,6 @@ def q_allclose(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ sources and sinks (ops 9-15, 29)
-from gridcube.session import shared_dir  # noqa: E402
-from gridcube.sources import decode as DC  # noqa: E402
-from gridcube.sources import store as ST  # noqa: E402
 
 
 @query("decode_files", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
@@ -762,7 +761,6 @@ def q_describe_cube(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ ingest and streaming (ops 36, 39, 40, 49, 50, 64, 65)
-from gridcube.streaming import ingest as SI  # noqa: E402
 
 _GRID = ("step", "latitude", "longitude")
 
