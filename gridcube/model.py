@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcube.plans.strategy import join_small
+from gridcube.plans.strategy import join_small, mark_small
 
 
 class Axes:
@@ -163,7 +163,7 @@ class GridCube:
             if memo[d] is not None:
                 labels = memo[d][::-1] if desc else memo[d]
                 schema = T.StructType([T.StructField(d, types[d]), T.StructField("pos", T.IntegerType(), False)])
-                out[d] = self.spark.createDataFrame([(v, i) for i, v in enumerate(labels)], schema)
+                out[d] = mark_small(self.spark.createDataFrame([(v, i) for i, v in enumerate(labels)], schema))
             else:
                 labels = self.cells.select(d).distinct()
                 order = F.col(d).desc() if desc else F.col(d).asc()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcube.model import GridCube
-from gridcube.plans.strategy import MAX_BROADCAST_ROWS, bounded, join_small
+from gridcube.plans.strategy import MAX_BROADCAST_ROWS, bounded, join_small, keep_small
 
 # Densification multiplies a template by axis label lists held in the plan.
 MAX_AXIS_LABELS = 100_000
@@ -112,7 +112,7 @@ def with_positions(cube: GridCube, dims: Sequence[str], cells: DataFrame | None
     out = cube.cells if cells is None else cells
     axes = cube.axes(dims)
     for d in dims:
-        out = join_small(out, axes[d].withColumnRenamed("pos", f"{d}_pos"), d, "inner")
+        out = join_small(out, keep_small(axes[d], axes[d].withColumnRenamed("pos", f"{d}_pos")), d, "inner")
     return out
 
 

@@ -9,6 +9,7 @@ re-plan (and split skewed partitions of) at run time.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,26 +24,46 @@ MAX_BROADCAST_ROWS = 2_000_000
 MAX_LOCAL_ROWS = 100_000
 
 
+# Tables built on the driver from collected coordinate rows: their size is
+# known, so joins broadcast them without counting again.
+_SMALL: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
+
+
+def mark_small(df: DataFrame) -> DataFrame:
+    """Record that ``df`` was built from at most ``MAX_LOCAL_ROWS`` driver rows."""
+    _SMALL.add(df)
+    return df
+
+
+def keep_small(source: DataFrame, derived: DataFrame) -> DataFrame:
+    """``derived`` (a projection or rename of ``source``) keeps its mark."""
+    return mark_small(derived) if is_small(source) else derived
+
+
+def is_small(df: DataFrame) -> bool:
+    return df in _SMALL or df.isLocal()
+
+
 def localize(small: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """A coordinate-sized table as a driver-local table, so that every later
-    join broadcasts it without recomputing its (possibly expensive) plan.
-    Tables over ``max_rows`` are returned unchanged."""
-    if small.isLocal():
+    """A coordinate-sized table rebuilt from its collected rows, so every
+    later join broadcasts it without recomputing its (possibly expensive)
+    plan. Tables over ``max_rows`` are returned unchanged."""
+    if is_small(small):
         return small
     rows = small.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return small
-    return small.sparkSession.createDataFrame(rows, small.schema)
+    return mark_small(small.sparkSession.createDataFrame(rows, small.schema))
 
 
 def bounded(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return (table, fits) where ``fits`` says it holds at most ``max_rows`` rows.
 
     ``limit(max_rows + 1)`` lets Spark stop counting early when the table is
-    unexpectedly large. Driver-local tables (built from collected coordinate
-    labels) are small by construction and are not counted.
+    unexpectedly large. Tables built from collected coordinate rows are small
+    by construction and are not counted.
     """
-    if small.isLocal():
+    if is_small(small):
         return small, True
     n = small.limit(max_rows + 1).count()
     return small, n <= max_rows

@@ -25,7 +25,7 @@ from gridcube.operators.quality import error_rate_gate
 from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
 from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims, promote_time_dim
-from gridcube.plans.strategy import localize
+from gridcube.plans.strategy import localize, mark_small
 from gridcube.sources.store import read_meta, remove_path, store_exists, stored_times, write_cube
 
 TIME = Axes.INGEST_TIME
@@ -156,8 +156,8 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     if file_axes:
         fixed = read_meta(spark, store).get("fixed_axes", {})
         types = dict(labels.dtypes)
-        store_axes = {d: spark.createDataFrame([(v, i) for i, v in enumerate(fixed.get(d, []))],
-                                               f"{d} {types[d]}, pos int")
+        store_axes = {d: mark_small(spark.createDataFrame([(v, i) for i, v in enumerate(fixed.get(d, []))],
+                                                          f"{d} {types[d]}, pos int"))
                       for d in file_axes}
         raise_on_region_errors(check_region(labels, store_axes))
     cells = load(chosen).drop(*aux)
