@@ -40,8 +40,11 @@ def isel(cube: GridCube, **indexers) -> GridCube:
     slice (``start:stop:step``, negative steps reverse the stored order) or
     a list of positions."""
     out = cube
+    # positions refer to the axes of the cube as given (all indexers apply
+    # at once, not one after another): one pass collects them all
+    axes = cube.axes(list(indexers))
     for dim, sel in indexers.items():
-        axis = out.axis(dim)
+        axis = axes[dim]
         n = axis.count()
         pos = _positions(n, sel)
         if isinstance(sel, slice) and (sel.step or 1) == 1 and pos:

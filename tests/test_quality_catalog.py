@@ -220,3 +220,14 @@ def test_method_forms(make_cube):
     assert c.transform(lambda x: x.isel(L=0)).dims == ("S", "Y", "X")
     with pytest.raises(TypeError):
         c.transform(lambda x: None)
+
+
+def test_isel_positions_refer_to_the_whole_cube(spark):
+    from gridcube.model import GridCube
+    # L = 2 only exists at the second start: after selecting S=0 it would be
+    # missing, but position 1 of L still means L = 2 (not the next label)
+    rows = [(0, 0, 1.0), (0, 5, 2.0), (1, 0, 3.0), (1, 2, 4.0), (1, 5, 5.0)]
+    c = GridCube(cells=spark.createDataFrame(rows, "S int, L int, v double"), dims=("S", "L"), data_vars=("v",))
+    out = SL.isel(c, S=[0], L=[1])
+    assert out.cells.count() == 0
+    assert SL.isel(c, S=[1], L=[1]).cells.first()["v"] == 4.0
