@@ -231,3 +231,13 @@ def test_isel_positions_refer_to_the_whole_cube(spark):
     out = SL.isel(c, S=[0], L=[1])
     assert out.cells.count() == 0
     assert SL.isel(c, S=[1], L=[1]).cells.first()["v"] == 4.0
+
+
+def test_compare_coords_includes_aux_coords(spark, make_cube):
+    from gridcube.operators import harmonize as H
+    a = H.add_target_monthly(make_cube(n_s=2, n_l=2))
+    rows = {r["coord"]: r["same"] for r in QL.compare_coords(a, a).collect()}
+    assert rows == {"S": True, "L": True, "Y": True, "X": True, "target_bnds": True}
+    b = a.replace(coords={"target": a.coords["target"]})
+    rows = {r["coord"]: (r["same"], r["b"]) for r in QL.compare_coords(a, b).collect()}
+    assert rows["target_bnds"] == (False, "absent")
