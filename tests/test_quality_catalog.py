@@ -241,3 +241,13 @@ def test_compare_coords_includes_aux_coords(spark, make_cube):
     b = a.replace(coords={"target": a.coords["target"]})
     rows = {r["coord"]: (r["same"], r["b"]) for r in QL.compare_coords(a, b).collect()}
     assert rows["target_bnds"] == (False, "absent")
+
+
+def test_compare_data_details(spark, make_cube):
+    a = make_cube(n_s=3, n_l=2)
+    b = a.replace(cells=a.cells.withColumn("prcp", F.col("prcp") + F.when(
+        (F.col("L") == 1) & (F.col("Y") == 1.0), 0.5).otherwise(0.0)))
+    rows = {r["S"].month: r for r in QL.compare_data(a, b, "prcp", full=True, details=True).collect()}
+    assert not rows[1]["same"] and rows[1]["max_diff"] == 0.5
+    assert (rows[1]["L_pos"], rows[1]["Y_pos"], rows[1]["X_pos"]) == (1, 1, 0)
+    assert rows[1]["b"] - rows[1]["a"] == 0.5
