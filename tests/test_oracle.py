@@ -44,3 +44,15 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["standardize", "cf_time", "add_target_daily", "error_rate_gate",
+                                  "convert_calendar", "month_abbrev", "read_cube"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = QUERIES[name](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = con.execute(ORACLE[name]).df()
+    assert compare(got, want).startswith("ok"), compare(got, want)
