@@ -23,7 +23,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from types import MappingProxyType
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,13 +143,13 @@ class GridCube:
     def axes(self, dims=None) -> dict[str, DataFrame]:
         """Axis tables ``(label, pos)`` of several dimensions.
 
-        All requested axes come from ONE aggregation over ``cells`` (each
-        task keeps only the distinct labels it saw, so the shuffle is
-        coordinate-sized). The labels are coordinates, kept as small
-        driver-local tables that later joins broadcast without another pass;
-        they are remembered per ``cells`` plan. An axis with more than
-        ``MAX_AXIS_LABELS`` labels is not a coordinate and is numbered with a
-        distributed window instead.
+        All requested axes come from ONE pass over ``cells`` (a distinct that
+        de-duplicates map-side, so the shuffle is coordinate-sized). The
+        labels are coordinates: they are rebuilt on the driver as small
+        tables (registered with ``mark_small``) that later joins broadcast
+        without another pass, and they are remembered per ``cells`` plan. A
+        dimension with more than ``MAX_AXIS_LABELS`` labels is not a
+        coordinate and is numbered on the cluster instead.
         """
         dims = list(dims or self.dims)
         memo = _AXES.setdefault(self.cells, {})  # dim -> ascending labels (list) or None
@@ -165,11 +165,19 @@ class GridCube:
                 schema = T.StructType([T.StructField(d, types[d]), T.StructField("pos", T.IntegerType(), False)])
                 out[d] = mark_small(self.spark.createDataFrame([(v, i) for i, v in enumerate(labels)], schema))
             else:
-                labels = self.cells.select(d).distinct()
-                order = F.col(d).desc() if desc else F.col(d).asc()
-                out[d] = labels.withColumn("pos", (F.row_number().over(Window.orderBy(order)) - 1).cast("int"))
+                out[d] = self._numbered_on_cluster(d, desc, types[d])
         return out
 
+    def _numbered_on_cluster(self, d: str, desc: bool, dtype) -> DataFrame:
+        """Positions of a dimension too large to be a coordinate: a range-
+        partitioned sort, then consecutive numbers from per-partition counts
+        (zipWithIndex), so no single task ever holds all the labels."""
+        order = F.col(d).desc() if desc else F.col(d).asc()
+        labels = self.cells.select(d).distinct().filter(F.col(d).isNotNull()).orderBy(order)
+        indexed = labels.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
+        schema = T.StructType([T.StructField(d, dtype), T.StructField("pos", T.LongType(), False)])
+        return self.spark.createDataFrame(indexed, schema)
+
     def _collect_labels(self, todo: list[str], types) -> dict[str, list | None]:
         """Distinct labels of several dims in one pass: each row is tagged
         once per dim, de-duplicated map-side and on the shuffle (no task ever

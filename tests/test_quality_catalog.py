@@ -251,3 +251,13 @@ def test_compare_data_details(spark, make_cube):
     assert not rows[1]["same"] and rows[1]["max_diff"] == 0.5
     assert (rows[1]["L_pos"], rows[1]["Y_pos"], rows[1]["X_pos"]) == (1, 1, 0)
     assert rows[1]["b"] - rows[1]["a"] == 0.5
+
+
+def test_large_dimension_is_numbered_on_the_cluster(spark, monkeypatch):
+    import gridcube.model as M
+    monkeypatch.setattr(M, "MAX_AXIS_LABELS", 3)
+    df = spark.range(20).selectExpr("CAST(id * 7 % 20 AS INT) AS k", "1.0 AS v")
+    c = M.GridCube(cells=df, dims=("k",), data_vars=("v",), descending=frozenset({"k"}))
+    ax = c.axis("k")
+    got = sorted((r["pos"], r["k"]) for r in ax.collect())
+    assert got == [(i, 19 - i) for i in range(20)]
