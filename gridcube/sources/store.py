@@ -19,7 +19,10 @@ Layout of a store at ``root``:
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,11 +156,33 @@ def _read(spark: SparkSession, root: str, meta: dict, sub: str) -> DataFrame:
 
 
 def stored_times(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct starts already in the store: the partition values only (no
-    cell data is read)."""
+    """Distinct starts already in the store, taken from the partition
+    directory names that Spark's file index has already listed: no job and no
+    cell data is read. Falls back to a scan of the partition column when a
+    name cannot be parsed or there are too many starts for a small table."""
+    from gridcube.plans.strategy import MAX_LOCAL_ROWS, mark_small
     meta = read_meta(spark, root)
     sub = "chunks" if meta["layout"] == "packed" else "cells"
-    return _read(spark, root, meta, sub).select(meta["time_dim"]).distinct()
+    t = meta["time_dim"]
+    df = _read(spark, root, meta, sub)
+    if dict(df.dtypes).get(t) == "timestamp_ntz":
+        pattern = re.compile(rf"/{re.escape(t)}=([^/]+)/")
+        values, parsed_all = set(), True
+        for f in df.inputFiles():
+            m = pattern.search(f)
+            if m is None:
+                parsed_all = False
+                break
+            try:
+                # file index paths are URIs (one level of %-encoding) over
+                # Spark's escaped partition value (a second level)
+                values.add(datetime.datetime.fromisoformat(unquote(unquote(m.group(1)))))
+            except ValueError:
+                parsed_all = False
+                break
+        if parsed_all and len(values) <= MAX_LOCAL_ROWS:
+            return mark_small(spark.createDataFrame([(v,) for v in sorted(values)], f"{t} timestamp_ntz"))
+    return df.select(t).distinct()
 
 
 def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: bool = True,

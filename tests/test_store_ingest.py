@@ -269,3 +269,15 @@ def test_update_keeps_aux_and_expanded_coords(spark, tmp_path):
     assert sorted(r["area"] for r in cube.coord_frame("area").collect()) == [5.0, 6.0]
     v = {(r["IRIDL_time"].year, r["valid_expanded"]) for r in cube.coord_frame("valid_expanded").collect()}
     assert v == {(2000, 0.0), (2001, 1.0)}
+
+
+def test_stored_times_from_partition_names(spark, make_cube, tmp_path):
+    from gridcube.plans.strategy import is_small
+    c = make_cube(n_s=14, n_l=1)
+    c = c.replace(cells=c.cells.withColumn("S", F.col("S") + F.expr("INTERVAL 6 HOURS 30 SECONDS")))
+    root = str(tmp_path / "s")
+    ST.write_cube(c, root, mode="overwrite")
+    t = ST.stored_times(spark, root)
+    assert is_small(t)
+    want = sorted(r[0] for r in c.cells.select("S").distinct().collect())
+    assert sorted(r[0] for r in t.collect()) == want
