@@ -72,9 +72,15 @@ def raise_on_region_errors(violations: DataFrame) -> None:
         raise RegionError(f"The region of coordinate '{r['dim']}' for {r[0]} is not contiguous")
 
 
-def align_to(cube: GridCube, other: GridCube, dim: str = "S") -> GridCube:
-    """Restrict ``cube`` to the labels ``other`` has on ``dim``."""
-    labels = other.cells.select(dim).distinct()
+def align_to(cube: GridCube, other: GridCube, dim: str = "S", strict: bool = False) -> GridCube:
+    """Restrict ``cube`` to the labels ``other`` has on ``dim``. With
+    ``strict`` (label selection semantics) a label of ``other`` that ``cube``
+    lacks is a KeyError."""
+    labels = other.axis(dim).select(dim)
+    if strict:
+        missing = labels.join(cube.axis(dim).select(dim), dim, "left_anti").limit(1).collect()
+        if missing:
+            raise KeyError(f"{missing[0][0]!r} not found in {dim}")
     return cube.replace(cells=join_small(cube.cells, labels, dim, "left_semi"))
 
 

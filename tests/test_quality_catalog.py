@@ -261,3 +261,11 @@ def test_large_dimension_is_numbered_on_the_cluster(spark, monkeypatch):
     ax = c.axis("k")
     got = sorted((r["pos"], r["k"]) for r in ax.collect())
     assert got == [(i, 19 - i) for i in range(20)]
+
+
+def test_align_to_strict(spark, make_cube):
+    a, b = make_cube(n_s=4), make_cube(n_s=2)
+    assert AL.align_to(a, b).cells.count() == b.cells.count()
+    assert AL.align_to(a, b, strict=True).cells.count() == b.cells.count()
+    with pytest.raises(KeyError):
+        AL.align_to(b, a, strict=True)
