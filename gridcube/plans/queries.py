@@ -817,7 +817,9 @@ def q_late_start_guard(spark, sf_dir):
 def q_ingest_stream(spark, sf_dir):
     c = FX.standard_cube(spark, sf_dir)
     base = shared_dir(spark, "streams", "ingest_stream")
-    # the provider drops slices into a folder: one set of files per start
+    # the provider drops decoded slices into a folder (starts hashed over 8 files,
+    # read as one micro-batch; the stream's late-start guard would reject a
+    # later batch holding an older start)
     c.cells.repartition(8, "S").write.parquet(f"{base}/source")
     q = SI.ingest_stream(spark, f"{base}/source", c.cells.schema, f"{base}/store",
                          f"{base}/checkpoint", DIMS, c.data_vars, time_col="S")
