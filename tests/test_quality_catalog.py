@@ -269,3 +269,13 @@ def test_align_to_strict(spark, make_cube):
     assert AL.align_to(a, b, strict=True).cells.count() == b.cells.count()
     with pytest.raises(KeyError):
         AL.align_to(b, a, strict=True)
+
+
+def test_cf_pack_round_trip(spark):
+    from gridcube.functions.cf import mask_and_scale, pack
+    attrs = {"_FillValue": -1, "scale_factor": 0.5, "add_offset": 10.0}
+    df = spark.createDataFrame([(10.0,), (12.5,), (None,), (float("nan"),)], "v double")
+    packed = df.select(pack(F.col("v"), attrs).alias("p"))
+    assert [r[0] for r in packed.collect()] == [0, 5, -1, -1]
+    back = packed.select(mask_and_scale(F.col("p"), attrs).alias("v"))
+    assert [r[0] for r in back.collect()] == [10.0, 12.5, None, None]
