@@ -116,6 +116,8 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     if not store_exists(spark, store):
         t_first = LS.list_times(files, first).agg(F.min("t")).first()[0]
         if t_first is None:
+            if first is not None and files.limit(1).count() > 0:
+                raise IngestError(f"no start at or after {first} under {descriptor.dir}")
             raise IngestError(f"no files match {descriptor.pattern!r} under {descriptor.dir}")
         cells = load(files.filter(F.col("t") == F.lit(t_first)))
         for c in aux:  # from the first start, like the reference's first slice

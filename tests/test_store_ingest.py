@@ -281,3 +281,16 @@ def test_stored_times_from_partition_names(spark, make_cube, tmp_path):
     assert is_small(t)
     want = sorted(r[0] for r in c.cells.select("S").distinct().collect())
     assert sorted(r[0] for r in t.collect()) == want
+
+
+def test_update_empty_listing_and_late_first(spark, tmp_path):
+    _write_files(tmp_path, n_starts=1)
+    with pytest.raises(IngestError, match="at or after"):
+        _update(spark, tmp_path, str(tmp_path / "s1"), first="2030-01-01")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "readme.txt").write_text("no data")
+    d = LS.FileSetDescriptor(name="tas", dir=str(tmp_path / "empty"),
+                             pattern=r"fc_(?P<year>\d{4})(?P<month>\d{2})_m(?P<member>\d)\.parquet$")
+    with pytest.raises(IngestError, match="no files match"):
+        SI.update(spark, d, str(tmp_path / "s2"), LS.list_files(spark, d.dir),
+                  lambda f: f, ["tas"], ["Y", "X"])
