@@ -352,9 +352,10 @@ CROSS JOIN (SELECT DISTINCT M FROM cube) m CROSS JOIN (SELECT DISTINCT L FROM cu
 LEFT JOIN cube c ON c.S = t.S AND c.M = m.M AND c.L = l.L AND c.Y = t.Y AND c.X = t.X"""))
 def q_densify(spark, sf_dir):
     c = FX.standard_cube(spark, sf_dir)
-    first = c.cells.agg(F.min("S").alias("S"))
-    template = c.cells.join(first, "S", "left_semi").select("S", "Y", "X").distinct()
-    return AL.densify(c, template, {"M": c.axis("M"), "L": c.axis("L")}).cells
+    axes = c.axes(["S", "M", "L"])  # one pass for all three axes
+    s0 = axes["S"].orderBy("pos").first()["S"]
+    template = c.cells.filter(F.col("S") == F.lit(s0)).select("S", "Y", "X").distinct()
+    return AL.densify(c, template, {"M": axes["M"], "L": axes["L"]}).cells
 
 
 @query("align_positional", with_views("""
