@@ -51,7 +51,8 @@ def _file_axes(axes: LS.DatasetCoords) -> dict[str, DataFrame]:
 def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, listing: DataFrame,
            decode: Decode, data_vars: Iterable[str] | None, grid_dims: Iterable[str],
            limit: int | None = None, first=None, attrs: Mapping | None = None,
-           ds_attrs: Mapping | None = None, narrow: bool = True, refill: bool = False) -> bool:
+           ds_attrs: Mapping | None = None, narrow: bool = True, refill: bool = False,
+           eager_gate: bool = False) -> bool:
     """Bring the store up to date; returns whether it changed.
 
     The descriptor's options shape each decoded file as the reference's file
@@ -63,7 +64,9 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     A start that is already stored is not revisited, even when some of its
     files failed to load. ``refill=True`` reloads every stored start that
     lacks data from one of its listed files (the whole start is rewritten,
-    replacing its partition)."""
+    replacing its partition). ``eager_gate`` checks the failure rate after
+    every load in submission order (start, member, level, lead) instead of
+    once for the batch."""
     # one row per file coordinate; every later decision (axes, starts, the
     # files to load) derives from this table, so the listing is parsed once
     # (and held driver-local when it is coordinate-sized)
@@ -92,7 +95,12 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         decode(files_now).write.parquet(staging)
         stagings.append(staging)
         decoded = spark.read.parquet(staging)
-        good = error_rate_gate(file_errors(decoded))  # raises above the tolerated rate
+        outcomes = file_errors(decoded)
+        if eager_gate:
+            outcomes = outcomes.join(files_now.select("path", "t", "m", "p", "l"), "path")
+            good = error_rate_gate(outcomes, order=["t", "m", "p", "l"])
+        else:
+            good = error_rate_gate(outcomes)  # raises above the tolerated rate
         ok = decoded.join(good.select("path"), "path", "left_semi").drop("error")
         missing = [c for c in descriptor.drop_coords if c not in ok.columns]
         if missing:

@@ -294,3 +294,27 @@ def test_update_empty_listing_and_late_first(spark, tmp_path):
     with pytest.raises(IngestError, match="no files match"):
         SI.update(spark, d, str(tmp_path / "s2"), LS.list_files(spark, d.dir),
                   lambda f: f, ["tas"], ["Y", "X"])
+
+
+def test_running_error_gate_aborts_on_early_failures(spark):
+    from gridcube.operators.quality import first_failing_prefix
+    # 1 failure among 20 loads (5 %): fine overall, but it is the 3rd load,
+    # so the running rate after 3 completions is 33 %
+    rows = [(i, "boom" if i == 2 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, error string").repartition(4)
+    assert error_rate_gate(df).count() == 19
+    assert first_failing_prefix(df, ["k"]) == (3, 1)
+    with pytest.raises(TooManyFailures, match="first 3"):
+        error_rate_gate(df, order=["k"])
+    late = spark.createDataFrame([(i, "boom" if i == 19 else None) for i in range(20)], df.schema)
+    assert first_failing_prefix(late, ["k"]) is None
+
+
+def test_update_eager_gate(spark, tmp_path):
+    # 1 broken file of 20: under 10 % for the batch, but it is the first load
+    _write_files(tmp_path, n_starts=10, members=(1, 2), broken={(1, 1)})
+    store = str(tmp_path / "store")
+    assert _update(spark, tmp_path, store, limit=1)
+    assert _update(spark, tmp_path, str(tmp_path / "relaxed"))
+    with pytest.raises(TooManyFailures):
+        _update(spark, tmp_path, store, eager_gate=True)
