@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 # widest coordinate row is a few timestamps and numbers, so 2M rows < 100 MB).
 MAX_BROADCAST_ROWS = 2_000_000
 
-# Coordinate tables up to this many rows are turned into driver-local tables
-# when they are reused (a broadcast collects them to the driver anyway).
+# Reused coordinate tables up to this many rows are rebuilt from their
+# collected rows (a broadcast collects them to the driver anyway).
 MAX_LOCAL_ROWS = 100_000
 
 
@@ -30,7 +30,9 @@ _SMALL: "weakref.WeakSet[DataFrame]" = weakref.WeakSet()
 
 
 def mark_small(df: DataFrame) -> DataFrame:
-    """Record that ``df`` was built from at most ``MAX_LOCAL_ROWS`` driver rows."""
+    """Record that ``df`` was built on the driver from a known number of rows,
+    at most ``MAX_BROADCAST_ROWS`` (axis tables hold up to 1M labels,
+    localized tables up to ``MAX_LOCAL_ROWS`` rows)."""
     _SMALL.add(df)
     return df
 
