@@ -39,21 +39,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.driver.memory", os.environ.get("GRIDCUBE_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    _ensure_checkpoint_dir(spark)
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) is a private folder created.
+    The cluster names it in ``spark.checkpoint.dir``. Only where it is unset
+    and everything runs in one process (a ``local`` master, as in tests) is a
+    private folder created: on a cluster that would land on each machine's
+    own disk, so an unset folder is an error there.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gridcube-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -62,7 +66,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     """A fresh folder under the shared checkpoint folder for written tables."""
-    base = _ensure_checkpoint_dir(spark).rstrip("/")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     leaf = list(parts)
     if unique:
         leaf.append(uuid.uuid4().hex[:12])
