@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcube.llm.common import cut, need, stage
@@ -178,7 +178,12 @@ def find_identifiers(docs: DataFrame, *, id_col: str = "doc_id", text: str = "te
         F.coalesce("added", none).alias("added"))
 
 
-def written(spans) -> "F.Column":
+def of_kind(name: str):
+    """Condition on a span, for ``F.filter``."""
+    return lambda m: m["kind"] == KINDS.index(name)
+
+
+def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(names, m["kind"]), m["start"], m["end"])), ",")

@@ -49,8 +49,7 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_find_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifiers.find_identifiers(_table(spark, sf_dir, "documents"))
-    kind = [F.size(F.filter("seeds", lambda m, k=k: m["kind"] == k)).cast("bigint").alias(f"n_{name}")
-            for k, name in enumerate(identifiers.KINDS)]
+    kind = [F.size(F.filter("seeds", identifiers.of_kind(name))).cast("bigint").alias(f"n_{name}") for name in identifiers.KINDS]
     return found.select("doc_id", *kind, F.sha2(identifiers.written(F.col("seeds")), 256).alias("base_sha256"),
                         identifiers.written(F.array_sort(F.concat("seeds", "added"))).alias("spans"))
 
