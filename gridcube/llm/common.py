@@ -19,7 +19,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again:
     like :func:`cut` for wide tables, compressed and column-pruned on reading."""
     path = shared_dir(df.sparkSession, "llm", name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
