@@ -64,6 +64,30 @@ class Graph:
         for layer in range(int(level.max(initial=0)), -1, -1):
             members = order[level[order] >= layer]
             self._build(members, LINKS * (2 if layer == 0 else 1))
+        if n:
+            self._connect()
+
+    def _connect(self) -> None:
+        """Gives every vector that pruning has cut off a link from the nearest
+        one that can be reached: no beam finds it otherwise."""
+        table = self.layers[-1]
+        seen, edge = np.zeros(len(table), bool), np.array([self.entry])
+        while len(edge):
+            seen[edge] = True
+            edge = np.unique(table[edge])
+            edge = edge[(edge >= 0)]
+            edge = edge[~seen[edge]]
+        lost, there = np.flatnonzero(~seen), np.flatnonzero(seen)
+        if not len(lost):
+            return
+        near = np.concatenate([there[(self.vectors[lost[k:k + TOGETHER]] @ self.vectors[there].T).argmax(1)]
+                               for k in range(0, len(lost), TOGETHER)])
+        by = np.argsort(near, kind="stable")
+        near, lost = near[by], lost[by]
+        first = np.searchsorted(near, near)
+        extra = np.full((len(table), int((np.arange(len(near)) - first).max()) + 1), -1, np.int32)
+        extra[near, np.arange(len(near)) - first] = lost
+        self.layers[-1] = np.concatenate((table, extra), 1)
 
     def _build(self, members: np.ndarray, links: int) -> None:
         table = np.full((len(self.vectors), links), -1, np.int32)
