@@ -46,9 +46,13 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), utf8(batch.column("text"))
         for lang in sorted(set(langs)):
-            data = np.frombuffer(b"".join(_PAD + _fold(t) for g, t in zip(langs, texts) if g == lang) + b"\n", np.uint8).astype(np.uint32)
+            own = [t for g, t in zip(langs, texts) if g == lang]
+            data = np.frombuffer(b"".join(_PAD + _fold(t) for t in own), np.uint8).astype(np.uint32)
             code = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
-            gram, n = np.unique(code, return_counts=True)
+            inside = np.ones(len(data), bool)       # the padding before a text only serves as context
+            starts = np.cumsum([0] + [len(_PAD) + len(t) for t in own[:-1]])
+            inside[(starts[:, None] + np.arange(len(_PAD))).ravel()] = False
+            gram, n = np.unique(code[inside[3:]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
                                              names=["lang", "gram", "n"])
 

@@ -1,0 +1,37 @@
+import random
+
+import corpus_pipeline
+from tests.llm.helpers import DOC
+
+
+def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    text = lambda lines: "\n".join(" ".join(word() for _ in range(40)) for _ in range(lines))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(k, text(4), "en", "ab"[k % 2], 1) for k in range(30)]
+    near = text(6).split(" ")
+    near[100] = "changed"
+    rows += [(40, "123 !!!", "en", "a", 7), (41, None, "en", "a", 0),          # no language
+             (42, rows[3][1].split("\n")[0] + "\n" + text(3), "en", "a", 1),   # a repeated line
+             (43, " ".join(near), "en", "b", 1), (44, " ".join(near).replace("changed", "altered"), "en", "b", 1),
+             (45, passage + " " + text(1), "en", "a", 1)]                        # contaminated
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+        if name != "mixing":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+    assert set(kept["language"]) == {r[0] for r in rows} - {40, 41}
+    assert set(kept["lines"]) == set(kept["language"]) and kept["lines"][42].text.count("\n") == 2
+    assert kept["lines"][42].n_chars == len(kept["lines"][42].text)
+    assert set(range(30)) <= set(kept["near-duplicates"])
+    assert set(kept["near-duplicates"]) - set(kept["decontamination"]) == {45}
+    per = spark.read.parquet(f"{tmp_path}/mixing").groupBy("doc_id").agg({"copy": "max", "*": "count"}).collect()
+    assert all(r["max(copy)"] == r["count(1)"] <= 3 for r in per)
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert again.exceptAll(docs).count() == 0 and docs.exceptAll(again).count() == 0
