@@ -44,7 +44,7 @@ class Axes:
     nbound = "nbound"
     ALL = ("T", "S", "L", "M", "P", "Y", "X", "target", "target_bnds", "nbound")
     # Primary time dimension of an ingested store before harmonisation.
-    INGEST_TIME = "IRIDL_time"
+    INGEST_TIME = "init_time"
 
 
 # target_bnds(S, L, nbound) is carried as two columns of the (S, L) table.

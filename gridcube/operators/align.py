@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from gridcube.model import GridCube
 from gridcube.plans.strategy import MAX_BROADCAST_ROWS, bounded, join_small, keep_small
 
-# Densification multiplies a template by axis label lists held in the plan.
-MAX_AXIS_LABELS = 100_000
-
-
 class RegionError(Exception):
     pass
 
@@ -84,27 +80,19 @@ def align_to(cube: GridCube, other: GridCube, dim: str = "S", strict: bool = Fal
     return cube.replace(cells=join_small(cube.cells, labels, dim, "left_semi"))
 
 
-def _labels(axis: DataFrame, dim: str) -> list:
-    small, fits = bounded(axis.select(dim), MAX_AXIS_LABELS)
-    if not fits:
-        raise ValueError(f"axis {dim} has more than {MAX_AXIS_LABELS} labels; "
-                         "densify it in pieces")
-    return [r[0] for r in small.orderBy(dim).collect()]
-
-
 def densify(cube: GridCube, template: DataFrame, axes: Mapping[str, DataFrame]) -> GridCube:
     """Make a slice dense: every combination of the ``template`` rows (e.g.
     the Y x X grid with the slice's start) and the labels of ``axes`` (e.g.
     the M, P, L axes of the file set) gets a row; absent ones carry NULLs.
 
-    The axis label lists are coordinate-sized (size checked) and expanded
-    with ``explode`` next to the template; the data is then left-joined.
+    The product is the feature: an axis table is broadcast when its checked
+    size allows, and joined as it is otherwise; the data is then left-joined.
     """
     dense = template
     for dim, axis in axes.items():
-        labels = _labels(axis, dim)
         dtype = dict(cube.cells.dtypes)[dim]
-        dense = dense.withColumn(dim, F.explode(F.array(*[F.lit(v).cast(dtype) for v in labels])))
+        labels, fits = bounded(axis.select(F.col(dim).cast(dtype).alias(dim)))
+        dense = dense.crossJoin(F.broadcast(labels) if fits else labels)
     keys = list(cube.dims)
     cells = dense.select(*keys).join(cube.cells, keys, "left")
     return cube.replace(cells=cells.select(*cube.cells.columns))

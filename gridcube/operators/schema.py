@@ -36,14 +36,17 @@ def rename(cube: GridCube, mapping: Mapping[str, str]) -> GridCube:
         if table is not None:
             table = table.withColumnsRenamed({k: v for k, v in m.items() if k in table.columns})
         expr = c.expr
-        if expr is not None and any(d in m for d in c.dims):
-            # expressions refer to dimension columns by name: rebind through the table form
-            keys = cube.cells.select(*c.dims).distinct()
-            table = keys.withColumn(name, expr).withColumnsRenamed(
-                {k: v for k, v in m.items() if k in c.dims or k == name})
-            expr = None
+        requires = c.requires
+        if expr is not None and any(d in m for d in (*c.dims, *c.requires)):
+            # expressions refer to columns by name: rebind through the table form
+            if c.requires:
+                table = cube.coord_frame(name).select(*c.dims, name).distinct()
+            else:
+                table = cube.cells.select(*c.dims).distinct().withColumn(name, expr)
+            table = table.withColumnsRenamed({k: v for k, v in m.items() if k in c.dims or k == name})
+            expr, requires = None, ()
         coords[r(name)] = Coord(tuple(r(d) for d in c.dims), expr, table,
-                                tuple(r(e) for e in c.extra), tuple(r(q) for q in c.requires))
+                                tuple(r(e) for e in c.extra), tuple(r(q) for q in requires))
     return cube.replace(
         cells=cube.cells.withColumnsRenamed({k: v for k, v in m.items() if k in cube.cells.columns}),
         dims=tuple(r(d) for d in cube.dims),

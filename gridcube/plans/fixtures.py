@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridcube.functions.calendar import month_start
 from gridcube.model import GridCube
 
-PROVIDER_NAMES = {"S": "IRIDL_time", "M": "number", "L": "step", "Y": "latitude", "X": "longitude"}
+PROVIDER_NAMES = {"S": "init_time", "M": "number", "L": "step", "Y": "latitude", "X": "longitude"}
 STANDARD_NAMES = {v: k for k, v in PROVIDER_NAMES.items()} | {"prate": "prcp"}
 
 LISTING_PATTERN = r"fc_(?P<year>\d{4})-(?P<month>\d{2})_m(?P<member>\d+)\.nc$"
@@ -61,7 +61,7 @@ RAW_ATTRS = {
     "prate": {"units": "kg m-2 s-1", "long_name": "Precipitation rate"},
     "latitude": {"units": "degrees_north"},
     "longitude": {"units": "degrees_east"},
-    "IRIDL_time": {},
+    "init_time": {},
     "number": {},
     "step": {},
 }

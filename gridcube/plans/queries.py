@@ -178,7 +178,7 @@ def q_path_lookup(spark, sf_dir):
 # ------------------------------------------------------------------ schema (ops 16-25)
 
 DIMS = ("S", "M", "L", "Y", "X")
-RAW_DIMS = ("IRIDL_time", "number", "step", "latitude", "longitude")
+RAW_DIMS = ("init_time", "number", "step", "latitude", "longitude")
 
 
 @query("select_data_vars", with_views("SELECT S, M, L, Y, X, tas FROM cube"))
@@ -187,7 +187,7 @@ def q_select_data_vars(spark, sf_dir):
 
 
 @query("drop_coords", with_views(
-    "SELECT S AS IRIDL_time, M AS number, L AS step, Y AS latitude, X AS longitude, tas FROM cube"))
+    "SELECT S AS init_time, M AS number, L AS step, Y AS latitude, X AS longitude, tas FROM cube"))
 def q_drop_coords(spark, sf_dir):
     return SC.drop_coords(FX.raw_cube(spark, sf_dir), ["prate"]).cells
 
@@ -203,16 +203,16 @@ def q_set_aux_coords(spark, sf_dir):
 
 
 @query("expand_coords", with_views(
-    "SELECT DISTINCT S AS IRIDL_time, L AS step, L * 30 AS lead_days_expanded FROM cube"))
+    "SELECT DISTINCT S AS init_time, L AS step, L * 30 AS lead_days_expanded FROM cube"))
 def q_expand_coords(spark, sf_dir):
     c = FX.raw_cube(spark, sf_dir)
     c = c.replace(coords={"lead_days": Coord(("step",), expr=F.col("step") * 30)})
-    c = SC.expand_coords(c, "lead_days", dim="IRIDL_time")
+    c = SC.expand_coords(c, "lead_days", dim="init_time")
     return c.coord_frame("lead_days_expanded")
 
 
 ASSIGNED = """
-SELECT d.path, d.t AS IRIDL_time, d.m AS number, c.step, c.latitude, c.longitude, c.tas, c.prate
+SELECT d.path, d.t AS init_time, d.m AS number, c.step, c.latitude, c.longitude, c.tas, c.prate
 FROM deduped d JOIN parsed pa ON pa.path = d.path JOIN contents c ON c.o_orderkey = pa.o_orderkey"""
 _ASSIGNED_SQL = with_views("SELECT * FROM assigned", **listing_views(), contents=CONTENTS, assigned=ASSIGNED)
 
@@ -229,7 +229,7 @@ def q_assign_file_dims(spark, sf_dir):
 
 
 @query("promote_time_dim", with_views("""
-SELECT d.path, d.t AS IRIDL_time, o.o_orderdate AS time, c.step, c.latitude, c.longitude, c.tas
+SELECT d.path, d.t AS init_time, o.o_orderdate AS time, c.step, c.latitude, c.longitude, c.tas
 FROM deduped d JOIN parsed pa ON pa.path = d.path JOIN contents c ON c.o_orderkey = pa.o_orderkey
 JOIN orders o ON o.o_orderkey = pa.o_orderkey""", **listing_views(), contents=CONTENTS))
 def q_promote_time_dim(spark, sf_dir):
@@ -239,7 +239,7 @@ def q_promote_time_dim(spark, sf_dir):
         FX.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("time")),
         "o_orderkey")
     out = IG.promote_time_dim(contents, files, t_dim="time", key="o_orderkey", coords=["m"])
-    return out.select("path", "IRIDL_time", "time", "step", "latitude", "longitude", "tas")
+    return out.select("path", "init_time", "time", "step", "latitude", "longitude", "tas")
 
 
 @query("drop_scalar_coords", with_views(
@@ -317,9 +317,9 @@ def q_new_times(spark, sf_dir):
 
 
 @query("check_region", with_views(f"""
-SELECT a.path, 'IRIDL_time' AS dim, CAST(a.IRIDL_time AS VARCHAR) AS label, 'KeyError' AS error
-FROM (SELECT DISTINCT path, IRIDL_time FROM assigned) a
-WHERE a.IRIDL_time NOT IN (SELECT S FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}')
+SELECT a.path, 'init_time' AS dim, CAST(a.init_time AS VARCHAR) AS label, 'KeyError' AS error
+FROM (SELECT DISTINCT path, init_time FROM assigned) a
+WHERE a.init_time NOT IN (SELECT S FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}')
 UNION ALL
 SELECT path, 'latitude', concat(CAST(min(pos) AS VARCHAR), ':', CAST(max(pos) AS VARCHAR)), 'ValueError'
 FROM (SELECT DISTINCT a.path, a.latitude, y.pos FROM assigned a JOIN y ON y.Y = a.latitude)
@@ -334,7 +334,7 @@ GROUP BY path HAVING max(pos) - min(pos) + 1 <> count(*)""",
 def q_check_region(spark, sf_dir):
     stored = _stored(spark, sf_dir)
     assigned = _assigned(spark, sf_dir)
-    axes = {"IRIDL_time": stored.axis("S").withColumnRenamed("S", "IRIDL_time"),
+    axes = {"init_time": stored.axis("S").withColumnRenamed("S", "init_time"),
             "step": stored.axis("L").withColumnRenamed("L", "step"),
             "latitude": stored.axis("Y").withColumnRenamed("Y", "latitude")}
     return AL.check_region(assigned, axes)
@@ -523,17 +523,17 @@ def q_sample_starts(spark, sf_dir):
 
 # ------------------------------------------------------------------ set operations (ops 49-51)
 @query("concat_slices", with_views(
-    "SELECT IRIDL_time, number, step, latitude, longitude, tas FROM assigned "
-    "WHERE IRIDL_time = (SELECT min(IRIDL_time) FROM assigned)",
+    "SELECT init_time, number, step, latitude, longitude, tas FROM assigned "
+    "WHERE init_time = (SELECT min(init_time) FROM assigned)",
     **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
 def q_concat_slices(spark, sf_dir):
     assigned = _assigned(spark, sf_dir)
-    t0 = assigned.agg(F.min("IRIDL_time")).first()[0]
-    first = assigned.filter(F.col("IRIDL_time") == F.lit(t0))
+    t0 = assigned.agg(F.min("init_time")).first()[0]
+    first = assigned.filter(F.col("init_time") == F.lit(t0))
     members = [r[0] for r in first.select("number").distinct().orderBy("number").collect()]
     slices = [first.filter(F.col("number") == m) for m in members]
-    return IG.concat_slices(slices, ["IRIDL_time", "number", "step", "latitude", "longitude"]) \
-        .select("IRIDL_time", "number", "step", "latitude", "longitude", "tas")
+    return IG.concat_slices(slices, ["init_time", "number", "step", "latitude", "longitude"]) \
+        .select("init_time", "number", "step", "latitude", "longitude", "tas")
 
 
 @query("append_times", with_views("SELECT * FROM cube"))
@@ -774,15 +774,15 @@ def _run_update(spark, sf_dir, store, var, limit=None, first=None):
 
 
 @query("ingest_update", with_views("""
-SELECT tm.IRIDL_time, mm.number, tm.step, tm.latitude, tm.longitude, CAST(a.tas AS FLOAT) AS tas
-FROM (SELECT DISTINCT IRIDL_time, step, latitude, longitude FROM assigned
-      WHERE IRIDL_time = (SELECT min(IRIDL_time) FROM assigned)) tm
+SELECT tm.init_time, mm.number, tm.step, tm.latitude, tm.longitude, CAST(a.tas AS FLOAT) AS tas
+FROM (SELECT DISTINCT init_time, step, latitude, longitude FROM assigned
+      WHERE init_time = (SELECT min(init_time) FROM assigned)) tm
 CROSS JOIN (SELECT DISTINCT m AS number FROM parsed) mm
-LEFT JOIN assigned a ON a.IRIDL_time = tm.IRIDL_time AND a.number = mm.number AND a.step = tm.step
+LEFT JOIN assigned a ON a.init_time = tm.init_time AND a.number = mm.number AND a.step = tm.step
       AND a.latitude = tm.latitude AND a.longitude = tm.longitude
 UNION ALL
-SELECT IRIDL_time, number, step, latitude, longitude, CAST(tas AS FLOAT) FROM assigned
-WHERE IRIDL_time > (SELECT min(IRIDL_time) FROM assigned)""",
+SELECT init_time, number, step, latitude, longitude, CAST(tas AS FLOAT) FROM assigned
+WHERE init_time > (SELECT min(init_time) FROM assigned)""",
     **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
 def q_ingest_update(spark, sf_dir):
     store = shared_dir(spark, "stores", "ingest_update")
@@ -801,7 +801,7 @@ def q_run_summary(spark, sf_dir):
 
 
 @query("late_start_guard", with_views("""
-SELECT DISTINCT t AS IRIDL_time,
+SELECT DISTINCT t AS init_time,
        CASE WHEN t < (SELECT max(S) FROM stored) THEN 'late' ELSE 'accepted' END AS status
 FROM parsed WHERE t NOT IN (SELECT S FROM stored)""", **listing_views(),
     stored="SELECT * FROM cube WHERE S >= TIMESTAMP '1997-01-01' AND S < TIMESTAMP '2000-01-01'"))
@@ -811,7 +811,7 @@ def q_late_start_guard(spark, sf_dir):
                                                F.lit("1999-12-31").cast("timestamp_ntz")))
     incoming = AL.new_times(_parsed(spark, sf_dir), stored.select("S"))
     stored_max = stored.agg(F.max("S")).first()[0]
-    return SI.late_start_guard(incoming.withColumnRenamed("t", "IRIDL_time"), stored_max)
+    return SI.late_start_guard(incoming.withColumnRenamed("t", "init_time"), stored_max)
 
 
 @query("ingest_stream", with_views("SELECT * FROM cube"))
@@ -829,7 +829,7 @@ def q_ingest_stream(spark, sf_dir):
 
 
 @query("ingest_file_stream", with_views(
-    "SELECT IRIDL_time, number, step, latitude, longitude, CAST(tas AS FLOAT) AS tas FROM assigned",
+    "SELECT init_time, number, step, latitude, longitude, CAST(tas AS FLOAT) AS tas FROM assigned",
     **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
 def q_ingest_file_stream(spark, sf_dir):
     from pyspark.sql import types as T

@@ -24,6 +24,7 @@ import json
 import re
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,12 +70,17 @@ def _write_meta(spark: SparkSession, root: str, meta: str) -> None:
 
 
 def read_meta(spark: SparkSession, root: str) -> dict:
+    """The store's metadata. Only a missing folder means that there is no
+    store (``StoreError``); any other failure to read it is raised as it is,
+    so that nobody takes a store for absent and writes over it."""
     try:
         row = spark.read.text(f"{root}/meta").first()
-    except Exception as e:  # noqa: BLE001 - any read failure means "no store"
-        raise StoreError(f"No store exists at {root}") from e
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise StoreError(f"No store exists at {root}") from e
+        raise
     if row is None:
-        raise StoreError(f"No store exists at {root}")
+        raise RuntimeError(f"the metadata of the store at {root} is empty or half written")
     return json.loads(row[0])
 
 
@@ -95,9 +101,10 @@ def store_exists(spark: SparkSession, root: str) -> bool:
 
 
 def _partitions(df: DataFrame, t: str) -> list[str]:
-    """Partition by the start itself when it is a timestamp (read back with
-    the stored schema, so it stays TIMESTAMP_NTZ)."""
-    return [t] if dict(df.dtypes).get(t, "").startswith("timestamp") else []
+    """Partition by the start itself, whatever its type (read back with the
+    stored schema, so the type stays), so that an append replaces the starts
+    it brings and no others."""
+    return [t] if t in df.columns else []
 
 
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
@@ -155,6 +162,11 @@ def _read(spark: SparkSession, root: str, meta: dict, sub: str) -> DataFrame:
     return reader.parquet(f"{root}/{sub}")
 
 
+def read_cells(spark: SparkSession, root: str) -> DataFrame:
+    """The cells of a store as they are written."""
+    return _read(spark, root, read_meta(spark, root), "cells")
+
+
 def stored_times(spark: SparkSession, root: str) -> DataFrame:
     """Distinct starts already in the store, taken from the partition
     directory names that Spark's file index has already listed: no job and no

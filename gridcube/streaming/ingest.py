@@ -25,8 +25,8 @@ from gridcube.operators.quality import error_rate_gate
 from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
 from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims, promote_time_dim
-from gridcube.plans.strategy import localize, mark_small
-from gridcube.sources.store import read_meta, remove_path, store_exists, stored_times, write_cube
+from gridcube.plans.strategy import join_small, localize, mark_small
+from gridcube.sources.store import read_cells, read_meta, remove_path, store_exists, stored_times, write_cube
 
 TIME = Axes.INGEST_TIME
 
@@ -196,7 +196,7 @@ def _refill(spark: SparkSession, store: str, files: DataFrame, file_axes, data_v
     present = (cells.filter(has_data).select(F.col(TIME).alias("t"),
                                              *[F.col(d).alias(names[d]) for d in fdims]).distinct())
     stored_t = localize(stored_times(spark, store)).withColumnRenamed(TIME, "t")
-    listed = files.join(F.broadcast(stored_t), "t", "left_semi")
+    listed = join_small(files, stored_t, "t", "left_semi")
     gaps = listed.join(present, ["t", *[names[d] for d in fdims]], "left_anti").select("t").distinct()
     gaps = localize(gaps)
     if gaps.limit(1).count() == 0:
@@ -222,6 +222,29 @@ def run_summary(spark: SparkSession, runs: Mapping[str, Callable[[], bool]]) ->
 
 
 # ------------------------------------------------------------------ streaming
+def _split_known(batch: DataFrame, stored: DataFrame, time_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of starts that the store has, and of starts that it has not."""
+    return join_small(batch, stored, time_col, "left_semi"), join_small(batch, stored, time_col, "left_anti")
+
+
+def _merge_into(spark: SparkSession, store: str, cells: DataFrame, dims: tuple, data_vars: tuple,
+                time_col: str, staging: str, attrs: Mapping | None = None) -> None:
+    """Append ``cells``; where the store has a start already, its other cells
+    stay. A cell replaces the one with the same dims, so replaying a batch
+    changes nothing and members that come in later batches are added."""
+    cells.write.mode("overwrite").parquet(staging)
+    new = spark.read.schema(cells.schema).parquet(staging)
+    merged = f"{staging}-merged"
+    if store_exists(spark, store):
+        starts = new.select(time_col).distinct()
+        old = join_small(read_cells(spark, store).select(*dims, *data_vars), starts, time_col, "left_semi")
+        new.unionByName(old.join(new.select(*dims), list(dims), "left_anti")).write.mode("overwrite").parquet(merged)
+        new = spark.read.schema(cells.schema).parquet(merged)
+    write_cube(GridCube(cells=new, dims=dims, data_vars=data_vars, attrs=dict(attrs or {})), store, mode="append")
+    remove_path(spark, merged)
+    remove_path(spark, staging)
+
+
 def late_start_guard(incoming: DataFrame, stored_max, time_col: str = TIME) -> DataFrame:
     """Label each incoming start ``late`` (earlier than the newest stored
     start) or ``accepted``."""
@@ -252,11 +275,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
         if store_exists(spark, store):
             stored = localize(stored_times(spark, store))
             stored_max = stored.agg(F.max(time_col)).first()[0]
-            # idempotent replay: starts already stored are skipped (and a
-            # start written twice would replace its own partition anyway)
-            batch = batch.join(F.broadcast(stored), time_col, "left_anti")
+            known, batch = _split_known(batch, stored, time_col)
         else:
-            stored_max = None
+            stored_max, known = None, None
         labelled = late_start_guard(batch, stored_max, time_col)
         late = labelled.filter(F.col("status") == "late")
         if stored_max is not None and late.limit(1).count() > 0:
@@ -264,8 +285,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
                 raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
             late.drop("status").write.mode("append").parquet(late_dir or f"{store}/late")
         ok = labelled.filter(F.col("status") == "accepted").drop("status")
-        cube = GridCube(cells=ok, dims=dims, data_vars=data_vars, attrs=dict(attrs or {}))
-        write_cube(cube, store, mode="append")
+        _merge_into(spark, store, ok if known is None else ok.unionByName(known), dims, data_vars, time_col,
+                    f"{store.rstrip('/')}_staging/batch-{batch_id}", attrs)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -286,7 +307,8 @@ def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, de
     staging table, passed through the tolerated-error gate, checked for
     starts older than the store's newest, and appended per start
     (dynamic partition overwrite, so a replayed batch rewrites, never
-    duplicates). ``file_dims`` names the file coordinates that are axes.
+    duplicates; a start whose members come in several batches gains them one
+    after another). ``file_dims`` names the file coordinates that are axes.
     """
     from gridcube.sources.decode import decode_content
     grid_dims, data_vars = tuple(grid_dims), tuple(data_vars)
@@ -308,9 +330,9 @@ def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, de
         if store_exists(spark, store):
             stored = localize(stored_times(spark, store))
             stored_max = stored.agg(F.max(TIME)).first()[0]
-            files = files.join(F.broadcast(stored.withColumnRenamed(TIME, "t")), "t", "left_anti")
+            known, files = _split_known(files, stored.withColumnRenamed(TIME, "t"), "t")
         else:
-            stored_max = None
+            stored_max, known = None, None
         labelled = late_start_guard(files.withColumnRenamed("t", TIME), stored_max)
         if stored_max is not None and labelled.filter(F.col("status") == "late").limit(1).count() > 0:
             if on_late == "raise":
@@ -319,6 +341,8 @@ def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, de
                      .write.mode("append").parquet(late_dir or f"{store}_late"))
         ok_files = labelled.filter(F.col("status") == "accepted").drop("status") \
                            .withColumnRenamed(TIME, "t")
+        if known is not None:
+            ok_files = ok_files.unionByName(known)
         if ok_files.limit(1).count() == 0:
             return
         raw = parsed.join(ok_files.select("path"), "path", "left_semi")
@@ -331,7 +355,7 @@ def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, de
         if narrow:
             types = dict(cells.dtypes)
             cells = cells.withColumns({v: F.col(v).cast("float") for v in data_vars if types[v] == "double"})
-        write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
+        _merge_into(spark, store, cells, dims, data_vars, TIME, f"{staging}-cells")
         remove_path(spark, staging)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

@@ -69,12 +69,12 @@ def test_update_is_incremental_and_idempotent(spark, tmp_path):
     _write_files(tmp_path, n_starts=4)
     store = str(tmp_path / "store")
     assert _update(spark, tmp_path, store, limit=2)
-    assert ST.read_cube(spark, store).cells.select("IRIDL_time").distinct().count() == 2
+    assert ST.read_cube(spark, store).cells.select("init_time").distinct().count() == 2
     assert _update(spark, tmp_path, store)
     assert not _update(spark, tmp_path, store)
     cells = ST.read_cube(spark, store).cells
     assert cells.count() == 4 * 2 * 4
-    assert cells.filter((F.col("number") == 2) & (F.year("IRIDL_time") == 2003)).first()["tas"] == 32.0
+    assert cells.filter((F.col("number") == 2) & (F.year("init_time") == 2003)).first()["tas"] == 32.0
 
 
 def test_update_initial_slice_is_densified(spark, tmp_path):
@@ -82,7 +82,7 @@ def test_update_initial_slice_is_densified(spark, tmp_path):
     os.remove(os.path.join(d, "fc_200001_m2.parquet"))
     store = str(tmp_path / "store")
     assert _update(spark, tmp_path, store)
-    first = ST.read_cube(spark, store).cells.filter(F.year("IRIDL_time") == 2000)
+    first = ST.read_cube(spark, store).cells.filter(F.year("init_time") == 2000)
     assert first.count() == 8 and first.filter(F.col("tas").isNull()).count() == 4
 
 
@@ -135,7 +135,7 @@ def test_promote_time_dim_requires_one_start_per_file(spark):
     files = spark.createDataFrame([("f1", dt.datetime(2000, 1, 1), 1)], "path string, t timestamp_ntz, m int")
     ok = spark.createDataFrame([("f1", dt.datetime(2000, 1, 3), 1.0)], "path string, time timestamp_ntz, v double")
     out = promote_time_dim(ok, files, "time").first()
-    assert out["IRIDL_time"] == dt.datetime(2000, 1, 1) and out["time"] == dt.datetime(2000, 1, 3)
+    assert out["init_time"] == dt.datetime(2000, 1, 1) and out["time"] == dt.datetime(2000, 1, 3)
     two = ok.unionByName(spark.createDataFrame([("f1", dt.datetime(2000, 1, 4), 2.0)], ok.schema))
     with pytest.raises(IngestError, match="multiple initializations"):
         promote_time_dim(two, files, "time")
@@ -144,13 +144,13 @@ def test_promote_time_dim_requires_one_start_per_file(spark):
 
 
 def test_append_times_and_concat_guards(spark):
-    a = spark.createDataFrame([(dt.datetime(2000, 2, 1), 1.0)], "IRIDL_time timestamp_ntz, v double")
+    a = spark.createDataFrame([(dt.datetime(2000, 2, 1), 1.0)], "init_time timestamp_ntz, v double")
     b = spark.createDataFrame([(dt.datetime(2000, 1, 1), 1.0)], a.schema)
     with pytest.raises(IngestError, match="prior"):
         append_times(a, b)
     assert append_times(b, a).count() == 2
     with pytest.raises(IngestError):
-        concat_slices([a, a.withColumn("w", F.lit(1))], ["IRIDL_time"])
+        concat_slices([a, a.withColumn("w", F.lit(1))], ["init_time"])
 
 
 def test_stream_ingest_diverts_late_starts(spark, make_cube, tmp_path):
@@ -243,7 +243,7 @@ def test_update_refill_reloads_starts_with_missing_files(spark, tmp_path):
     assert _update(spark, tmp_path, store, refill=True)
     cells = ST.read_cube(spark, store).cells
     assert cells.count() == 6 * 4
-    assert cells.filter((F.year("IRIDL_time") == 2001) & (F.col("number") == 2)).first()["tas"] == 12.0
+    assert cells.filter((F.year("init_time") == 2001) & (F.col("number") == 2)).first()["tas"] == 12.0
     assert not _update(spark, tmp_path, store, refill=True)
 
 
@@ -265,9 +265,9 @@ def test_update_keeps_aux_and_expanded_coords(spark, tmp_path):
     assert SI.update(spark, desc, store, LS.list_files(spark, str(d)), decode, None, ["Y", "X"])
     cube = ST.read_cube(spark, store)
     assert set(cube.coords) == {"area", "valid_expanded"}
-    assert cube.cells.columns == ["IRIDL_time", "number", "Y", "X", "tas"]
+    assert cube.cells.columns == ["init_time", "number", "Y", "X", "tas"]
     assert sorted(r["area"] for r in cube.coord_frame("area").collect()) == [5.0, 6.0]
-    v = {(r["IRIDL_time"].year, r["valid_expanded"]) for r in cube.coord_frame("valid_expanded").collect()}
+    v = {(r["init_time"].year, r["valid_expanded"]) for r in cube.coord_frame("valid_expanded").collect()}
     assert v == {(2000, 0.0), (2001, 1.0)}
 
 
