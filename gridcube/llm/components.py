@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from gridcube.llm.common import cut
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+#: Links (16 bytes each) a task takes at least: a small table has few tasks, and
+#: a single one needs no exchange in the steps between two checkpoints.
+LINKS_A_TASK = 200_000
+
+
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (both.where(F.col("v") > F.col("u")).join(low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     low = links.groupBy("u").agg(F.min("v").alias("m"))
     moved = links.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.withColumnRenamed("m", "v")).distinct()
+    return moved.unionByName(low.withColumnRenamed("m", "v")).coalesce(tasks).distinct()
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -38,8 +43,8 @@ def connected_components(links: DataFrame) -> DataFrame:
               .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, mark = None, _signature(now)
     while mark[0] and mark != before:
-        before = mark
-        now = cut(_small_star(_large_star(now)))
+        before, tasks = mark, -(-mark[0] // LINKS_A_TASK)
+        now = cut(_small_star(_large_star(now, tasks), tasks))
         mark = _signature(now)
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
