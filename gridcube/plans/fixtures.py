@@ -191,16 +191,15 @@ def fixture_catalog(spark: SparkSession, sf_dir: str):
     hindcast (opens the provider cube, one variable per store)."""
     from gridcube.operators import harmonize as H
     from gridcube.operators.schema import rename, select_data_vars
-    from gridcube.sources.catalog import Catalog, CatalogNode
+    from gridcube.sources.catalog import Catalog
 
     def add_distributor(c):
         return c.replace(ds_attrs={**c.ds_attrs, "Distributor": "gridcube.example"})
 
     store_names = {"tas": "tas", "prcp": "prate"}
-    root = CatalogNode("", transform=add_distributor)
-    ens = root.add(CatalogNode("ens", transform=lambda c: H.standardize(c, ensemble_config())))
-    model = ens.add(CatalogNode("model", transform=lambda c: rename(c, STANDARD_NAMES)))
-    model.add(CatalogNode("hindcast", open=lambda v: select_data_vars(raw_cube(spark, sf_dir), store_names[v]),
-                          list_vars=lambda: list(store_names)))
-    ens.add(CatalogNode("scratch", hidden=True))
-    return Catalog(root)
+    return (Catalog(add_distributor)
+            .register("/ens", transform=lambda c: H.standardize(c, ensemble_config()))
+            .register("/ens/model", transform=lambda c: rename(c, STANDARD_NAMES))
+            .register("/ens/model/hindcast", open=lambda v: select_data_vars(raw_cube(spark, sf_dir), store_names[v]),
+                      list_vars=lambda: list(store_names))
+            .register("/ens/scratch", hidden=True))

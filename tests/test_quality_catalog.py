@@ -10,7 +10,7 @@ from gridcube.functions.compare import allclose
 from gridcube.operators import align as AL
 from gridcube.operators import quality as QL
 from gridcube.operators import select as SL
-from gridcube.sources.catalog import Catalog, CatalogError, CatalogNode, RawCatalog
+from gridcube.sources.catalog import Catalog, CatalogError, RawCatalog
 
 
 def test_allclose_missing_values(spark):
@@ -103,18 +103,23 @@ def test_check_region_errors(spark):
 
 
 def _catalog(make_cube):
-    root = CatalogNode("", transform=lambda c: c.replace(ds_attrs={**c.ds_attrs, "root": "1"}))
-    a = root.add(CatalogNode("a", transform=lambda c: c.replace(ds_attrs={**c.ds_attrs, "a": "1"})))
-    leaf = a.add(CatalogNode("leaf", open=lambda v: make_cube(varname=v), list_vars=lambda: ["prcp", "b"]))
-    a.add(CatalogNode("b"))  # a dataset shadows the leaf's variable of the same name
-    a.add(CatalogNode("secret", hidden=True, open=lambda v: make_cube(varname=v), list_vars=lambda: ["x"]))
-    return Catalog(root), leaf
+    def opener(v):
+        return make_cube(varname=v)
+
+    def note(key):
+        return lambda c: c.replace(ds_attrs={**c.ds_attrs, key: "1", "last": key})
+
+    cat = Catalog(note("root")).register("/a", transform=note("a"), open=opener, list_vars=lambda: ["b", "own"])
+    cat.register("/a/leaf", open=opener, list_vars=lambda: ["prcp", "b"])
+    cat.register("/a/b")  # a dataset shadows the variable of the same path
+    return cat.register("/a/secret", hidden=True, open=opener, list_vars=lambda: ["x"])
 
 
 def test_catalog_open_and_list(make_cube):
-    cat, _ = _catalog(make_cube)
+    cat = _catalog(make_cube)
     c = cat.open_variable("/a/leaf/prcp")
-    assert c.ds_attrs == {"root": "1", "a": "1"}
+    assert c.ds_attrs == {"root": "1", "a": "1", "last": "root"}
+    assert cat.open_variable("/a/own") is not None and cat.open_variable("/") is None
     assert cat.open_variable("/a/leaf/") is None
     assert cat.open_variable("/a/leaf/nope") is None
     assert cat.open_variable("/a/b") is None
@@ -122,22 +127,21 @@ def test_catalog_open_and_list(make_cube):
     with pytest.raises(CatalogError, match="Absolute"):
         cat.open_variable("a/leaf/prcp")
     d = cat.open_dataset("/a/")
-    assert d.subdatasets == ["leaf", "b"] and d.variables == []
+    assert d.subdatasets == ["leaf", "b"] and d.variables == ["b", "own"]
     assert cat.open_dataset("/a/leaf/").variables == ["prcp", "b"]
     assert cat.open_dataset("/a") is None and cat.open_dataset("/zz/") is None
 
 
 def test_catalog_listing_frame(spark, make_cube):
-    cat, _ = _catalog(make_cube)
+    cat = _catalog(make_cube)
     rows = sorted(tuple(r) for r in cat.listing(spark, "/").collect())
     assert rows == [("dataset", "a")]
 
 
 def test_transform_returning_none_is_an_error(make_cube):
-    root = CatalogNode("", transform=lambda c: None)
-    root.add(CatalogNode("leaf", open=lambda v: make_cube(), list_vars=lambda: ["prcp"]))
+    cat = Catalog(lambda c: None).register("leaf", open=lambda v: make_cube(), list_vars=lambda: ["prcp"])
     with pytest.raises(CatalogError, match="returned NoneType"):
-        Catalog(root).open_variable("/leaf/prcp")
+        cat.open_variable("/leaf/prcp")
 
 
 def test_raw_catalog_entries(spark):
