@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every line once in the corpus; all documents stay."""
-    unique = lines.dedup_lines(docs.select(*COLUMNS))
+    unique = lines.dedup_lines(docs.select(*COLUMNS), wide=True)
     size = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return unique.withColumn("n_chars", size).select(*COLUMNS)
 

@@ -67,7 +67,7 @@ def op8_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "text", "removed_lines")
+    return lines.dedup_lines(docs, wide=True).select("doc_id", "text", "removed_lines")
 
 
 def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
