@@ -2,8 +2,9 @@
 
 The standard library's parser gives a stream of events; these become lines
 (blocks) with their text-to-tag ratio. The ratios are smoothed with a Gaussian
-and clustered by a threshold; the page regions that hold the lines above it
-are the content, without what their elements declare as boilerplate.
+and clustered by a threshold; the articles, or else the smallest region, that hold
+the lines above it are the content, without what their elements declare as
+boilerplate. Names and forms declare it only where the text is short or links.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,29 +27,65 @@ _BLOCK = frozenset("""address article aside blockquote body br caption center dd
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup
 option p pre search section summary table tbody td tfoot th thead title tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("""head title script style noscript template svg math iframe object canvas audio video form button
+_DROPPED = frozenset("""head title script style noscript template svg math iframe object canvas audio video button
 select option textarea input label nav footer aside menu dialog""".split())
 _REGION = frozenset("article main section div td body".split())
 _CLOSES_P = _BLOCK - {"br", "option", "optgroup", "caption"}
-#: Words in class, id or role that mark boilerplate.
-_MARKED = re.compile(r"""(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|
+#: Elements whose names can mark boilerplate; headings, paragraphs and inline elements are text.
+_CONTAINER = frozenset("article center dd details div dl fieldset header li ol section table tbody td tr ul".split())
+#: Words that mark boilerplate where a class, id or role has no others but them and the neutral ones.
+_MARKED = re.compile(r"""(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|
     menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|complementary|contentinfo|cookies?|consent|
     notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|
     comments?|commentlist|replies|reply|disqus|respond|discussion|pagination|pager|tags?|widget|toolbar|skip|copyright|
-    legal|disclaimer)(?=$|[\s_-])""", re.X | re.I)
-#: Of these, the ones that also name a layout around the article.
+    legal|disclaimer)""", re.X | re.I)
+_NEUTRAL = frozenset("""site page main global top bottom left right post posts article articles blog content primary secondary inner
+    outer bar box block container wrapper wrap area section list item items link links button buttons icon icons form col column
+    text thread""".split())
+#: Of the marked words, the ones that also name a layout around the article.
 _LAYOUT = frozenset("nav navbar navigation menu header masthead footer foot sidebar side aside banner toolbar overlay".split())
+#: Of the marked words, the ones that mark readers' texts, of whatever length.
+_READERS = frozenset("comment comments commentlist replies reply disqus respond".split())
+#: Marked text of fewer characters is boilerplate, longer one only where most of it is links.
+SHORT = 200
+
+
+def marked_words(named: str) -> set[str]:
+    """The marked words of the names that as a whole are marked."""
+    found = set()
+    for name in named.split():
+        words = [w for w in re.split(r"[\s_-]+", name) if w]
+        marked = {w for w in words if _MARKED.fullmatch(w)}
+        if all(w in marked or w in _NEUTRAL for w in words):
+            found |= marked
+    return found
+
+
+@dataclass
+class Mark:
+    """An element that is boilerplate if its text is short or links: the mark
+    around it, whether an article inside undoes it, whether it is a form or
+    whether only links tell, and its characters, in all and in links."""
+    around: int
+    layout: bool = False
+    form: bool = False
+    links_only: bool = False
+    chars: int = 0
+    links: int = 0
 
 
 @dataclass
 class Line:
     """A block of text: its tags, whether boilerplate elements hold it, the
-    element it belongs to, and the outermost article or main around it."""
+    element it belongs to, the outermost article or main around it, the mark
+    it is in (see Mark), and its characters in links."""
     text: str
     tags: int
+    links: int
     dropped: int
     region: int
     article: int
+    mark: int
 
 
 class Lines(HTMLParser):
@@ -56,10 +94,12 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # open elements: name, whether boilerplate (see marked), region, article
-        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        # open elements: name, whether boilerplate (see marked), region, article, mark
+        self.open: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+        self.marks = [Mark(0)]
+        self.around = {0: 0}       # region: the region around it
         self.parts: list[str] = []
-        self.tags = self.elements = self.paragraphs = 0
+        self.tags = self.elements = self.paragraphs = self.anchors = self.linked = 0
 
     def updatepos(self, i, j):
         return j        # line numbers are not needed
@@ -68,12 +108,13 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, max(1, self.tags), *self.open[-1][1:]))
+                self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), *self.open[-1][1:]))
             self.parts = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def close_from(self, k):
         self.paragraphs -= sum(e[0] == "p" for e in self.open[k:])
+        self.anchors -= sum(e[0] == "a" for e in self.open[k:])
         del self.open[k:]
 
     def close_to(self, tag):
@@ -95,35 +136,48 @@ class Lines(HTMLParser):
         if tag in _VOID:
             return
         self.elements += 1
-        _, dropped, region, article = self.open[-1]
+        _, dropped, region, article, mark = self.open[-1]
+        if tag in ("article", "main"):
+            if dropped == 1:
+                dropped = 0
+            while self.marks[mark].layout:
+                mark = self.marks[mark].around
         if not dropped:
             dropped = 2 if tag in _DROPPED or tag == "header" and not article else 0
-            if attrs and not dropped:
-                dropped = self.marked(tag, attrs, article)
-        elif dropped == 1 and tag in ("article", "main"):
-            dropped = self.marked(tag, attrs, article)
+            if not dropped and (attrs or tag == "form"):
+                dropped, new = self.marked(tag, attrs, article)
+                if new:
+                    new.around, mark = mark, len(self.marks)
+                    self.marks.append(new)
         if tag in _REGION:
+            self.around[self.elements] = region
             region = self.elements
             if not article and tag in ("article", "main"):
                 article = self.elements
         self.paragraphs += tag == "p"
-        self.open.append((tag, dropped, region, article))
+        self.anchors += tag == "a"
+        self.open.append((tag, dropped, region, article, mark))
 
     @staticmethod
     def marked(tag, attrs, article):
-        """Whether the element's own attributes declare boilerplate: 2 for
-        certain, 1 unless an article begins inside, 0 not."""
+        """Whether the element itself declares boilerplate: 2 for certain, 1
+        unless an article begins inside, 0 not; and a mark where its text tells."""
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-            return 2
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-        words = {w.strip(" \t\n_-") for w in _MARKED.findall(named)} if named else set()
-        if not words or tag in ("html", "body", "main"):
-            return 0
+            return 2, None
+        if tag == "form":
+            return 0, Mark(0, layout=True, form=True)
+        if tag not in _CONTAINER:
+            return 0, None
+        words = marked_words(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())
+        if not words or article and words <= {"header"}:
+            return 0, None
+        if words & _READERS:
+            return 2, None
         if tag == "article" and not article:
-            return 2 if any(w.startswith(("comment", "repl")) for w in words) else 0
-        if article and words <= {"header"}:
-            return 0
-        return 1 if words <= _LAYOUT else 2
+            return 0, None
+        if any(k == "role" and v and v.lower() in words for k, v in attrs):
+            return 1 if words <= _LAYOUT else 2, None
+        return 0, Mark(0, layout=words <= _LAYOUT, links_only=bool(article) and tag == "section")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -139,6 +193,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.open[-1][0] not in ("script", "style"):
             self.parts.append(data)
+            if self.anchors:
+                self.linked += len(data.strip())
 
     def close(self):
         if self.rawdata.startswith("<"):
@@ -166,6 +222,43 @@ def threshold(values: np.ndarray) -> float:
     return float(v[at] + v[at + 1]) / 2
 
 
+def unmarked(page: Lines) -> list[Line]:
+    """The lines that no element declares boilerplate. A form that holds most of
+    the page's text is a layout around it."""
+    lines = [x for x in page.lines if not x.dropped]
+    marks, total = page.marks, sum(len(x.text) for x in lines)
+    for x in lines:
+        marks[x.mark].chars += len(x.text)
+        marks[x.mark].links += x.links
+    for m in reversed(marks[1:]):      # a mark comes after the one around it
+        marks[m.around].chars += m.chars
+        marks[m.around].links += m.links
+    out = [False]
+    for m in marks[1:]:
+        dense = 2 * m.links > m.chars
+        gone = dense if m.links_only else dense or m.chars < SHORT
+        out.append(out[m.around] or gone and not (m.form and 2 * m.chars > total))
+    return [x for x in lines if not out[x.mark]]
+
+
+def common_region(regions: set[int], around: dict[int, int]) -> set[int]:
+    """The smallest region that holds all ``regions``, and all inside it."""
+    left = [-r for r in regions]
+    heapify(left)
+    while True:        # a region comes after the one around it
+        last = heappop(left)
+        while left and left[0] == last:
+            heappop(left)
+        if not left:
+            break
+        heappush(left, -around[-last])
+    inside = {-last}
+    for r, outer in around.items():
+        if outer in inside:
+            inside.add(r)
+    return inside
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The text of the page's content regions, a line for each block."""
     if not html:
@@ -173,7 +266,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     page = Lines()
     page.feed(html)
     page.close()
-    lines = [x for x in page.lines if not x.dropped]
+    lines = unmarked(page)
     if not lines:
         return ""
     ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
@@ -181,7 +274,11 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     chosen = [x for x, r in zip(lines, ratios) if r >= least]
     articles = {x.article for x in chosen if x.article}
     regions = {x.region for x in chosen}
-    return "\n".join(x.text for x in lines if (x.article in articles if articles else x.region in regions))
+    if articles:
+        return "\n".join(x.text for x in lines if x.article in articles)
+    inside = common_region(regions, page.around)
+    # inside, lists of links that hold no dense line are none of the content
+    return "\n".join(x.text for x in lines if x.region in regions or x.region in inside and 2 * x.links <= len(x.text))
 
 
 def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

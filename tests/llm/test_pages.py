@@ -33,3 +33,26 @@ def test_awkward_rows_and_clashing_columns(spark):
     rows = P.extract_text(df).collect()
     assert [(r.page_id, r.text[:3]) for r in rows] == [(1, ""), (None, ""), (2, "x\nx"), (2, "t")]
     assert P.extract_text(df.limit(0)).count() == 0
+
+
+STORY = "A sentence of the story that is long enough to be one. " * 5
+
+WHOLE = {
+    f'<article><h2 id="related-work">Related work</h2><p>{STORY}</p><h3 id="social-impact">Impact</h3><p class="legal">By law.</p>'
+    f'<section id="discussion"><h2>Discussion</h2><p>{STORY}</p></section><div class="share-buttons">Share</div></article>':
+        ["Related work", STORY, "Impact", "By law.", "Discussion", STORY],
+    f'<body><form id="aspnetForm"><div>{STORY}</div><form class="login">Name</form></form></body>': [STORY],
+    f'<form><main><p>{STORY}</p></main></form>': [STORY],
+    f'<body><div><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="story"><div><h1>Title</h1></div>'
+    f'<div><p>{STORY}</p></div><div><p>So it is.</p></div><div><p>{STORY}</p></div></div></body>': ["Title", STORY, "So it is.", STORY],
+}
+
+
+@pytest.mark.parametrize("html", WHOLE)
+def test_text_is_not_dropped_by_name_form_or_region(html):
+    got = P.main_text(html).replace("\nName", "")
+    assert got == "\n".join(x.strip() for x in WHOLE[html])
+
+
+def test_deep_nesting_takes_no_quadratic_work():
+    assert P.main_text("<div>" * 20_000 + "<p>x") == "x"
