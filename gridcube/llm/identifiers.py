@@ -96,14 +96,19 @@ def loose(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int,
 
 def context(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a span: the two words before it, and the word before
-    with the word after."""
+    with the word after. The line's ends stand for missing words: behind a single
+    word at the line's end, and before the words of a line that the span begins."""
     before = text[max(0, start - 80):start].split("\n")[-1].lower().split()[-2:]
-    after = text[end:end + 40].split("\n")[0].lower().split()[:1]
+    after = text[end:end + 40].split("\n")[0].lower().split()[:2]
     out = []
     if len(before) == 2:
         out.append("before " + " ".join(before))
     if before and after:
         out.append(f"between {before[-1]} | {after[0]}")
+    elif len(before) == 1:
+        out += [f"ending {before[0]} |", f"label | {before[0]}"]
+    elif after and not before:
+        out += [f"beginning | {after[0]}", "after " + " ".join([*after, "|"][:2])]
     return out
 
 

@@ -47,3 +47,12 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert I.find_identifiers(docs.limit(0)).count() == 0
     one = I.find_identifiers(documents(spark, [(1, "é a@b.co 1.2.3.4", "", "", 0)])).select(I.written(__import__("pyspark").sql.functions.col("seeds")).alias("w"))
     assert one.first().w == "email:2:8,ip:9:16"
+
+
+def test_labelled_lines_and_line_starts_give_patterns(spark):
+    rows = [(k, f"Some text\nPhone: +1 (555) 010-{1000 + k}\n+1 (555) 020-{1000 + k} office\nmore", "en", "s", 0) for k in range(12)]
+    rows += [(100, "Other\nPhone: 555 010 7777\nmore", "en", "s", 0), (101, "Phone: 555 010 8888", "en", "s", 0),
+             (102, "555 020 7777 office", "en", "s", 0), (103, "Order: 555 010 9999\n555 020 9999 pieces", "en", "s", 0),
+             (104, "555 010 6666", "en", "s", 0)]
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in I.find_identifiers(documents(spark, rows)).collect()}
+    assert {k: v for k, v in got.items() if v} == {100: [(3, 13, 25)], 101: [(3, 7, 19)], 102: [(3, 0, 12)]}
