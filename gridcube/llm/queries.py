@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcube.llm import decontaminate, embeddings, identifiers, language, lines, mixing, pages, quality, simhash, tokens
+from gridcube.llm import (decontaminate, embeddings, identifiers, language, lines, mixing, pages, phrases, quality, simhash,
+                          spelling, tokens, url_filters)
 from gridcube.llm.common import stage
 
 
@@ -74,9 +75,36 @@ def op10_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def dropped_letter(doc_id: Column, run: Column) -> Column:
+    """``run`` without one code point where 97 divides the crc32 of id and run."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    shorter = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))
+    return F.when(h % 97 == 0, shorter).otherwise(run)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), rewrite=dropped_letter)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: (host, path, verdict): fixed by the query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(_table(spark, sf_dir, "pages"), rules).select("page_id", "url_filter.*")
+
+
+def op13_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_mix_sources, op3_count_tokens, op4_simhash, op5_identify_language, op6_find_identifiers,
-    op7_score_quality, op8_extract_pages, op9_dedup_lines, op10_near_embeddings)}
+    op7_score_quality, op8_extract_pages, op9_dedup_lines, op10_near_embeddings, op11_spelling_variants, op12_filter_urls, op13_mine_phrases)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
