@@ -144,4 +144,50 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN l
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r""",
+    # links of the main kinds only: canonical links and refreshes with full URLs (pages hold no relative ones)
+    "op12_filter_urls": r"""
+WITH RECURSIVE r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+     ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, url, html,
+             translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest
+      FROM pages),
+t AS (SELECT host || rest AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag
+      FROM u WHERE host != '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
+d AS (SELECT a, CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s>]*)', 1)
+                     WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]*)', 1) END AS url
+      FROM t),
+e AS (SELECT a, lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
+      FROM d WHERE url LIKE '%://%'),
+k AS (SELECT DISTINCT host, path, host || rest AS node FROM u
+      UNION SELECT regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1), b FROM e),
+m AS (SELECT node, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v
+      FROM k JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY node),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+x(node) AS (SELECT node FROM m WHERE v = 'block' UNION SELECT l.b FROM x JOIN l ON l.a = x.node)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN host != '' AND host || rest IN (SELECT node FROM x) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m ON m.node = host || rest""",
+    "op13_mine_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+      FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g),
+t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, g, k, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND a >= 10),
+s AS (SELECT c.lang, c.g, c.k, c.a, c.cut, l.a AS l, r.a AS r,
+             CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:c.cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[c.cut + 1:c.k]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (SELECT lang, g[1:2] AS g, a FROM f WHERE k = 3 AND a >= 10 UNION ALL SELECT lang, g[2:3], a FROM f WHERE k = 3 AND a >= 10),
+o AS (SELECT lang, g, max(a) AS most FROM i GROUP BY lang, g),
+q AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score
+      FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE most IS NULL OR 100 * most < 50 * b.a)
+SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM q JOIN t ON t.lang = q.lang
+QUALIFY rank <= 2000""",
 }
