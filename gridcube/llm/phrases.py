@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +70,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def hand_on():
         for lang, found in counts.items():
-            edges = list(found)
+            edges, many = list(found), list(found.values())
             for s in range(0, len(edges), 100_000):
-                part = edges[s:s + 100_000]
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([e.decode() for e in part], pa.string()),
-                                       pa.array([found[e] for e in part], pa.int64())], schema=_COUNTED)
+                part = pa.array(edges[s:s + 100_000], pa.binary()).cast(pa.string())
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), part, pa.array(many[s:s + 100_000], pa.int64())], schema=_COUNTED)
         counts.clear()
 
     for batch in batches:
@@ -86,11 +86,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_count, "lang string, edge string, n bigint")
+    """(edge, n): edges ``lang x y z`` with the counts of single tasks."""
+    counted = docs.mapInArrow(_count, "lang string, edge string, n bigint")
+    return counted.select(F.concat_ws(" ", "lang", "edge").alias("edge"), "n")
 
 
 def _node(edge: Column) -> Column:
-    return F.substring_index(edge, " ", 2)
+    return F.substring_index(edge, " ", 3)
 
 
 def _last(edge: Column) -> Column:
@@ -105,6 +107,80 @@ def _hot_nodes(docs: DataFrame) -> list[str]:
     return [r.node for r in nodes.where(F.col("n") >= total * HOT_SHARE).select("node").collect()]
 
 
+_FOUND = pa.schema([("lang", pa.string()), ("x", pa.string()), ("y", pa.string()), ("z", pa.string()), ("n", pa.int64())])
+
+
+def _runs(names: pa.Array) -> np.ndarray:
+    """Where runs of equal values start."""
+    changed = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate(([True], changed)))
+
+
+def _rows(parts: list, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of words, pairs or triples: language and one to three words."""
+    none = pa.nulls(len(n), pa.string())
+    return pa.record_batch([*parts, *[none] * (4 - len(parts)), pa.array(n, pa.int64())], schema=_FOUND)
+
+
+def _counts_of(nodes: pa.Array, n: np.ndarray, ended: np.ndarray, least: int, hot: set[str]) -> Iterator[pa.RecordBatch]:
+    """What whole nodes (``lang x y``, in order) count for: their first word by
+    flow, their last by piece ends, and themselves where frequent or hot."""
+    parts = pc.split_pattern(nodes, " ").flatten()
+    lang, x, y = (parts.take(pa.array(np.arange(k, len(parts), 3))) for k in range(3))
+    word = pc.not_equal(x, ".").to_numpy(zero_copy_only=False)
+    starts = _runs(pc.binary_join_element_wise(lang, x, " "))
+    flow = np.add.reduceat(np.where(word, n, 0), starts)
+    first = starts[flow > 0]
+    yield _rows([lang.take(pa.array(first)), x.take(pa.array(first))], flow[flow > 0])
+    keep = np.flatnonzero(word & ((n >= least) | (pc.is_in(nodes, pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False) if hot else False)))
+    yield _rows([c.take(pa.array(keep)) for c in (lang, x, y)], n[keep])
+    at = np.flatnonzero(ended)
+    ends = pa.table({"lang": lang.take(pa.array(at)), "y": y.take(pa.array(at)), "n": ended[at]}).group_by(["lang", "y"]).aggregate([("n", "sum")])
+    yield from (_rows([b["lang"], b["y"]], b["n_sum"].to_numpy()) for b in ends.to_batches())
+
+
+def _reduce(least: int, hot: set[str]):
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of ``edge, node, n`` rows in order of edges. Between batches
+        only the last edge and the last node wait, as sums."""
+        edge_left = pa.table({"edge": pa.array([], pa.string()), "node": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        node_left = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def edges(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal edge_left, node_left
+            rows = rows.combine_chunks()
+            edge, node = rows["edge"].combine_chunks(), rows["node"].combine_chunks()
+            starts = _runs(edge)
+            n = np.add.reduceat(rows["n"].to_numpy(), starts)
+            edge, node = edge.take(pa.array(starts)), node.take(pa.array(starts))
+            if not whole:
+                edge_left = pa.table({"edge": edge.slice(len(n) - 1), "node": node.slice(len(n) - 1), "n": n[-1:]})
+                edge, node, n = edge.slice(0, len(n) - 1), node.slice(0, len(n) - 1), n[:-1]
+            end = pc.ends_with(edge, " .").to_numpy(zero_copy_only=False)
+            often = np.flatnonzero(~end & (n >= least))
+            if len(often):
+                parts = pc.split_pattern(edge.take(pa.array(often)), " ").flatten()
+                yield _rows([parts.take(pa.array(np.arange(k, len(parts), 4))) for k in range(4)], n[often])
+            node = pa.concat_arrays([node_left[0], node])
+            n, ended = np.concatenate([node_left[1], n]), np.concatenate([node_left[2], np.where(end, n, 0)])
+            if not len(n):
+                return
+            starts = _runs(node)
+            node, n, ended = node.take(pa.array(starts)), np.add.reduceat(n, starts), np.add.reduceat(ended, starts)
+            if not whole:
+                node_left = node.slice(len(n) - 1), n[-1:], ended[-1:]
+                node, n, ended = node.slice(0, len(n) - 1), n[:-1], ended[:-1]
+            if len(n):
+                yield from _counts_of(node, n, ended, least, hot)
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from edges(pa.concat_tables([edge_left, pa.Table.from_batches([batch]).cast(edge_left.schema)]), False)
+        if edge_left.num_rows:
+            yield from edges(edge_left, True)
+    return reduce
+
+
 class Graph(NamedTuple):
     """Exact counts: ``words(lang, x, n)`` of every word, ``nodes(lang, x, y,
     n)`` and ``edges(lang, x, y, z, n)`` of the frequent pairs and triples."""
@@ -118,35 +194,20 @@ def build_graph(docs: DataFrame, *, text: str = "text", lang: str = "lang", leas
     """The graph of all texts, with pairs and triples that occur ``least`` times.
 
     Edges are counted in the task, then in one shuffle that deals them by node
-    (hot nodes by last word as well), so that an edge's count, and a node's but
-    for hot ones, is complete in its task. Counts of rare nodes leave it only
-    as their share of the first word's count.
+    (hot nodes by last word as well) and sorts them, so that an edge's count, and
+    a node's but for hot ones, is complete in its task. Rare nodes leave it only
+    as their share of the counts of their words.
     """
     need(docs, text, lang)
-    docs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    code = F.url_encode(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")))  # without blanks
+    docs = docs.select(code.alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     hot, edge = _hot_nodes(docs), F.col("edge")
-    is_hot = _node(edge).isin(hot) if hot else F.lit(False)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(_last(edge)), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
-    dealt = _counted(docs).repartition("lang", _node(edge), salt)
-    whole = (dealt.select("lang", _node(edge).alias("node"), salt.alias("salt"), edge.alias("edge"), "n")
-             .groupBy("lang", "node", "salt", "edge").agg(F.sum("n").alias("n")))
-    ends = F.col("z") == "."
-    out = (whole.select("lang", "node", "salt", _last(F.col("edge")).alias("z"), "n").groupBy("lang", "node", "salt")
-           .agg(F.sum("n").alias("n"), F.sum(F.when(ends, F.col("n"))).alias("ended"),
-                F.collect_list(F.when(~ends & (F.col("n") >= least), F.struct("z", "n"))).alias("edges")))
-    x, y = F.substring_index("node", " ", 1), F.substring_index("node", " ", -1)
-    keep = (F.col("n") >= least) | (F.col("node").isin(hot) if hot else F.lit(False))
-    none = F.lit(None).cast("string")
-
-    def row(x, y, z, n):
-        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), n.alias("n"))
-
-    own = F.array(F.when(x != ".", row(x, none, none, F.col("n"))), F.when((x != ".") & keep, row(x, y, none, F.col("n"))),
-                  F.when(F.col("ended") > 0, row(y, none, none, F.col("ended"))))
-    found = out.withColumns({"x": x, "y": y}).select("lang", F.explode(F.concat(
-        F.filter(own, lambda r: r.isNotNull()),
-        F.transform("edges", lambda e: row(F.col("x"), F.col("y"), e["z"], e["n"])))).alias("r"))
-    counts = stage(found.select("lang", "r.*").groupBy("lang", "x", "y", "z").agg(F.sum("n").alias("n")), "phrase-counts")
+    salt = F.when(_node(edge).isin(hot), F.pmod(F.xxhash64(_last(edge)), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    dealt = _counted(docs).repartition(_node(edge), salt).sortWithinPartitions("edge")
+    found = dealt.select("edge", _node(edge).alias("node"), "n").mapInArrow(
+        _reduce(least, set(hot)), "lang string, x string, y string, z string, n bigint")
+    counts = stage(found.groupBy("lang", "x", "y", "z").agg(F.sum("n").alias("n"))
+                   .withColumn("lang", F.url_decode("lang")), "phrase-counts")
     often = counts.where(F.col("n") >= least)
     return Graph(counts.where("y IS NULL").select("lang", "x", "n"),
                  often.where("y IS NOT NULL AND z IS NULL").select("lang", "x", "y", "n"), often.where("z IS NOT NULL"))
@@ -195,7 +256,7 @@ def score(a: Column, l: Column, r: Column) -> Column:
     return F.call_function("div", top, product(wide[1], wide[2])).cast("bigint")
 
 
-def candidates(graph: Graph, found: DataFrame, *, share: tuple[int, int] = (1, 2)) -> DataFrame:
+def candidates(graph: Graph, found: DataFrame, *, least: int = 10, share: tuple[int, int] = (1, 2)) -> DataFrame:
     """(lang, phrase, a, l, r, score) of every frequent pair and triple, but for
     pairs inside a frequent triple that has ``share`` of their count."""
     uses = found.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.size("counts")), lambda i: F.struct(
@@ -204,7 +265,8 @@ def candidates(graph: Graph, found: DataFrame, *, share: tuple[int, int] = (1, 2
     inside = uses.select("lang", "u.*").groupBy("lang", "x", "y").agg(F.max("most").alias("most"))
     triples = found.select("lang", F.explode(F.transform("counts", lambda n, i: F.struct(
         F.get("words", i).alias("x"), F.get("words", i + 1).alias("y"), F.get("words", i + 2).alias("z"), n.alias("a")))).alias("t")).select("lang", "t.*")
-    word = lambda name, n: graph.words.select("lang", F.col("x").alias(name), F.col("n").alias(n))
+    often = graph.words.where(F.col("n") >= least)  # as are the parts of whatever is frequent
+    word = lambda name, n: often.select("lang", F.col("x").alias(name), F.col("n").alias(n))
     pair = lambda p, q, n: graph.nodes.select("lang", F.col("x").alias(p), F.col("y").alias(q), F.col("n").alias(n))
     free = graph.nodes.withColumnRenamed("n", "a").join(inside, ["lang", "x", "y"], "left") \
         .where(F.coalesce(F.col("most"), F.lit(0)) * share[1] < F.col("a") * share[0])
@@ -236,7 +298,7 @@ def top_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", leas
     task sorts all its phrases.
     """
     graph = build_graph(docs, text=text, lang=lang, least=least)
-    scored = stage(candidates(graph, passages(graph.edges), share=share), "phrase-scores")
+    scored = stage(candidates(graph, passages(graph.edges), least=least, share=share), "phrase-scores")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= first)

@@ -27,9 +27,14 @@ def brute(rows, least, first):
     for g, a in f.items():
         total[g[0]] += a * (len(g) == 2)
     often = {g: a for g, a in f.items() if len(g) > 2 and a >= least}
+    most = Counter()
+    for h, b in often.items():
+        if len(h) == 4:
+            for pair in (h[:3], (h[0], *h[2:])):
+                most[pair] = max(most[pair], b)
     for g, a in often.items():
         lang, w = g[0], g[1:]
-        if len(w) == 2 and any(2 * b >= a for h, b in often.items() if len(h) == 4 and h[0] == lang and w in (h[1:3], h[2:4])):
+        if len(w) == 2 and g in most and 2 * most[g] >= a:
             continue
         cuts = [(1_000_000 * a * a // (f[(lang, *w[:k])] * f[(lang, *w[k:])]), k) for k in range(1, len(w))]
         score, k = min(cuts)
