@@ -86,17 +86,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(edge, n): edges ``lang x y z`` with the counts of single tasks."""
+    """(edge, n): edges ``x y z lang`` with the counts of single tasks."""
     counted = docs.mapInArrow(_count, "lang string, edge string, n bigint")
-    return counted.select(F.concat_ws(" ", "lang", "edge").alias("edge"), "n")
+    return counted.select(F.concat_ws(" ", "edge", "lang").alias("edge"), "n")
 
 
 def _node(edge: Column) -> Column:
-    return F.substring_index(edge, " ", 3)
+    return F.substring_index(edge, " ", 2)
 
 
 def _last(edge: Column) -> Column:
-    return F.substring_index(edge, " ", -1)
+    return F.split_part(edge, F.lit(" "), F.lit(3))
 
 
 def _hot_nodes(docs: DataFrame) -> list[str]:
@@ -122,62 +122,71 @@ def _rows(parts: list, n: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([*parts, *[none] * (4 - len(parts)), pa.array(n, pa.int64())], schema=_FOUND)
 
 
-def _counts_of(nodes: pa.Array, n: np.ndarray, ended: np.ndarray, least: int, hot: set[str]) -> Iterator[pa.RecordBatch]:
-    """What whole nodes (``lang x y``, in order) count for: their first word by
-    flow, their last by piece ends, and themselves where frequent or hot."""
-    parts = pc.split_pattern(nodes, " ").flatten()
-    lang, x, y = (parts.take(pa.array(np.arange(k, len(parts), 3))) for k in range(3))
+def _grouped(names: dict[str, pa.Array], sums: dict[str, np.ndarray]) -> pa.Table:
+    """Sums by names, in order of appearance."""
+    table = pa.table({**names, **sums}).group_by(list(names), use_threads=False).aggregate([(c, "sum") for c in sums])
+    return table.rename_columns([*names, *sums]).combine_chunks()
+
+
+def _counts_of(nodes: pa.Table, least: int, hot: pa.Array) -> Iterator[pa.RecordBatch]:
+    """What whole ``node, lang, n, ended`` rows count for: a node's first word
+    by flow, its last by piece ends, and itself where frequent or hot."""
+    lang, n, ended = nodes["lang"].combine_chunks(), nodes["n"].to_numpy(), nodes["ended"].to_numpy()
+    parts = pc.split_pattern(nodes["node"].combine_chunks(), " ").flatten()
+    x, y = (parts.take(pa.array(np.arange(k, len(parts), 2))) for k in range(2))
     word = pc.not_equal(x, ".").to_numpy(zero_copy_only=False)
-    starts = _runs(pc.binary_join_element_wise(lang, x, " "))
-    flow = np.add.reduceat(np.where(word, n, 0), starts)
-    first = starts[flow > 0]
-    yield _rows([lang.take(pa.array(first)), x.take(pa.array(first))], flow[flow > 0])
-    keep = np.flatnonzero(word & ((n >= least) | (pc.is_in(nodes, pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False) if hot else False)))
+    often = (n >= least) | pc.is_in(nodes["node"], hot).to_numpy()
+    for at, name, many in ((np.flatnonzero(word), x, n), (np.flatnonzero(ended), y, ended)):
+        at_rows = pa.array(at)
+        found = _grouped({"lang": lang.take(at_rows), "name": name.take(at_rows)}, {"n": many[at]})
+        yield _rows([found["lang"].combine_chunks(), found["name"].combine_chunks()], found["n"].to_numpy())
+    keep = np.flatnonzero(word & often)
     yield _rows([c.take(pa.array(keep)) for c in (lang, x, y)], n[keep])
-    at = np.flatnonzero(ended)
-    ends = pa.table({"lang": lang.take(pa.array(at)), "y": y.take(pa.array(at)), "n": ended[at]}).group_by(["lang", "y"]).aggregate([("n", "sum")])
-    yield from (_rows([b["lang"], b["y"]], b["n_sum"].to_numpy()) for b in ends.to_batches())
 
 
-def _reduce(least: int, hot: set[str]):
+_EDGES = pa.schema([("edge", pa.string()), ("node", pa.string()), ("n", pa.int64())])
+_NODES = pa.schema([("node", pa.string()), ("lang", pa.string()), ("n", pa.int64()), ("ended", pa.int64())])
+
+
+def _reduce(least: int, hot_nodes: list[str]):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of ``edge, node, n`` rows in order of edges. Between batches
         only the last edge and the last node wait, as sums."""
-        edge_left = pa.table({"edge": pa.array([], pa.string()), "node": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
-        node_left = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hot = pa.array(hot_nodes, pa.string())
+        last_edge, last_node = _EDGES.empty_table(), _NODES.empty_table()
 
-        def edges(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal edge_left, node_left
-            rows = rows.combine_chunks()
+        def reduced(rows: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal last_edge, last_node
             edge, node = rows["edge"].combine_chunks(), rows["node"].combine_chunks()
             starts = _runs(edge)
             n = np.add.reduceat(rows["n"].to_numpy(), starts)
             edge, node = edge.take(pa.array(starts)), node.take(pa.array(starts))
             if not whole:
-                edge_left = pa.table({"edge": edge.slice(len(n) - 1), "node": node.slice(len(n) - 1), "n": n[-1:]})
+                last_edge = pa.table([edge.slice(len(n) - 1), node.slice(len(n) - 1), n[-1:]], schema=_EDGES)
                 edge, node, n = edge.slice(0, len(n) - 1), node.slice(0, len(n) - 1), n[:-1]
-            end = pc.ends_with(edge, " .").to_numpy(zero_copy_only=False)
+            end = pc.match_substring(edge, " . ").to_numpy(zero_copy_only=False)
             often = np.flatnonzero(~end & (n >= least))
             if len(often):
-                parts = pc.split_pattern(edge.take(pa.array(often)), " ").flatten()
-                yield _rows([parts.take(pa.array(np.arange(k, len(parts), 4))) for k in range(4)], n[often])
-            node = pa.concat_arrays([node_left[0], node])
-            n, ended = np.concatenate([node_left[1], n]), np.concatenate([node_left[2], np.where(end, n, 0)])
-            if not len(n):
+                x, y, z, lang = (pc.split_pattern(edge.take(pa.array(often)), " ").flatten().take(
+                    pa.array(np.arange(k, 4 * len(often), 4))) for k in range(4))
+                yield _rows([lang, x, y, z], n[often])
+            lang = pc.split_pattern(edge, " ", max_splits=1, reverse=True).flatten()
+            lang = lang.take(pa.array(np.arange(1, len(lang), 2)))
+            nodes = pa.concat_tables([last_node, pa.table([node, lang, n, np.where(end, n, 0)], schema=_NODES)]).combine_chunks()
+            if not len(nodes):
                 return
-            starts = _runs(node)
-            node, n, ended = node.take(pa.array(starts)), np.add.reduceat(n, starts), np.add.reduceat(ended, starts)
+            nodes = _grouped({c: nodes[c] for c in ("node", "lang")}, {c: nodes[c] for c in ("n", "ended")})
             if not whole:
-                node_left = node.slice(len(n) - 1), n[-1:], ended[-1:]
-                node, n, ended = node.slice(0, len(n) - 1), n[:-1], ended[:-1]
-            if len(n):
-                yield from _counts_of(node, n, ended, least, hot)
+                waits = pc.equal(nodes["node"], nodes["node"][-1])
+                last_node, nodes = nodes.filter(waits), nodes.filter(pc.invert(waits))
+            if len(nodes):
+                yield from _counts_of(nodes, least, hot)
 
         for batch in batches:
             if batch.num_rows:
-                yield from edges(pa.concat_tables([edge_left, pa.Table.from_batches([batch]).cast(edge_left.schema)]), False)
-        if edge_left.num_rows:
-            yield from edges(edge_left, True)
+                yield from reduced(pa.concat_tables([last_edge, pa.Table.from_batches([batch]).cast(_EDGES)]), False)
+        if last_edge.num_rows:
+            yield from reduced(last_edge, True)
     return reduce
 
 
@@ -195,7 +204,7 @@ def build_graph(docs: DataFrame, *, text: str = "text", lang: str = "lang", leas
 
     Edges are counted in the task, then in one shuffle that deals them by node
     (hot nodes by last word as well) and sorts them, so that an edge's count, and
-    a node's but for hot ones, is complete in its task. Rare nodes leave it only
+    that of a node that is not hot, is complete in its task. Rare nodes leave it only
     as their share of the counts of their words.
     """
     need(docs, text, lang)
@@ -205,7 +214,7 @@ def build_graph(docs: DataFrame, *, text: str = "text", lang: str = "lang", leas
     salt = F.when(_node(edge).isin(hot), F.pmod(F.xxhash64(_last(edge)), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     dealt = _counted(docs).repartition(_node(edge), salt).sortWithinPartitions("edge")
     found = dealt.select("edge", _node(edge).alias("node"), "n").mapInArrow(
-        _reduce(least, set(hot)), "lang string, x string, y string, z string, n bigint")
+        _reduce(least, hot), "lang string, x string, y string, z string, n bigint")
     counts = stage(found.groupBy("lang", "x", "y", "z").agg(F.sum("n").alias("n"))
                    .withColumn("lang", F.url_decode("lang")), "phrase-counts")
     often = counts.where(F.col("n") >= least)
