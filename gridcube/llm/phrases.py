@@ -24,6 +24,8 @@ from gridcube.llm.common import cut, need, stage, utf8
 
 #: Distinct edges that a task counts before it hands them on (some 160 MB).
 EDGES_AT_ONCE = 1_000_000
+#: Counts of tasks that are summed at once: so many rows or bytes.
+ROWS_AT_ONCE, BYTES_REDUCED = 100_000, 16 << 20
 #: Bytes of a text split at once, ended at the next piece end.
 BYTES_AT_ONCE = 1 << 20
 #: A node with this share of a sample's edges or more is hot; there are at most
@@ -36,7 +38,7 @@ PASSAGE_EDGES = 4_096
 END = b"."
 _FOLD = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-_COUNTED = pa.schema([("lang", pa.string()), ("edge", pa.string()), ("n", pa.int64())])
+_COUNTED = pa.schema([("edge", pa.string()), ("n", pa.int64())])
 
 
 def edges_of(text: bytes) -> list[bytes]:
@@ -70,10 +72,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def hand_on():
         for lang, found in counts.items():
-            edges, many = list(found), list(found.values())
+            own = b" " + lang.encode()
+            edges, many = [edge + own for edge in found], list(found.values())
             for s in range(0, len(edges), 100_000):
-                part = pa.array(edges[s:s + 100_000], pa.binary()).cast(pa.string())
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), part, pa.array(many[s:s + 100_000], pa.int64())], schema=_COUNTED)
+                yield pa.record_batch([pa.array(edges[s:s + 100_000], pa.binary()).cast(pa.string()),
+                                       pa.array(many[s:s + 100_000], pa.int64())], schema=_COUNTED)
         counts.clear()
 
     for batch in batches:
@@ -87,8 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(docs: DataFrame) -> DataFrame:
     """(edge, n): edges ``x y z lang`` with the counts of single tasks."""
-    counted = docs.mapInArrow(_count, "lang string, edge string, n bigint")
-    return counted.select(F.concat_ws(" ", "edge", "lang").alias("edge"), "n")
+    return docs.mapInArrow(_count, "edge string, n bigint")
 
 
 def _node(edge: Column) -> Column:
@@ -182,11 +184,15 @@ def _reduce(least: int, hot_nodes: list[str]):
             if len(nodes):
                 yield from _counts_of(nodes, least, hot)
 
+        waiting, rows, size = [], 0, 0
         for batch in batches:
-            if batch.num_rows:
-                yield from reduced(pa.concat_tables([last_edge, pa.Table.from_batches([batch]).cast(_EDGES)]), False)
-        if last_edge.num_rows:
-            yield from reduced(last_edge, True)
+            waiting.append(pa.Table.from_batches([batch]).cast(_EDGES))
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= ROWS_AT_ONCE or size >= BYTES_REDUCED:
+                yield from reduced(pa.concat_tables([last_edge, *waiting]).combine_chunks(), False)
+                waiting, rows, size = [], 0, 0
+        if rows or last_edge.num_rows:
+            yield from reduced(pa.concat_tables([last_edge, *waiting]).combine_chunks(), True)
     return reduce
 
 

@@ -61,6 +61,7 @@ def test_equals_brute_force(spark, monkeypatch, at_once, hot_share, text_bytes):
     monkeypatch.setattr(phrases, "HOT_SHARE", hot_share)
     monkeypatch.setattr(phrases, "BYTES_AT_ONCE", text_bytes)
     monkeypatch.setattr(phrases, "SAMPLE", 2)
+    monkeypatch.setattr(phrases, "ROWS_AT_ONCE", 1 if at_once == 50 else 700)
     rows = random_rows(4)
     got = phrases.top_phrases(documents(spark, rows, extra=["n", "edge", "x", "phrase", "rank"]), least=6, first=40)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
