@@ -90,11 +90,46 @@ class GridCube:
     descending: frozenset[str] = frozenset()
     # dimensions without a coordinate variable: their column holds positions
     bare_dims: frozenset[str] = frozenset()
+    # labels of a dimension in stored order, where they are known without
+    # reading ``cells`` (from the store, or declared); see ``with_index``
+    index: Mapping[str, tuple] = field(default_factory=dict)
 
     # ------------------------------------------------------------------ basics
     def replace(self, **changes) -> "GridCube":
+        """A copy with other fields. New ``cells`` may have other labels, so
+        the index goes with the old ones unless a new one is given; a
+        direction that turns round turns the index round as well."""
+        if "index" not in changes:
+            if "cells" in changes:
+                changes["index"] = {}
+            elif "descending" in changes:
+                turned = self.descending ^ frozenset(changes["descending"])
+                changes["index"] = {d: v[::-1] if d in turned else v for d, v in self.index.items()}
         return dataclasses.replace(self, **changes)
 
+    def with_values(self, cells: DataFrame, **changes) -> "GridCube":
+        """A copy with other ``cells`` whose dimensions have the same labels
+        (other values or columns): the index stays."""
+        return self.replace(cells=cells, index=self.index, **changes)
+
+    def with_index(self, **labels: Iterable) -> "GridCube":
+        """Declare the labels of dimensions in stored order (positions 0, 1,
+        ...). Labels are coordinates: they may have no cells, but a label of
+        ``cells`` that is not declared has no position. Null or repeated
+        labels are an error. The direction (``descending``) follows from the
+        first and last label."""
+        found = {**self.index}
+        for d, values in labels.items():
+            values = tuple(values)
+            if d not in self.dims:
+                raise KeyError(f"{d!r} is not a dimension of {self.dims}")
+            if None in values or len(set(values)) != len(values):
+                raise ValueError(f"the labels of {d} hold nulls or repeats")
+            found[d] = values
+        down = frozenset(d for d, v in found.items() if len(v) > 1 and v[0] > v[-1])
+        up = frozenset(d for d, v in found.items() if len(v) > 1 and v[0] < v[-1])
+        return self.replace(index=found, descending=(self.descending | down) - up)
+
     @property
     def spark(self) -> SparkSession:
         return self.cells.sparkSession
@@ -143,7 +178,8 @@ class GridCube:
     def axes(self, dims=None) -> dict[str, DataFrame]:
         """Axis tables ``(label, pos)`` of several dimensions.
 
-        All requested axes come from ONE pass over ``cells`` (a distinct that
+        Axes of the index are read from it, in stored order and without a
+        job. All others come from ONE pass over ``cells`` (a distinct that
         de-duplicates map-side, so the shuffle is coordinate-sized). The
         labels are coordinates: they are rebuilt on the driver as small
         tables (registered with ``mark_small``) that later joins broadcast
@@ -153,15 +189,15 @@ class GridCube:
         """
         dims = list(dims or self.dims)
         memo = _AXES.setdefault(self.cells, {})  # dim -> ascending labels (list) or None
-        todo = [d for d in dims if d not in memo]
+        todo = [d for d in dims if d not in memo and d not in self.index]
         types = {f.name: f.dataType for f in self.cells.schema.fields}
         if todo:
             memo.update(self._collect_labels(todo, types))
         out = {}
         for d in dims:
             desc = d in self.descending
-            if memo[d] is not None:
-                labels = memo[d][::-1] if desc else memo[d]
+            if d in self.index or memo[d] is not None:
+                labels = self.index[d] if d in self.index else memo[d][::-1] if desc else memo[d]
                 schema = T.StructType([T.StructField(d, types[d]), T.StructField("pos", T.IntegerType(), False)])
                 out[d] = mark_small(self.spark.createDataFrame([(v, i) for i, v in enumerate(labels)], schema))
             else:
@@ -175,7 +211,7 @@ class GridCube:
         order = F.col(d).desc() if desc else F.col(d).asc()
         labels = self.cells.select(d).distinct().filter(F.col(d).isNotNull()).orderBy(order)
         indexed = labels.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-        schema = T.StructType([T.StructField(d, dtype), T.StructField("pos", T.LongType(), False)])
+        schema = T.StructType([T.StructField(d, dtype), T.StructField("pos", T.IntegerType(), False)])
         return self.spark.createDataFrame(indexed, schema)
 
     def _collect_labels(self, todo: list[str], types) -> dict[str, list | None]:

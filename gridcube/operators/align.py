@@ -72,6 +72,14 @@ def align_to(cube: GridCube, other: GridCube, dim: str = "S", strict: bool = Fal
     """Restrict ``cube`` to the labels ``other`` has on ``dim``. With
     ``strict`` (label selection semantics) a label of ``other`` that ``cube``
     lacks is a KeyError."""
+    if dim in cube.index and dim in other.index:
+        wanted = set(other.index[dim])
+        missing = wanted.difference(cube.index[dim])
+        if strict and missing:
+            raise KeyError(f"{min(missing)!r} not found in {dim}")
+        kept = tuple(v for v in cube.index[dim] if v in wanted)
+        labels = cube.replace(index={dim: kept}).axis(dim).select(dim)
+        return cube.replace(cells=join_small(cube.cells, labels, dim, "left_semi"), index={**cube.index, dim: kept})
     labels = other.axis(dim).select(dim)
     if strict:
         missing = labels.join(cube.axis(dim).select(dim), dim, "left_anti").limit(1).collect()
@@ -129,4 +137,4 @@ def broadcast_coord(cube: GridCube, table: DataFrame, keys: Sequence[str],
     an (S, L) table), matched by dimension name."""
     cells = join_small(cube.cells, table.select(*keys, factor), list(keys), "inner")
     cells = cells.withColumns({v: F.col(v) * F.col(factor) for v in names})
-    return cube.replace(cells=cells.select(*cube.cells.columns))
+    return cube.with_values(cells.select(*cube.cells.columns))

@@ -56,6 +56,7 @@ def rename(cube: GridCube, mapping: Mapping[str, str]) -> GridCube:
         encodings=_rename_map(cube.encodings, m),
         descending=frozenset(r(d) for d in cube.descending),
         bare_dims=frozenset(r(d) for d in cube.bare_dims),
+        index={r(d): v for d, v in cube.index.items()},
     )
 
 
@@ -65,7 +66,7 @@ def select_data_vars(cube: GridCube, names: str | Iterable[str]) -> GridCube:
     missing = [n for n in keep if n not in cube.data_vars]
     if missing:
         raise KeyError(f"data variables {missing} not found in {list(cube.data_vars)}")
-    return cube.replace(cells=cube.cells.select(*cube.dims, *keep), data_vars=tuple(keep))
+    return cube.with_values(cube.cells.select(*cube.dims, *keep), data_vars=tuple(keep))
 
 
 def drop_coords(cube: GridCube, names: str | Iterable[str]) -> GridCube:
@@ -77,7 +78,7 @@ def drop_coords(cube: GridCube, names: str | Iterable[str]) -> GridCube:
     if any(n in cube.dims for n in drop):
         raise SchemaError(f"cannot drop dimension coordinates {[n for n in drop if n in cube.dims]}")
     cells_drop = [n for n in drop if n in cube.cells.columns]
-    return cube.replace(
+    return cube.with_values(
         cells=cube.cells.drop(*cells_drop),
         data_vars=tuple(v for v in cube.data_vars if v not in drop),
         coords={k: c for k, c in cube.coords.items() if k not in drop},
@@ -97,7 +98,7 @@ def set_aux_coords(cube: GridCube, names: str | Iterable[str],
         table = cube.cells.select(*own, name).dropDuplicates(list(own))
         coords[name] = Coord(own, table=table)
     moved = set(ensure_list(names))
-    return cube.replace(
+    return cube.with_values(
         cells=cube.cells.drop(*moved),
         data_vars=tuple(v for v in cube.data_vars if v not in moved),
         coords=coords,
@@ -144,7 +145,7 @@ def narrow_float(cube: GridCube) -> GridCube:
     types = dict(cube.cells.dtypes)
     cols = [F.col(c).cast("float").alias(c) if c in cube.data_vars and types[c] == "double"
             else F.col(c) for c in cube.cells.columns]
-    return cube.replace(cells=cube.cells.select(*cols))
+    return cube.with_values(cube.cells.select(*cols))
 
 
 def drop_non_std(cube: GridCube, standard_attrs: Mapping[str, Mapping[str, str]],
@@ -167,7 +168,7 @@ def drop_non_std(cube: GridCube, standard_attrs: Mapping[str, Mapping[str, str]]
             from gridcube.operators.harmonize import axis_position
             out = axis_position(out, d)
             out = out.replace(bare_dims=out.bare_dims | {d})
-    return out.replace(
+    return out.with_values(
         cells=out.cells.select(*out.dims, *keep_vars),
         data_vars=keep_vars,
         coords={k: c for k, c in out.coords.items() if k in standard_attrs},

@@ -35,15 +35,52 @@ def _restrict(cube: GridCube, dim: str, labels_df: DataFrame, n_kept: int) -> Da
     return cube.cells.join(F.broadcast(small) if fits else small, dim, "left_semi")
 
 
+def _between(axis_labels: tuple, kept: tuple) -> bool:
+    """Whether a label range keeps just ``kept``, a run of the axis."""
+    pairs = list(zip(axis_labels, axis_labels[1:]))
+    return len(kept) > 1 and (all(a < b for a, b in pairs) or all(a > b for a, b in pairs))
+
+
+def _indexed(cube: GridCube, dim: str, sel) -> tuple[DataFrame, tuple]:
+    """Cells and labels that ``sel`` keeps, from the index alone."""
+    labels = cube.index[dim]
+    kept = tuple(labels[i] for i in _positions(len(labels), sel))
+    if isinstance(sel, slice) and (sel.step or 1) == 1 and _between(labels, kept):
+        lo, hi = sorted((kept[0], kept[-1]))
+        return cube.cells.filter(F.col(dim).between(lo, hi)), kept
+    if len(kept) <= MAX_IN_LIST:
+        return cube.cells.filter(F.col(dim).isin(list(kept))), kept
+    few = cube.replace(index={dim: kept}).axis(dim).select(dim)
+    small, fits = bounded(few, MAX_BROADCAST_ROWS)
+    return cube.cells.join(F.broadcast(small) if fits else small, dim, "left_semi"), kept
+
+
+def _without(cube: GridCube, cells: DataFrame, dim: str, label, index) -> GridCube:
+    """``dim`` becomes a scalar coordinate."""
+    return cube.replace(cells=cells.drop(dim), dims=tuple(d for d in cube.dims if d != dim), index=index,
+                        coords={**cube.coords, dim: Coord((), expr=F.lit(label))},
+                        descending=cube.descending - {dim})
+
+
 def isel(cube: GridCube, **indexers) -> GridCube:
     """Select by position: an int (the dim becomes a scalar coordinate), a
     slice (``start:stop:step``, negative steps reverse the stored order) or
-    a list of positions."""
+    a list of positions. Dimensions of the index start no job, and keep the
+    labels that they were selected by; the index of the others stays."""
     out = cube
     # positions refer to the axes of the cube as given (all indexers apply
     # at once, not one after another): one pass collects them all
-    axes = cube.axes(list(indexers))
+    scanned = [d for d in indexers if d not in cube.index]
+    axes = cube.axes(scanned) if scanned else {}
     for dim, sel in indexers.items():
+        turned = out.descending ^ {dim} if isinstance(sel, slice) and (sel.step or 1) < 0 else out.descending
+        if dim in cube.index:
+            cells, labels = _indexed(out, dim, sel)
+            if isinstance(sel, int):
+                out = _without(out, cells, dim, labels[0], {d: v for d, v in out.index.items() if d != dim})
+            else:
+                out = out.replace(cells=cells, descending=turned, index={**out.index, dim: labels})
+            continue
         axis = axes[dim]
         n = axis.count()
         pos = _positions(n, sel)
@@ -56,43 +93,63 @@ def isel(cube: GridCube, **indexers) -> GridCube:
             kept = axis.filter(F.col("pos").isin(pos))
             cells = _restrict(out, dim, kept, len(pos))
         if isinstance(sel, int):
-            label = kept.select(dim).first()[0]
-            coords = dict(out.coords)
-            coords[dim] = Coord((), expr=F.lit(label))
-            out = out.replace(cells=cells.drop(dim), dims=tuple(d for d in out.dims if d != dim),
-                              coords=coords)
+            out = _without(out, cells, dim, kept.select(dim).first()[0], out.index)
         else:
-            desc = out.descending
-            if isinstance(sel, slice) and (sel.step or 1) < 0:
-                desc = desc ^ {dim}
-            out = out.replace(cells=cells, descending=desc)
+            out = out.replace(cells=cells, descending=turned, index=out.index)
     return out
 
 
+def _known(cube: GridCube, dim: str, wanted: list) -> list:
+    """``wanted`` as labels of ``dim``; an unknown one is a KeyError. Looked up
+    in the index, or in a filtered pass over the cells."""
+    kind = dict(cube.cells.dtypes)[dim]
+    typed = cube.spark.range(1).select(F.array(*[F.lit(v).cast(kind) for v in wanted]).alias("v")).first()["v"] if wanted else []
+    if dim in cube.index:
+        there = set(cube.index[dim])
+    else:
+        there = {r[0] for r in cube.cells.filter(F.col(dim).isin(typed)).select(dim).distinct().collect()} if wanted else set()
+    missing = [w for w, v in zip(wanted, typed) if v not in there]
+    if missing:
+        raise KeyError(f"{missing[0]!r} not found in {dim}" if len(missing) == 1 else f"{missing} not found in {dim}")
+    return typed
+
+
 def sel(cube: GridCube, check: bool = True, **indexers) -> GridCube:
-    """Select by label: exact value (unknown label is a KeyError when
-    ``check``), list of values, or inclusive ``slice(lo, hi)``."""
-    cells = cube.cells
+    """Select by label: exact value, list of values (with ``check``, a label
+    that the dimension lacks is a KeyError) or inclusive ``slice(lo, hi)``.
+    An exact value keeps the dimension, with one label. Dimensions of the
+    index are checked without reading cells, and keep the stored order."""
+    cells, index = cube.cells, dict(cube.index)
     for dim, v in indexers.items():
         c = F.col(dim)
+        kind = dict(cube.cells.dtypes)[dim]
         if isinstance(v, slice):
-            if v.start is not None:
-                cells = cells.filter(c >= F.lit(v.start).cast(dict(cube.cells.dtypes)[dim]))
-            if v.stop is not None:
-                cells = cells.filter(c <= F.lit(v.stop).cast(dict(cube.cells.dtypes)[dim]))
-        elif isinstance(v, (list, tuple, set, frozenset)):
-            cells = cells.filter(c.isin(list(v)))
-        else:
-            if check and cube.cells.filter(c == F.lit(v)).limit(1).count() == 0:
-                raise KeyError(f"{v!r} not found in {dim}")
-            cells = cells.filter(c == F.lit(v))
-    return cube.replace(cells=cells)
+            ends = [None if e is None else cube.spark.range(1).select(F.lit(e).cast(kind)).first()[0] for e in (v.start, v.stop)]
+            if ends[0] is not None:
+                cells = cells.filter(c >= F.lit(ends[0]).cast(kind))
+            if ends[1] is not None:
+                cells = cells.filter(c <= F.lit(ends[1]).cast(kind))
+            if dim in index:
+                index[dim] = tuple(x for x in index[dim] if (ends[0] is None or x >= ends[0]) and (ends[1] is None or x <= ends[1]))
+            continue
+        many = isinstance(v, (list, tuple, set, frozenset))
+        wanted = list(v) if many else [v]
+        found = _known(cube, dim, wanted) if check else wanted
+        cells = cells.filter(c.isin(found) if many else c == F.lit(found[0]))
+        if dim in index:
+            index[dim] = tuple(x for x in index[dim] if x in set(found))
+    return cube.replace(cells=cells, index=index)
 
 
 def probe_first(cube: GridCube) -> DataFrame:
     """The element at position 0 of every axis of the first data variable
     (read before serving so broken sources fail early)."""
     var = cube.data_vars[0]
+    if all(cube.index.get(d) for d in cube.dims):  # a point filter: no pass to find the first labels
+        cells = cube.cells
+        for d in cube.dims:
+            cells = cells.filter(F.col(d) == F.lit(cube.index[d][0]))
+        return cells.select(*cube.dims, var).limit(1)
     firsts = cube.cells.agg(*[(F.max(d) if d in cube.descending else F.min(d)).alias(d)
                               for d in cube.dims]).first()
     cond = None

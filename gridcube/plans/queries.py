@@ -733,7 +733,7 @@ def q_read_cube(spark, sf_dir):
     "SELECT S, M, L, Y, X, CAST(tas AS FLOAT) AS tas, CAST(prate AS FLOAT) AS prate FROM cube"))
 def q_write_cube(spark, sf_dir):
     root = shared_dir(spark, "stores", "write_cube")
-    ST.write_cube(FX.standard_cube(spark, sf_dir), root, mode="overwrite", layout="packed")
+    ST.write_cube(SC.narrow_float(FX.standard_cube(spark, sf_dir)), root, mode="overwrite", layout="packed")
     return ST.read_cube(spark, root).cells
 
 

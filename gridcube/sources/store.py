@@ -12,9 +12,12 @@ Layout of a store at ``root``:
   idempotent, and the stored time axis is the set of partition values;
 * ``root/meta/`` — one JSON text row with dims, data vars, attrs, encodings
   and axis directions (written through Spark, so any Hadoop file system works);
+* ``root/index/`` — the labels of every dimension in stored order (see
+  ``sources.index``): opening, slicing and describing a cube reads no cell;
+* ``root/coords/<name>/`` — auxiliary coordinates as small tables;
 * ``root/chunks/`` (packed layout only) — one row per (S, M, P, L) holding each
-  variable's Y x X grid as a float array in coordinate order, plus the Y and
-  X axis tables under ``root/axes/``.
+  variable's Y x X grid as an array in stored order, and in ``_present`` which
+  grid points have a cell, so that a missing value and an absent cell differ.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcube.model import Axes, Coord, GridCube
-from gridcube.plans.strategy import join_small
+from gridcube.plans.strategy import join_small, localize, mark_small
+from gridcube.sources.index import INDEX, AxisMismatch, dict_types, extended, labels_of, load_index, save_index
 
 # Files hold at most this many rows (about 64 MB of float cells with their coords).
 MAX_RECORDS_PER_FILE = 8_000_000
+# Column of a packed chunk: whether a grid point has a cell.
+PRESENT = "_present"
 
 
 class StoreError(Exception):
@@ -61,6 +67,7 @@ def _meta(cube: GridCube, layout: str, grid: tuple[str, str] | None = None,
         "descending": sorted(cube.descending), "bare_dims": sorted(cube.bare_dims),
         "layout": layout, "grid": list(grid) if grid else None,
         "time_dim": _time_dim(cube),
+        "grid_types": {d: k for d, k in cube.cells.dtypes if grid and d in grid},
     }, sort_keys=True)
 
 
@@ -109,7 +116,7 @@ def _partitions(df: DataFrame, t: str) -> list[str]:
 
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
                grid: tuple[str, str] = (Axes.Y, Axes.X), fixed_axes: dict | None = None,
-               extra_meta: dict | None = None) -> None:
+               extra_meta: dict | None = None, conform: bool = False) -> None:
     """Write ``cube`` to ``root``.
 
     ``mode``: ``errorifexists`` / ``overwrite`` (replace the whole store) /
@@ -118,11 +125,41 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
     the file set) so later loads check new files without scanning cells.
     One rebalance exchange clusters rows by start (skew-split by AQE); rows
     are then sorted by the dims inside each task before the partitioned write.
+
+    The labels of all dimensions are kept in stored order: those of the cube's
+    index as they are, others ascending (or descending, as the cube says). An
+    appended start comes after the stored ones. A label that another stored
+    axis lacks is an error with ``conform`` and for the grid of a packed store
+    (chunks are laid out by the stored axes); else it comes after the stored
+    ones. Auxiliary coordinates over dimensions are written as small tables.
     """
     spark = cube.spark
     t = _time_dim(cube)
     existed = store_exists(spark, root)
+    appends = mode == "append" and existed
     writer_mode = "overwrite" if mode == "append" else mode
+    if existed and mode == "errorifexists":
+        raise StoreError(f"there is a store at {root} already")
+
+    before = read_meta(spark, root) if appends else None
+    if appends and before["layout"] != layout:
+        if before["layout"] == "packed":
+            layout, grid = "packed", tuple(before["grid"])
+        else:
+            raise StoreError(f"the store at {root} has the layout {before['layout']!r}, not {layout!r}")
+    types = {d: k for d, k in cube.cells.dtypes if d in cube.dims}
+    stored = stored_index(spark, root, before) if appends else None
+    index = dict(cube.index)
+    if appends or layout == "packed" or not existed:
+        scanned = [d for d in cube.dims if d not in index]
+        for d, labels in (labels_of(cube.cells, scanned) if scanned and (appends or layout == "packed") else {}).items():
+            index[d] = labels[::-1] if d in cube.descending else labels
+    if appends:
+        index = extended(stored, index, t, conform)
+        if layout == "packed":
+            for d in grid:
+                if index.get(d) != stored.get(d):
+                    raise AxisMismatch(f"a packed store keeps its {d} axis; the appended cube has other labels")
 
     schemas = {}
 
@@ -141,19 +178,65 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
             w = w.partitionBy(*parts)
         w.parquet(f"{root}/{sub}")
 
+    remove_path(spark, f"{root}/{INDEX}")  # until the cells are whole again
     if layout == "cells":
         write(cube.cells, "cells", list(cube.dims))
+        if not appends:  # from the written files: their dims are a few bytes a row, and nothing is computed twice
+            scanned = [d for d in cube.dims if d not in index]
+            written = spark.read.schema(cube.cells.schema).parquet(f"{root}/cells")
+            for d, labels in (labels_of(written, scanned) if scanned else {}).items():
+                index[d] = labels[::-1] if d in cube.descending else labels
     elif layout == "packed":
-        chunks, axes = pack_chunks(cube, grid)
-        if not (mode == "append" and existed):
-            for d, ax in axes.items():
-                ax.coalesce(1).write.mode(writer_mode).parquet(f"{root}/axes/{d}")
-        write(chunks, "chunks", [c for c in cube.dims if c not in grid])
+        write(pack_chunks(cube.replace(index=index), grid), "chunks", [c for c in cube.dims if c not in grid])
     else:
         raise ValueError(f"unknown layout {layout!r}")
-    if mode != "append" or not existed:
+    tables = _write_coords(cube, root, before, types)
+    if not appends:
+        extra = dict(extra_meta or {})
+        extra["table_coords"] = {**extra.get("table_coords", {}), **{n: list(d) for n, (d, _) in tables.items()}}
+        extra["coord_extra"] = {n: list(more) for n, (_, more) in tables.items() if more}
         _write_meta(spark, root, _meta(cube, layout, grid if layout == "packed" else None, fixed_axes,
-                                       schemas, extra_meta))
+                                       schemas, extra))
+    save_index(spark, root, index, types)
+
+
+def _write_coords(cube: GridCube, root: str, before: dict | None, types: dict) -> dict[str, tuple]:
+    """Write auxiliary coordinates as tables; (dims, extra columns) of each. On
+    an append, rows of the keys that come again replace the stored ones, and
+    coordinates that the store does not have are left out, as variables are."""
+    out = {}
+    for name, c in cube.coords.items():
+        if not c.dims or not set(c.dims) <= set(types):
+            continue
+        path, keys = f"{root}/coords/{name}", list(c.dims)
+        table = cube.coord_frame(name)
+        if before is not None:
+            if name not in before.get("table_coords", {}):
+                continue
+            old = localize(cube.spark.read.parquet(path))
+            table = localize(table).unionByName(old.join(table.select(*keys), keys, "left_anti"))
+            table = localize(table)
+        table.coalesce(1).write.mode("overwrite").parquet(path)
+        out[name] = (c.dims, c.extra)
+    return out
+
+
+def stored_index(spark: SparkSession, root: str, meta: dict) -> dict[str, tuple]:
+    """The labels of a store's dimensions in stored order, from its index; only
+    where there is none (an older store, a load that broke off) from a pass
+    over the cells, in ascending order but for descending dimensions."""
+    sub = "chunks" if meta["layout"] == "packed" else "cells"
+    stored = _read(spark, root, meta, sub)
+    kinds = json.loads(meta["schemas"][sub])["fields"] if meta.get("schemas", {}).get(sub) else []
+    types = {d: k for d, k in stored.dtypes if d in meta["dims"]} | meta.get("grid_types", {})
+    found = load_index(spark, root, types) if kinds else None
+    if found is None:
+        scanned = labels_of(stored, [d for d in meta["dims"] if d in stored.columns])
+        found = {d: v[::-1] if d in meta["descending"] else v for d, v in scanned.items()}
+        for d in meta["grid"] or []:  # an older packed store
+            axis = spark.read.parquet(f"{root}/axes/{d}").orderBy("pos")
+            found[d] = tuple(r[d] for r in axis.collect())
+    return found
 
 
 def _read(spark: SparkSession, root: str, meta: dict, sub: str) -> DataFrame:
@@ -208,10 +291,10 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
     drop = set(drop_variables)
     data_vars = tuple(v for v in meta["data_vars"] if v not in drop)
     dims = tuple(meta["dims"])
+    index = stored_index(spark, root, meta)
     if meta["layout"] == "packed":
-        cube = GridCube(cells=_read(spark, root, meta, "chunks"), dims=dims, data_vars=data_vars)
-        axes = {d: spark.read.parquet(f"{root}/axes/{d}") for d in meta["grid"]}
-        cells = unpack_chunks(cube.cells, dims, data_vars, tuple(meta["grid"]), axes)
+        cells = unpack_chunks(_read(spark, root, meta, "chunks"), dims, data_vars, tuple(meta["grid"]), index,
+                              meta.get("grid_types", {}))
         coords = {}
     else:
         raw = _read(spark, root, meta, "cells")
@@ -219,13 +302,15 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
         # coordinates stored with the cells / in their own small tables
         coords = {n: Coord(tuple(d), table=raw.select(*d, n))
                   for n, d in meta.get("cell_coords", {}).items() if n not in drop}
-    coords.update({n: Coord(tuple(d), table=spark.read.parquet(f"{root}/coords/{n}"))
+    more = meta.get("coord_extra", {})
+    coords.update({n: Coord(tuple(d), table=spark.read.parquet(f"{root}/coords/{n}"), extra=tuple(more.get(n, ())))
                    for n, d in meta.get("table_coords", {}).items() if n not in drop})
     cube = GridCube(
         cells=cells, dims=dims, data_vars=data_vars, coords=coords,
         attrs={k: v for k, v in meta["attrs"].items() if k not in drop},
         ds_attrs=meta["ds_attrs"], encodings=meta["encodings"],
         descending=frozenset(meta["descending"]), bare_dims=frozenset(meta["bare_dims"]),
+        index=index,
     )
     if decode_cf:
         from gridcube.functions.cf import mask_and_scale
@@ -236,7 +321,7 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
             attrs = {k: {a: b for a, b in v.items() if a not in ("_FillValue", "missing_value",
                                                                   "scale_factor", "add_offset")}
                      if k in packed else v for k, v in cube.attrs.items()}
-            cube = cube.replace(cells=cube.cells.withColumns(packed), attrs=attrs)
+            cube = cube.with_values(cube.cells.withColumns(packed), attrs=attrs)
     if not decode_times:
         from gridcube.functions.calendar import encode_time, parse_units
         cols = {}
@@ -247,45 +332,56 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
     return cube
 
 
-def pack_chunks(cube: GridCube, grid: tuple[str, str] = (Axes.Y, Axes.X)):
+def pack_chunks(cube: GridCube, grid: tuple[str, str] = (Axes.Y, Axes.X)) -> DataFrame:
     """Cells -> one row per non-grid key with each variable's grid as an array
-    (NULL where a point is absent). A chunk is bounded by the grid size."""
+    laid out by the cube's axes, and ``_present``: true where a cell is. A
+    chunk is bounded by the grid. The cells of a chunk are put in order and the
+    gaps between them filled, so the work grows with the grid, not its square.
+    A label that an indexed axis lacks is an error when the chunk is written."""
     gy, gx = grid
-    ay = cube.axis(gy).withColumnRenamed("pos", "_py")
-    ax = cube.axis(gx).withColumnRenamed("pos", "_px")
-    nx = ax.count()
-    ny = ay.count()
+    axes = cube.axes([gy, gx])
+    ny, nx = (axes[d].count() for d in grid)
     keys = [d for d in cube.dims if d not in grid]
-    c = join_small(join_small(cube.cells, ay, gy), ax, gx)
-    c = c.withColumn("_i", F.col("_py") * F.lit(nx) + F.col("_px"))
-    aggs = [F.map_from_entries(F.collect_list(F.struct("_i", F.col(v).cast("float")))).alias(f"_m_{v}")
-            for v in cube.data_vars]
-    g = c.groupBy(*keys).agg(*aggs)
-    idx = F.sequence(F.lit(0), F.lit(ny * nx - 1))
-    def dense(v: str):
-        m = F.col(f"_m_{v}")
-        return F.transform(idx, lambda i: F.element_at(m, i)).alias(v)
-
-    packed = g.select(*keys, *[dense(v) for v in cube.data_vars])
-    return packed, {gy: ay.withColumnRenamed("_py", "pos"), gx: ax.withColumnRenamed("_px", "pos")}
-
-
-def unpack_chunks(chunks: DataFrame, dims, data_vars, grid, axes) -> DataFrame:
-    """Inverse of ``pack_chunks``: explode arrays back into cells (grid points
-    where every variable is NULL were never written and are dropped)."""
+    c = cube.cells
+    for d, name in ((gy, "_py"), (gx, "_px")):
+        c = join_small(c, axes[d].select(d, F.col("pos").alias(name)), d, "left")
+        lost = F.raise_error(F.concat(F.lit(f"not on the {d} axis: "), F.coalesce(F.col(d).cast("string"), F.lit("null"))))
+        c = c.withColumn(name, F.coalesce(F.col(name), lost.cast("int")))
+    cell = F.struct((F.col("_py") * F.lit(nx) + F.col("_px")).alias("i"), *[F.col(v) for v in cube.data_vars])
+    g = c.groupBy(*keys).agg(F.collect_list(cell).alias("_cells"))
+    g = g.select(*keys, F.array_sort("_cells", lambda a, b: a["i"] - b["i"]).alias("_cells"))
+
+    def dense(value, empty):
+        """The values of the cells with ``empty`` before, between and behind."""
+        def gap(of, upto):
+            return F.array_repeat(empty, upto - of - 1)
+        cells = F.col("_cells")
+        runs = F.transform(cells, lambda e, k: F.concat(
+            F.array(value(e)), gap(e["i"], F.coalesce(F.get(cells, k + 1)["i"], F.lit(ny * nx)))))
+        return F.flatten(F.concat(F.array(gap(F.lit(-1), F.get(cells, F.lit(0))["i"])), runs))
+
+    types = dict(cube.cells.dtypes)
+    return g.select(*keys, *[dense(lambda e, v=v: e[v], F.lit(None).cast(types[v])).alias(v) for v in cube.data_vars],
+                    dense(lambda e: F.lit(True), F.lit(False)).alias(PRESENT))
+
+
+def unpack_chunks(chunks: DataFrame, dims, data_vars, grid, index, types) -> DataFrame:
+    """Inverse of ``pack_chunks``: one row per grid point that has a cell, also
+    where all its variables are missing or dropped. In stores without
+    ``_present``, points where every variable is NULL count as absent."""
     gy, gx = grid
     keys = [d for d in dims if d not in grid]
-    nx = axes[gx].count()
-    zipped = F.arrays_zip(*[F.col(v) for v in data_vars])
-    ex = chunks.select(*keys, F.posexplode(zipped).alias("_i", "_v"))
-    ex = ex.select(*keys, (F.col("_i") / F.lit(nx)).cast("int").alias("_py"),
-                   (F.col("_i") % F.lit(nx)).cast("int").alias("_px"),
-                   *[F.col(f"_v.{v}").alias(v) for v in data_vars])
-    present = None
-    for v in data_vars:
-        e = F.col(v).isNotNull()
-        present = e if present is None else present | e
-    ex = ex.filter(present)
-    ex = join_small(ex, axes[gy].withColumnRenamed("pos", "_py"), "_py")
-    ex = join_small(ex, axes[gx].withColumnRenamed("pos", "_px"), "_px")
+    nx = len(index[gx])
+    marked = PRESENT in chunks.columns
+    columns = [*data_vars, *([PRESENT] if marked else [])]
+    ex = chunks.select(*keys, F.posexplode(F.arrays_zip(*[F.col(v) for v in columns])).alias("_i", "_v"))
+    there = F.col(f"_v.{PRESENT}") if marked else F.coalesce(*[F.col(f"_v.{v}").isNotNull() for v in data_vars]) \
+        if len(data_vars) == 1 else F.greatest(*[F.col(f"_v.{v}").isNotNull() for v in data_vars])
+    ex = ex.filter(there).select(*keys, F.floor(F.col("_i") / F.lit(nx)).cast("int").alias("_py"),
+                                 (F.col("_i") % F.lit(nx)).cast("int").alias("_px"),
+                                 *[F.col(f"_v.{v}").alias(v) for v in data_vars])
+    for d, name in ((gy, "_py"), (gx, "_px")):
+        rows = [(v, i) for i, v in enumerate(index[d])]
+        kind = types.get(d) or chunks.sparkSession.createDataFrame(rows[:1], [d, name]).dtypes[0][1]
+        ex = join_small(ex, mark_small(chunks.sparkSession.createDataFrame(rows, f"{d} {kind}, {name} int")), name)
     return ex.select(*dims, *data_vars)
