@@ -764,13 +764,15 @@ def q_describe_cube(spark, sf_dir):
 # ------------------------------------------------------------------ ingest and streaming (ops 36, 39, 40, 49, 50, 64, 65)
 
 _GRID = ("step", "latitude", "longitude")
+# every label that files may have; single files hold few of them
+_GRID_LABELS = {"step": range(7), "latitude": [90.0 - 45 * k for k in range(5)], "longitude": [90.0 * k for k in range(4)]}
 
 
 def _run_update(spark, sf_dir, store, var, limit=None, first=None):
     d = FX.descriptor(name=var)
     return SI.update(spark, d, store, FX.listing(spark, sf_dir).drop("o_orderkey"),
                      FX.decode_fixture_files(spark, sf_dir), data_vars=[var], grid_dims=_GRID,
-                     limit=limit, first=first, attrs={var: FX.RAW_ATTRS[var]}, ds_attrs=FX.RAW_DS_ATTRS)
+                     limit=limit, first=first, attrs={var: FX.RAW_ATTRS[var]}, ds_attrs=FX.RAW_DS_ATTRS, grid=_GRID_LABELS)
 
 
 @query("ingest_update", with_views("""
@@ -844,7 +846,7 @@ def q_ingest_file_stream(spark, sf_dir):
     schema = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("latitude", T.DoubleType()),
                            T.StructField("longitude", T.DoubleType()), T.StructField("tas", T.DoubleType())])
     q = SI.ingest_file_stream(spark, desc, DC.parquet_decoder([f.name for f in schema.fields]), schema,
-                              f"{base}/store", f"{base}/checkpoint", _GRID, ["tas"])
+                              f"{base}/store", f"{base}/checkpoint", _GRID, ["tas"], grid=_GRID_LABELS)
     q.awaitTermination()
     return ST.read_cube(spark, f"{base}/store").cells
 

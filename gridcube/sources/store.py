@@ -116,7 +116,7 @@ def _partitions(df: DataFrame, t: str) -> list[str]:
 
 def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: str = "cells",
                grid: tuple[str, str] = (Axes.Y, Axes.X), fixed_axes: dict | None = None,
-               extra_meta: dict | None = None, conform: bool = False) -> None:
+               extra_meta: dict | None = None, conform=()) -> None:
     """Write ``cube`` to ``root``.
 
     ``mode``: ``errorifexists`` / ``overwrite`` (replace the whole store) /
@@ -128,10 +128,10 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
 
     The labels of all dimensions are kept in stored order: those of the cube's
     index as they are, others ascending (or descending, as the cube says). An
-    appended start comes after the stored ones. A label that another stored
-    axis lacks is an error with ``conform`` and for the grid of a packed store
-    (chunks are laid out by the stored axes); else it comes after the stored
-    ones. Auxiliary coordinates over dimensions are written as small tables.
+    appended start comes after the stored ones. On the dimensions ``conform``,
+    and on the grid of a packed store (chunks are laid out by the stored axes),
+    a label that the stored or declared axis lacks is an error before anything
+    is written; elsewhere it comes after the stored ones. Auxiliary coordinates over dimensions are written as small tables.
     """
     spark = cube.spark
     t = _time_dim(cube)
@@ -154,8 +154,11 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
         scanned = [d for d in cube.dims if d not in index]
         for d, labels in (labels_of(cube.cells, scanned) if scanned and (appends or layout == "packed") else {}).items():
             index[d] = labels[::-1] if d in cube.descending else labels
+    declared = [d for d in conform if d in cube.index]
+    if declared:
+        extended(cube.index, labels_of(cube.cells, declared), conform)
     if appends:
-        index = extended(stored, index, t, conform)
+        index = extended(stored, index, conform)
         if layout == "packed":
             for d in grid:
                 if index.get(d) != stored.get(d):

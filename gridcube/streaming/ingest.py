@@ -25,8 +25,9 @@ from gridcube.operators.quality import error_rate_gate
 from gridcube.sources import listing as LS
 from gridcube.sources.decode import file_errors
 from gridcube.sources.ingest import FILE_DIM_NAMES, IngestError, assign_file_dims, promote_time_dim
-from gridcube.plans.strategy import join_small, localize, mark_small
+from gridcube.plans.strategy import join_small, keep_small, localize, mark_small
 from gridcube.sources.store import read_cells, read_meta, remove_path, store_exists, stored_times, write_cube
+from gridcube.streaming.ledger import failed_files, read_ledger, record, superseded
 
 TIME = Axes.INGEST_TIME
 
@@ -52,7 +53,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
            decode: Decode, data_vars: Iterable[str] | None, grid_dims: Iterable[str],
            limit: int | None = None, first=None, attrs: Mapping | None = None,
            ds_attrs: Mapping | None = None, narrow: bool = True, refill: bool = False,
-           eager_gate: bool = False) -> bool:
+           eager_gate: bool = False, grid: Mapping[str, Iterable] | None = None) -> bool:
     """Bring the store up to date; returns whether it changed.
 
     The descriptor's options shape each decoded file as the reference's file
@@ -66,11 +67,18 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     lacks data from one of its listed files (the whole start is rewritten,
     replacing its partition). ``eager_gate`` checks the failure rate after
     every load in submission order (start, member, level, lead) instead of
-    once for the batch."""
+    once for the batch.
+
+    The grid of the store is ``grid`` (labels per dimension in stored order),
+    or for dimensions that it does not name the labels of the first slice.
+    A slice with another label is an error, and nothing of it is written.
+    What became of every file is kept in the store's ledger
+    (``streaming.ledger``), error texts included."""
     # one row per file coordinate; every later decision (axes, starts, the
     # files to load) derives from this table, so the listing is parsed once
     # (and held driver-local when it is coordinate-sized)
-    files = localize(LS.dedupe_paths(LS.parse_paths(listing, descriptor)))
+    versions = localize(LS.newest_files(LS.parse_paths(listing, descriptor)))
+    files = keep_small(versions, versions.drop("version"))
     axes = LS.coord_index(files)
     file_axes = _file_axes(axes)
     dims = (TIME, *file_axes, *grid_dims)
@@ -81,6 +89,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
     data_vars = tuple(data_vars)
     initialized = False
     stagings: list[str] = []  # removed once their cells are published
+    runs: list[tuple] = []  # what the ledger says of them then
     # coordinates that vary per start are kept with the cells as <c>_expanded;
     # aux coordinates do not vary with the start and are stored once
     expanded = {c: f"{c}_expanded" for c in descriptor.expand_coords}
@@ -96,6 +105,10 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         stagings.append(staging)
         decoded = spark.read.parquet(staging)
         outcomes = file_errors(decoded)
+        known = join_small(versions, files_now.select("path"), "path", "left_semi").join(outcomes, "path", "left")
+        status = F.when(F.col("error").isNull(), "loaded").otherwise("failed")
+        runs.append((f"update-{uuid.uuid4().hex}", known, status))
+        record(store, runs[-1][0], known.where("error IS NOT NULL"), F.lit("failed"), F.col("error"))
         if eager_gate:
             outcomes = outcomes.join(files_now.select("path", "t", "m", "p", "l"), "path")
             good = error_rate_gate(outcomes, order=["t", "m", "p", "l"])
@@ -141,8 +154,10 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
                         descending=frozenset(n for n in file_axes if n == "P"))
         cube = densify(cube, template, file_axes)
         fixed = {d: [r[0] for r in ax.orderBy("pos").collect()] for d, ax in file_axes.items()}
-        write_cube(cube, store, mode="overwrite", fixed_axes=fixed, extra_meta=extra_meta)
-        _drop_stagings(spark, stagings)
+        declared = {d: labels for d, labels in (grid or {}).items() if d in grid_dims}
+        write_cube(cube.with_index(**declared), store, mode="overwrite", fixed_axes=fixed, extra_meta=extra_meta,
+                   conform=tuple(declared))
+        _publish(spark, store, stagings, runs)
         initialized = True
         if limit is not None:
             limit -= 1
@@ -154,7 +169,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         initialized = initialized or refilled
     bounds = todo.agg(F.min("t").alias("lo")).first()
     if bounds["lo"] is None:
-        _drop_stagings(spark, stagings)
+        _publish(spark, store, stagings, runs)
         return initialized
     last_old = stored.agg(F.max(TIME)).first()[0]
     if last_old is not None and bounds["lo"] < last_old:
@@ -171,14 +186,17 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
                       for d in file_axes}
         raise_on_region_errors(check_region(labels, store_axes))
     cells = load(chosen).drop(*aux)
-    write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append")
-    _drop_stagings(spark, stagings)
+    write_cube(GridCube(cells=cells, dims=dims, data_vars=data_vars), store, mode="append", conform=tuple(grid_dims))
+    _publish(spark, store, stagings, runs)
     return True
 
 
-def _drop_stagings(spark: SparkSession, stagings: list[str]) -> None:
-    """Staging tables are scratch once their cells are published; a failed
-    run leaves its staging table for inspection."""
+def _publish(spark: SparkSession, store: str, stagings: list[str], runs: list[tuple]) -> None:
+    """Once cells are in the store, the ledger says so and their staging
+    tables are scratch; a failed run leaves its staging table for inspection."""
+    while runs:
+        batch, known, status = runs.pop()
+        record(store, batch, known, status, F.col("error"))
     while stagings:
         remove_path(spark, stagings.pop())
 
@@ -228,19 +246,30 @@ def _split_known(batch: DataFrame, stored: DataFrame, time_col: str) -> tuple[Da
 
 
 def _merge_into(spark: SparkSession, store: str, cells: DataFrame, dims: tuple, data_vars: tuple,
-                time_col: str, staging: str, attrs: Mapping | None = None) -> None:
-    """Append ``cells``; where the store has a start already, its other cells
-    stay. A cell replaces the one with the same dims, so replaying a batch
-    changes nothing and members that come in later batches are added."""
+                time_col: str, staging: str, attrs: Mapping | None = None, replaced: tuple | None = None,
+                grid: Mapping[str, Iterable] | None = None, fixed: tuple = ()) -> None:
+    """Append ``cells``, one row per dims; where the store has a start already,
+    its other cells stay. What is new replaces the stored cells with the same
+    ``replaced`` dims (all dims by default; those of a file, where a whole file
+    is replaced), so replaying a batch changes nothing and members that come
+    in later batches are added. Starts that are new are not merged at all."""
     cells.write.mode("overwrite").parquet(staging)
     new = spark.read.schema(cells.schema).parquet(staging)
     merged = f"{staging}-merged"
+    cube = GridCube(cells=new, dims=dims, data_vars=data_vars, attrs=dict(attrs or {}))
+    declared = {d: labels for d, labels in (grid or {}).items() if d in dims}
     if store_exists(spark, store):
-        starts = new.select(time_col).distinct()
-        old = join_small(read_cells(spark, store).select(*dims, *data_vars), starts, time_col, "left_semi")
-        new.unionByName(old.join(new.select(*dims), list(dims), "left_anti")).write.mode("overwrite").parquet(merged)
-        new = spark.read.schema(cells.schema).parquet(merged)
-    write_cube(GridCube(cells=new, dims=dims, data_vars=data_vars, attrs=dict(attrs or {})), store, mode="append")
+        keys = list(replaced or dims)
+        starts = join_small(localize(stored_times(spark, store)), localize(new.select(time_col).distinct()), time_col, "left_semi")
+        starts = localize(starts)
+        if starts.limit(1).count():
+            old = join_small(read_cells(spark, store).select(*dims, *data_vars), starts, time_col, "left_semi")
+            stay = old.join(new.select(*keys).distinct(), keys, "left_anti")
+            new.unionByName(stay).write.mode("overwrite").parquet(merged)
+            cube = cube.replace(cells=spark.read.schema(cells.schema).parquet(merged))
+        write_cube(cube, store, mode="append", conform=fixed)
+    else:
+        write_cube(cube.with_index(**declared), store, mode="append", conform=tuple(declared))
     remove_path(spark, merged)
     remove_path(spark, staging)
 
@@ -258,20 +287,29 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
                   checkpoint: str, dims: Iterable[str], data_vars: Iterable[str],
                   time_col: str = TIME, on_late: str = "raise", late_dir: str | None = None,
                   attrs: Mapping | None = None, max_files_per_trigger: int | None = None,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, grid_dims: Iterable[str] | None = None,
+                  grid: Mapping[str, Iterable] | None = None) -> StreamingQuery:
     """Stream Parquet slices from ``source_dir`` into the store at ``store``.
 
     ``on_late``: ``raise`` fails the batch on a start earlier than the newest
-    stored one; ``divert`` writes such rows to ``late_dir`` instead.
+    stored one; ``divert`` writes such rows to ``late_dir`` instead, each batch
+    to a folder of its own, so a replay writes them once. Of cells with the
+    same dims in one batch, the one of the newest file stays (then of the one
+    with the greatest path). A label that the grid of the store lacks fails
+    the batch; the grid is that of ``grid_dims`` (Y and X by default), with the
+    labels of ``grid`` or else of the first batch.
     """
     dims, data_vars = tuple(dims), tuple(data_vars)
+    fixed = tuple(d for d in dims if d in ((Axes.Y, Axes.X) if grid_dims is None else tuple(grid_dims)))
     reader = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_dir)
+    stream = reader.load(source_dir).select(*dims, *data_vars, F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path").alias("_version"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.select(*dims, *data_vars)
+        best = F.max(F.struct("_version", *data_vars)).alias("_best")
+        batch = batch.groupBy(*dims).agg(best).select(*dims, *[f"_best.{v}" for v in data_vars])
         if store_exists(spark, store):
             stored = localize(stored_times(spark, store))
             stored_max = stored.agg(F.max(time_col)).first()[0]
@@ -283,81 +321,123 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
         if stored_max is not None and late.limit(1).count() > 0:
             if on_late == "raise":
                 raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
-            late.drop("status").write.mode("append").parquet(late_dir or f"{store}/late")
+            late.drop("status").write.mode("overwrite").parquet(f"{late_dir or f'{store}_late'}/batch={batch_id}")
         ok = labelled.filter(F.col("status") == "accepted").drop("status")
         _merge_into(spark, store, ok if known is None else ok.unionByName(known), dims, data_vars, time_col,
-                    f"{store.rstrip('/')}_staging/batch-{batch_id}", attrs)
+                    f"{store.rstrip('/')}_staging/batch-{batch_id}", attrs, grid=grid, fixed=fixed)
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+_BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                        T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+
+# Files of one retry that are read at once (their paths go into one plan).
+RETRY_FILES = 10_000
+
+
+class FileLoader:
+    """Loads batches of raw files ``(path, modificationTime, content)`` into a
+    store: parse, pick the newest per coordinate, leave out what the ledger
+    supersedes, decode, gate, check, replace file by file, and record."""
+
+    def __init__(self, descriptor: LS.FileSetDescriptor, decoder, schema: T.StructType, store: str,
+                 grid_dims: Iterable[str], data_vars: Iterable[str], file_dims: Iterable[str] = ("m",),
+                 on_late: str = "raise", narrow: bool = True, grid: Mapping[str, Iterable] | None = None,
+                 late_dir: str | None = None):
+        self.late_dir = late_dir or f"{store.rstrip('/')}_late"
+        self.descriptor, self.decoder, self.schema, self.store = descriptor, decoder, schema, store
+        self.grid_dims, self.data_vars, self.file_dims = tuple(grid_dims), tuple(data_vars), tuple(file_dims)
+        self.on_late, self.narrow, self.grid = on_late, narrow, grid
+        self.keys = (TIME, *(FILE_DIM_NAMES[c] for c in self.file_dims))
+
+    def __call__(self, raw: DataFrame, batch: str, gated: bool = True) -> None:
+        from gridcube.sources.decode import decode_content
+        spark, store = raw.sparkSession, self.store
+        parsed = LS.parse_paths(raw.select("path", "modificationTime", "content"), self.descriptor)
+        files = localize(LS.newest_files(parsed.drop("content")))
+        ledger = read_ledger(spark, store).where(F.col("batch") != batch)
+        old = localize(superseded(files, ledger).select("path")).withColumn("status", F.lit("superseded"))
+        status = join_small(files, old, "path", "left")
+        if store_exists(spark, store):
+            stored = localize(stored_times(spark, store)).withColumnRenamed(TIME, "t")
+            newest = stored.agg(F.max("t")).first()[0]
+            there = F.broadcast(stored.withColumn("_there", F.lit(True)))
+            late = F.col("_there").isNull() & (F.col("t") < F.lit(newest).cast("timestamp_ntz")) & F.col("status").isNull()
+            status = status.join(there, "t", "left").withColumn("status", F.when(late, "late").otherwise(F.col("status"))).drop("_there")
+        status = localize(status.select(*files.columns, "status"))
+        late = keep_small(status, status.where("status = 'late'").drop("status"))
+        if late.limit(1).count():
+            if self.on_late == "raise":
+                raise LateStartError("A start before the newest stored one cannot be added.")
+            late.withColumnRenamed("t", TIME).write.mode("overwrite").parquet(f"{self.late_dir}/batch={batch}")
+        chosen = keep_small(status, status.where("status IS NULL").drop("status"))
+        if not chosen.limit(1).count():
+            record(store, batch, status, F.col("status"))
+            return
+        staging = f"{store.rstrip('/')}_staging/batch-{batch}"
+        decode_content(join_small(parsed, chosen.select("path"), "path", "left_semi"), self.decoder, self.schema) \
+            .write.mode("overwrite").parquet(staging)
+        decoded = spark.read.parquet(staging)
+        outcomes = file_errors(decoded)
+        judged = localize(status.join(outcomes, "path", "left"))
+        said = F.coalesce("status", F.when(F.col("error").isNotNull(), "failed").otherwise("loaded"))
+        record(store, batch, judged.where("error IS NOT NULL OR status IS NOT NULL"), said, F.col("error"))
+        good = error_rate_gate(outcomes) if gated else outcomes.where("error IS NULL")
+        if not gated and not good.limit(1).count():
+            remove_path(spark, staging)
+            return
+        cells = assign_file_dims(decoded.join(good.select("path"), "path", "left_semi").drop("error"),
+                                 chosen.drop("version"), key="path", coords=list(self.file_dims))
+        dims = (*self.keys, *self.grid_dims)
+        cells = cells.select(*dims, *self.data_vars)
+        if self.narrow:
+            types = dict(cells.dtypes)
+            cells = cells.withColumns({v: F.col(v).cast("float") for v in self.data_vars if types[v] == "double"})
+        _merge_into(spark, store, cells, dims, self.data_vars, TIME, f"{staging}-cells", replaced=self.keys,
+                    grid=self.grid, fixed=self.grid_dims)
+        record(store, batch, judged, said, F.col("error"))
+        remove_path(spark, staging)
+
+    def retry_failed(self, spark: SparkSession) -> int:
+        """Load the files again that the ledger lists as failed, however many
+        fail again; returns how many there were. A file that is gone by now stays listed."""
+        paths = [r["path"] for r in failed_files(spark, self.store).select("path").toLocalIterator()]
+        run = uuid.uuid4().hex
+        for k in range(0, len(paths), RETRY_FILES):
+            raw = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths[k:k + RETRY_FILES])
+            self(raw, f"retry-{run}-{k // RETRY_FILES}", gated=False)
+        return len(paths)
+
+
 def ingest_file_stream(spark: SparkSession, descriptor: LS.FileSetDescriptor, decoder,
                        schema: T.StructType, store: str, checkpoint: str, grid_dims: Iterable[str],
                        data_vars: Iterable[str], file_dims: Iterable[str] = ("m",),
                        on_late: str = "raise", late_dir: str | None = None, narrow: bool = True,
-                       max_files_per_trigger: int | None = None,
-                       available_now: bool = True) -> StreamingQuery:
+                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       grid: Mapping[str, Iterable] | None = None) -> StreamingQuery:
     """Stream raw files of a file set straight into a store.
 
     Each micro-batch of new files (binaryFile source; its checkpoint records
-    the files already seen) is parsed with the descriptor's pattern,
-    de-duplicated per file coordinate, decoded with ``decoder`` into a
-    staging table, passed through the tolerated-error gate, checked for
-    starts older than the store's newest, and appended per start
-    (dynamic partition overwrite, so a replayed batch rewrites, never
-    duplicates; a start whose members come in several batches gains them one
-    after another). ``file_dims`` names the file coordinates that are axes.
+    the files already seen) goes through a :class:`FileLoader`. Of the files of
+    one coordinate the newest wins, in whatever batch it comes: it replaces the
+    whole slice of an older one, and an older one that comes later is left
+    out. Files that cannot be read are kept in the ledger with their error
+    (``FileLoader.retry_failed`` loads them again); beyond the tolerated rate
+    they fail the batch. Starts before the newest stored one fail the batch, or
+    with ``on_late="divert"`` are listed as late, in the ledger and in
+    ``late_dir`` (a folder for each batch). A label that the grid of the
+    store lacks fails the batch. A replayed batch leaves the store as it is.
+    ``file_dims`` names the file coordinates that are axes.
     """
-    from gridcube.sources.decode import decode_content
-    grid_dims, data_vars = tuple(grid_dims), tuple(data_vars)
-    fdims = tuple(FILE_DIM_NAMES[c] for c in file_dims)
-    dims = (TIME, *fdims, *grid_dims)
-    binary = T.StructType([T.StructField("path", T.StringType()),
-                           T.StructField("modificationTime", T.TimestampType()),
-                           T.StructField("length", T.LongType()),
-                           T.StructField("content", T.BinaryType())])
-    reader = spark.readStream.format("binaryFile").schema(binary).option("recursiveFileLookup", "true")
+    load = FileLoader(descriptor, decoder, schema, store, grid_dims, data_vars, file_dims, on_late, narrow, grid, late_dir)
+    reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(descriptor.dir)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = LS.parse_paths(batch.select("path", "modificationTime", "content"), descriptor)
-        winners = LS.dedupe_paths(parsed.drop("content"))
-        files = winners.select("path", "t", *file_dims)
-        if store_exists(spark, store):
-            stored = localize(stored_times(spark, store))
-            stored_max = stored.agg(F.max(TIME)).first()[0]
-            known, files = _split_known(files, stored.withColumnRenamed(TIME, "t"), "t")
-        else:
-            stored_max, known = None, None
-        labelled = late_start_guard(files.withColumnRenamed("t", TIME), stored_max)
-        if stored_max is not None and labelled.filter(F.col("status") == "late").limit(1).count() > 0:
-            if on_late == "raise":
-                raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
-            (labelled.filter(F.col("status") == "late").drop("status")
-                     .write.mode("append").parquet(late_dir or f"{store}_late"))
-        ok_files = labelled.filter(F.col("status") == "accepted").drop("status") \
-                           .withColumnRenamed(TIME, "t")
-        if known is not None:
-            ok_files = ok_files.unionByName(known)
-        if ok_files.limit(1).count() == 0:
-            return
-        raw = parsed.join(ok_files.select("path"), "path", "left_semi")
-        staging = f"{store.rstrip('/')}_staging/batch-{batch_id}"
-        decode_content(raw, decoder, schema).write.mode("overwrite").parquet(staging)
-        decoded = spark.read.parquet(staging)
-        good = error_rate_gate(file_errors(decoded))
-        cells = assign_file_dims(decoded.join(good.select("path"), "path", "left_semi").drop("error"),
-                                 ok_files, key="path", coords=list(file_dims)).select(*dims, *data_vars)
-        if narrow:
-            types = dict(cells.dtypes)
-            cells = cells.withColumns({v: F.col(v).cast("float") for v in data_vars if types[v] == "double"})
-        _merge_into(spark, store, cells, dims, data_vars, TIME, f"{staging}-cells")
-        remove_path(spark, staging)
-
-    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(lambda batch, batch_id: load(batch, str(batch_id))) \
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -116,11 +116,11 @@ def test_index_follows_the_cells_or_goes(spark, store):
 
 def test_appends_grow_the_starts_behind_the_old_ones(spark, store):
     more = cube_of(spark, [(2, 5, 9, 1.0), (2, 1, 7, 2.0)])
-    ST.write_cube(more, store, mode="append", conform=True)
+    ST.write_cube(more, store, mode="append", conform=("Y", "X"))
     assert ST.read_cube(spark, store).index == {"S": tuple(DAYS), "Y": (5.0, 1.0, 3.0), "X": (7, 8, 9)}
     strange = cube_of(spark, [(2, 5, 9, 1.0), (2, 6, 9, 1.0)])
     with pytest.raises(AxisMismatch, match="6.0"):
-        ST.write_cube(strange, store, mode="append", conform=True)
+        ST.write_cube(strange, store, mode="append", conform=("Y", "X"))
     assert ST.read_cube(spark, store).index["Y"] == (5.0, 1.0, 3.0)
     assert ST.read_cube(spark, store).cells.count() == 14
     ST.write_cube(strange, store, mode="append")
