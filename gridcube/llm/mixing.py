@@ -55,8 +55,8 @@ def targets(sized: DataFrame, *, source: str = "source", size: str = "size", cyc
                            F.least(full.cast("double"), F.col("shared") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", size: str = "size", cycle: int = 3,
-        ceiling: int = 3, seed: int = 42, prefix: str = "") -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", size: str = "size",
+        content: str | None = None, cycle: int = 3, ceiling: int = 3, seed: int = 42, prefix: str = "") -> DataFrame:
     """``docs`` with ``source_size``, ``target`` and ``copies`` (names after
     ``prefix``): how often the mix takes each document.
 
@@ -67,11 +67,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", size
 
     Defined cases: a null source is a source of its own, last in order; a null
     size counts as 0; a source of size 0 is taken 0 times; repeated rows with
-    one id get the same number; a null id is hashed as the empty id; an empty
-    table gives an empty result. Other columns pass through; existing columns
+    one id get the same number; in place of a null id the column ``content``
+    (a text or a hash of it) is hashed, so that rows without an id do not
+    share one draw, without such a column the empty id; an empty table gives
+    an empty result. Other columns pass through; existing columns
     with the result's names are replaced.
     """
-    need(docs, id_col, source, size)
+    need(docs, id_col, source, size, *([content] if content else []))
     names = [prefix + n for n in ("source_size", "target", "copies")]
     docs = docs.drop(*names)
     key, rate = fresh(docs, "mix_source", "mix_rate")
@@ -81,7 +83,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", size
         F.least(F.lit(float(ceiling)), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).alias(rate))
     joined = join_small(docs, rates, F.col(f"`{source}`").eqNullSafe(F.col(key)), max_rows=100_000)
     whole = F.floor(rate)
-    chance = _uniform(seed, F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    drawn_by = [F.col(f"`{c}`").cast("string") for c in (id_col, content) if c]
+    chance = _uniform(seed, F.coalesce(*drawn_by, F.lit("")))
     return joined.withColumn(names[2], whole + F.when(chance < F.col(rate) - whole, 1).otherwise(0)).drop(key, rate)
 
 

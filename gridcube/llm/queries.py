@@ -25,8 +25,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    sized = stage(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes")
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    text_hash = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("text_hash")
+    sized = stage(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), text_hash), "sizes")
+    return mixing.mix(sized, content="text_hash").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
     "op2_mix_sources": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS drawn_by
            FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
@@ -139,7 +141,7 @@ l AS (SELECT a.k, a.source_size, a.weight,
 g AS (SELECT max(level) AS level FROM l WHERE 3 * source_size >= level * weight),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM w, g),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(3.0, target / source_size) ELSE 0 END AS rate,
-             CAST(CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
+             CAST(CAST('0x' || substr(md5('42:' || drawn_by), 1, 13) AS BIGINT) AS DOUBLE)
              / 4503599627370496 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

@@ -72,10 +72,16 @@ def _masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(min(flips, bits) + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def meetings(prints: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+def meetings(prints: np.ndarray, left: np.ndarray, bits: int, odd: bool = False) -> Iterator[tuple[int, int]]:
     """Pairs of prints that meet in a variant, among those that agree above the
     low ``bits`` bits up to the flips already spent; ``left`` flips remain to
-    each. Large sets are dealt by the next bits until they can be laid out."""
+    each. Large sets are dealt by the next bits until they can be laid out.
+
+    All who meet in a variant are paired with one of them, the lead. For an
+    ``odd`` distance, twice the radius less one, that is one with flips to
+    spare: it lies in reach of the others, two without need not. Two without
+    differ in an even number of bits, so if they are in reach of each other
+    they also meet in a variant where both have flips to spare."""
     if len(prints) < 2:
         return
     sizes = [len(_masks(bits, k)) for k in range(int(left.max()) + 1)]
@@ -85,33 +91,35 @@ def meetings(prints: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[
         for value in range(1 << step):
             spent = np.bitwise_count(head ^ np.uint64(value))
             here = spent <= left
-            yield from meetings(prints[here], left[here] - spent[here], bits - step)
+            yield from meetings(prints[here], left[here] - spent[here], bits - step, odd)
         return
     low = np.uint64((1 << bits) - 1)
-    variants, owners = [], []
+    variants, owners, spare = [], [], []
     for k in np.unique(left):
         own, masks = np.flatnonzero(left == k), _masks(bits, int(k))
         variants.append(((prints[own] & low)[:, None] ^ masks[None, :]).ravel())
         owners.append(np.repeat(own, len(masks)))
-    variant, owner = np.concatenate(variants), np.concatenate(owners)
+        spare.append(np.tile(np.bitwise_count(masks) < k, len(own)) if odd else np.ones(len(own) * len(masks), bool))
+    variant, owner, spare = np.concatenate(variants), np.concatenate(owners), np.concatenate(spare)
     ordered = np.sort(variant)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return
     at = np.minimum(np.searchsorted(twice, variant), len(twice) - 1)
     met = np.flatnonzero(twice[at] == variant)
-    met = met[np.argsort(at[met], kind="stable")]
+    met = met[np.lexsort((~spare[met], at[met])) if odd else np.argsort(at[met], kind="stable")]
     group, member = at[met], owner[met]
     first = np.concatenate(([True], group[1:] != group[:-1]))
-    lead = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    pairs = np.unique(np.stack([lead[~first], member[~first]], 1), axis=0)
+    leads = np.flatnonzero(first)[np.cumsum(first) - 1]
+    led = ~first & spare[met][leads]
+    pairs = np.unique(np.stack([member[leads][led], member[led]], 1), axis=0)
     yield from ((int(prints[a]), int(prints[b])) for a, b in pairs)
 
 
 def _links(max_bits: int, bits: int):
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         prints = rows["print"].to_numpy(np.int64).view(np.uint64)
-        met = meetings(prints, rows["left"].to_numpy(np.int64), bits)
+        met = meetings(prints, rows["left"].to_numpy(np.int64), bits, max_bits % 2 == 1)
         near = ((a, b) for a, b in met if (a ^ b).bit_count() <= max_bits)   # verify
         out = np.array(spanning_links(near), np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})

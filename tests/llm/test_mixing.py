@@ -44,6 +44,13 @@ def test_taken_words_come_near_the_targets_and_agree_in_reruns(spark):
     assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_rows_without_an_id_are_drawn_by_content(spark):
+    rows = [(None, f"text {k} " + "w " * 8, "en", "a", 0) for k in range(400)] + [(k, "w " * 10, "en", "b", 0) for k in range(200)]
+    sized = documents(spark, rows).withColumn("size", mixing.words(F.col("text")))
+    per = mixing.mix(sized, content="text").groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n"))
+    assert all(abs(r.n - r.t) < 0.15 * r.t for r in per.collect())
+
+
 def test_awkward_rows_and_clashing_columns(spark):
     docs = documents(spark, extra=["target", "copies", "mix_source", "mix_rate", "weight"])
     mixed = mixing.mix(docs.withColumn("size", mixing.words(F.col("text"))))

@@ -35,3 +35,27 @@ def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
     assert all(r["max(copy)"] == r["count(1)"] <= 3 for r in per)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.exceptAll(docs).count() == 0 and docs.exceptAll(again).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, None), (9, ""), (None, a), (None, a), (None, b), (11, b)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOC)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (8, None), (None, a), (None, b)], key=str)
+
+
+def test_awkward_tables_pass_every_stage(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from tests.llm.helpers import documents
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = ("size", "copy", "language", "contamination", "removed_lines", "fingerprint", "all_go", "component_id")
+    for docs in (documents(spark, extra=clash), documents(spark, extra=clash).limit(0)):
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))  # nothing to learn from
+        for name, step in corpus_pipeline.STAGES:
+            docs = step(spark, docs, str(tmp_path)).checkpoint()
+            if name == "language":
+                kept = {r.doc_id for r in docs.collect()}
+                assert kept in ({4, 5, None}, set())

@@ -25,6 +25,26 @@ def test_fingerprints_equal_a_bit_by_bit_count():
         assert simhash.fingerprint(text.encode(), 4) == plain(text, 4)
 
 
+@pytest.mark.parametrize("max_bits", [1, 2, 3, 5])
+def test_links_reach_whatever_is_near(max_bits):
+    """Families spread round a centre, where some lie further from each other
+    than from the centre: the groups equal those of all pairs."""
+    rng = random.Random(max_bits)
+    for _ in range(120):
+        centre, family = rng.getrandbits(20), set()
+        for _ in range(rng.randrange(2, 7)):
+            p = rng.choice([centre, *family])
+            for b in rng.sample(range(20), rng.randrange(0, max_bits + 2)):
+                p ^= 1 << b
+            family.add(p)
+        family = sorted(family)
+        prints = np.array(family, np.uint64)
+        met = list(simhash.meetings(prints, np.full(len(family), -(-max_bits // 2)), 20, max_bits % 2 == 1))
+        near = [(a, b) for a, b in met if (a ^ b).bit_count() <= max_bits]
+        want = [(a, b) for a in family for b in family if (a ^ b).bit_count() <= max_bits]
+        assert groups_of(near, family) == groups_of(want, family)
+
+
 @pytest.mark.parametrize("at_once, bucket", [(2_000_000, 200_000), (3000, 40)])
 def test_components_equal_all_pairs(spark, monkeypatch, at_once, bucket):
     """Also with tiny limits, which deal buckets again and lay out in parts."""
