@@ -18,13 +18,21 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and those without a letter."""
+    """Drops documents without a language: null, empty and other texts without
+    a letter. Where no language can be learned (no labelled document outside
+    the held-out third, an empty table), all texts with a letter stay. Repeated
+    rows fare alike; columns besides those of documents are left out."""
+    docs = docs.select(*COLUMNS)
     trees = language.learn(docs.where(~language.held_out()))
-    return language.identify(docs.select(*COLUMNS), trees).where("language.lang_pred != 'und'").drop("language")
+    if trees is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language.identify(docs, trees).where("language.lang_pred != 'und'").drop("language")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every line once in the corpus; all documents stay."""
+    """Keeps every line once in the corpus; all documents stay, also those left
+    without a line, with a null or empty text, and repeated rows. ``n_chars``
+    is counted anew where lines went."""
     unique = lines.dedup_lines(docs.select(*COLUMNS), wide=True)
     size = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return unique.withColumn("n_chars", size).select(*COLUMNS)
@@ -32,21 +40,35 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of each group of near-duplicates.
-    Documents without an id stay, but for rows equal in id and text."""
-    found = simhash.simhash_components(docs, shingle=4, max_bits=4)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+    Rows are judged by id and fingerprint: where rows share an id, only those
+    go whose own text has a near-duplicate under a smaller id. Null and empty
+    texts are alike. Of rows equal in id and text one stays; documents without
+    an id stay but for that."""
+    docs = docs.select(*COLUMNS)
+    found = simhash.simhash_components(docs, shingle=4, max_bits=4).where("doc_id IS NOT NULL")
+    goes = F.col("doc_id") != F.col("component_id")
+    ids = found.groupBy("doc_id").agg(F.max(goes).alias("some_go"), F.min(goes).alias("all_go")).where("some_go")
+    left = docs.join(ids.select("doc_id", "all_go"), "doc_id", "left").where("all_go IS NULL OR NOT all_go")
+    # rows of an id that stays in part: few, and only their fingerprints are taken again
+    in_part = found.where(goes).join(ids.where("NOT all_go"), "doc_id", "left_semi").select("doc_id", "fingerprint").distinct()
+    own = simhash.fingerprints(4)(F.when(F.col("all_go").isNotNull(), F.coalesce("text", F.lit(""))))
+    kept = left.withColumn("fingerprint", own).join(in_part, ["doc_id", "fingerprint"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark passages."""
+    """Drops documents that hold benchmark passages. Null and empty texts hold
+    none; with an empty benchmark all stay; repeated rows fare alike."""
     marked = decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.where("not contamination.contaminated").drop("contamination")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, numbered in ``copy``."""
-    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("size", mixing.words(F.col("text"))))
+    """Each document as often as the mix takes it, numbered in ``copy``. A null
+    source is a source of its own; a null or empty text has no words; rows
+    without an id are drawn by their text; repeated rows get equal numbers."""
+    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("size", mixing.words(F.col("text"))), content="text")
     return mixing.emit(mixed).select(*COLUMNS, "copy")
 
 
