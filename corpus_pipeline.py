@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridcube.llm import decontaminate, language, lines, mixing, simhash
 from gridcube.llm.common import stage
+from gridcube.plans.strategy import join_small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,15 +47,17 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts are alike. Of rows equal in id and text one stays; documents without
     an id stay but for that."""
     docs = docs.select(*COLUMNS)
-    found = simhash.simhash_components(docs, shingle=4, max_bits=4).where("doc_id IS NOT NULL")
+    found = stage(simhash.simhash_components(docs, shingle=4, max_bits=4).where("doc_id IS NOT NULL"), "pipeline-prints")
     goes = F.col("doc_id") != F.col("component_id")
-    ids = found.groupBy("doc_id").agg(F.max(goes).alias("some_go"), F.min(goes).alias("all_go")).where("some_go")
-    left = docs.join(ids.select("doc_id", "all_go"), "doc_id", "left").where("all_go IS NULL OR NOT all_go")
-    # rows of an id that stays in part: few, and only their fingerprints are taken again
-    in_part = found.where(goes).join(ids.where("NOT all_go"), "doc_id", "left_semi").select("doc_id", "fingerprint").distinct()
-    own = simhash.fingerprints(4)(F.when(F.col("all_go").isNotNull(), F.coalesce("text", F.lit(""))))
-    kept = left.withColumn("fingerprint", own).join(in_part, ["doc_id", "fingerprint"], "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    ids = stage(found.groupBy("doc_id").agg(F.max(goes).alias("some_go"), F.min(goes).alias("all_go")).where("some_go"), "pipeline-ids")
+    whole = docs.join(ids.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    # ids that stay in part: few, and only the fingerprints of their rows are taken again
+    mixed = ids.where("NOT all_go").select("doc_id")
+    gone = found.where(goes).join(mixed, "doc_id", "left_semi").select("doc_id", "fingerprint").distinct()
+    own = simhash.fingerprints(4)(F.coalesce("text", F.lit("")))
+    part = join_small(docs, mixed, "doc_id", "left_semi").withColumn("fingerprint", own)
+    part = join_small(part, gone, ["doc_id", "fingerprint"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return whole.select(*COLUMNS).unionByName(part.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
