@@ -4,12 +4,14 @@ The standard library's parser gives a stream of events; these become lines
 (blocks) with their text-to-tag ratio. The ratios are smoothed with a Gaussian
 and clustered by a threshold; the articles, or else the smallest region, that hold
 the lines above it are the content, without what their elements declare as
-boilerplate. Names and forms declare it only where the text is short or links.
+boilerplate, whatever its length. Names that articles use as well declare it only
+where most of the text is links, and layouts only where most of the page is elsewhere.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -37,17 +39,15 @@ _CONTAINER = frozenset("article center dd details div dl fieldset header li ol s
 _MARKED = re.compile(r"""(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|
     menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|complementary|contentinfo|cookies?|consent|
     notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|
-    comments?|commentlist|replies|reply|disqus|respond|discussion|pagination|pager|tags?|widget|toolbar|skip|copyright|
-    legal|disclaimer)""", re.X | re.I)
+    comments?|commentlist|replies|reply|disqus|respond|reviews|discussion|pagination|pager|tags?|widget|toolbar|skip|
+    copyright|legal|disclaimer)""", re.X | re.I)
 _NEUTRAL = frozenset("""site page main global top bottom left right post posts article articles blog content primary secondary inner
     outer bar box block container wrapper wrap area section list item items link links button buttons icon icons form col column
-    text thread""".split())
+    text thread user users reader readers customer customers visitor visitors""".split())
 #: Of the marked words, the ones that also name a layout around the article.
 _LAYOUT = frozenset("nav navbar navigation menu header masthead footer foot sidebar side aside banner toolbar overlay".split())
-#: Of the marked words, the ones that mark readers' texts, of whatever length.
-_READERS = frozenset("comment comments commentlist replies reply disqus respond".split())
-#: Marked text of fewer characters is boilerplate, longer one only where most of it is links.
-SHORT = 200
+#: Of the marked words, the ones that articles use as well, for their own parts or for the page as a whole.
+_AMBIGUOUS = re.compile("legal|social|discussion|related|recommend.*|tags?|promo.*|disclaimer|header|banner|overlay|toolbar|widget|reviews")
 
 
 def marked_words(named: str) -> set[str]:
@@ -63,22 +63,25 @@ def marked_words(named: str) -> set[str]:
 
 @dataclass
 class Mark:
-    """An element that is boilerplate if its text is short or links: the mark
-    around it, whether an article inside undoes it, whether it is a form or
-    whether only links tell, and its characters, in all and in links."""
+    """An element that is boilerplate for certain or, if not ``certain``, where
+    most of its text is links or (``wraps``) where it holds the lesser part of
+    the page's articles, or of its text if there are none. ``layout`` is undone
+    by an article inside. ``around`` is the mark around it; then its characters:
+    in all, in links, in articles."""
     around: int
     layout: bool = False
-    form: bool = False
-    links_only: bool = False
+    certain: bool = False
+    wraps: bool = False
     chars: int = 0
     links: int = 0
+    in_articles: int = 0
 
 
 @dataclass
 class Line:
     """A block of text: its tags, whether boilerplate elements hold it, the
     element it belongs to, the outermost article or main around it, the mark
-    it is in (see Mark), and its characters in links."""
+    it is in (see Mark), whether it is a main heading, and its characters in links."""
     text: str
     tags: int
     links: int
@@ -86,6 +89,7 @@ class Line:
     region: int
     article: int
     mark: int
+    title: bool
 
 
 class Lines(HTMLParser):
@@ -96,10 +100,11 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         # open elements: name, whether boilerplate (see marked), region, article, mark
         self.open: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)    # name: where it is open
         self.marks = [Mark(0)]
         self.around = {0: 0}       # region: the region around it
         self.parts: list[str] = []
-        self.tags = self.elements = self.paragraphs = self.anchors = self.linked = 0
+        self.tags = self.elements = self.linked = 0
 
     def updatepos(self, i, j):
         return j        # line numbers are not needed
@@ -108,30 +113,29 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), *self.open[-1][1:]))
+                self.lines.append(Line(text, max(1, self.tags), min(self.linked, len(text)), *self.open[-1][1:],
+                                       bool(self.at["h1"])))
             self.parts = []
         self.tags = self.linked = 0
 
     def close_from(self, k):
-        self.paragraphs -= sum(e[0] == "p" for e in self.open[k:])
-        self.anchors -= sum(e[0] == "a" for e in self.open[k:])
+        for e in self.open[k:]:
+            self.at[e[0]].pop()
         del self.open[k:]
 
     def close_to(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                return self.close_from(k)
+        if self.at[tag]:
+            self.close_from(self.at[tag][-1])
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self.flush()
-            if self.paragraphs and tag in _CLOSES_P:
+            if tag in _CLOSES_P:
                 self.close_to("p")
-            if tag in ("article", "main"):     # a menu left open ends where the article begins
-                for k, e in enumerate(self.open):
-                    if e[0] in ("nav", "header", "head", "title") and not any(x[3] for x in self.open):
-                        self.close_from(k)
-                        break
+            if tag in ("article", "main") and not self.open[-1][3]:     # a menu left open ends where the article begins
+                first = [self.at[x][0] for x in ("nav", "header", "head", "title") if self.at[x]]
+                if first:
+                    self.close_from(min(first))
         self.tags += 1
         if tag in _VOID:
             return
@@ -154,8 +158,7 @@ class Lines(HTMLParser):
             region = self.elements
             if not article and tag in ("article", "main"):
                 article = self.elements
-        self.paragraphs += tag == "p"
-        self.anchors += tag == "a"
+        self.at[tag].append(len(self.open))
         self.open.append((tag, dropped, region, article, mark))
 
     @staticmethod
@@ -165,19 +168,20 @@ class Lines(HTMLParser):
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             return 2, None
         if tag == "form":
-            return 0, Mark(0, layout=True, form=True)
+            return 0, Mark(0, layout=True, wraps=True)
         if tag not in _CONTAINER:
             return 0, None
         words = marked_words(" ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower())
         if not words or article and words <= {"header"}:
             return 0, None
-        if words & _READERS:
-            return 2, None
         if tag == "article" and not article:
             return 0, None
+        layout = words <= _LAYOUT
         if any(k == "role" and v and v.lower() in words for k, v in attrs):
-            return 1 if words <= _LAYOUT else 2, None
-        return 0, Mark(0, layout=words <= _LAYOUT, links_only=bool(article) and tag == "section")
+            return 1 if layout else 2, None
+        if all(_AMBIGUOUS.fullmatch(w) for w in words):
+            return 0, Mark(0, layout=layout, wraps=not article)
+        return 0, Mark(0, layout=layout, certain=True)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -193,7 +197,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.open[-1][0] not in ("script", "style"):
             self.parts.append(data)
-            if self.anchors:
+            if self.at["a"]:
                 self.linked += len(data.strip())
 
     def close(self):
@@ -223,24 +227,46 @@ def threshold(values: np.ndarray) -> float:
 
 
 def unmarked(page: Lines) -> list[Line]:
-    """The lines that no element declares boilerplate. A form that holds most of
-    the page's text is a layout around it."""
+    """The lines that no element declares boilerplate (see Mark)."""
     lines = [x for x in page.lines if not x.dropped]
-    marks, total = page.marks, sum(len(x.text) for x in lines)
+    marks = page.marks
     for x in lines:
-        marks[x.mark].chars += len(x.text)
-        marks[x.mark].links += x.links
+        mark = marks[x.mark]
+        mark.chars += len(x.text)
+        mark.links += x.links
+        mark.in_articles += len(x.text) * bool(x.article)
     for m in reversed(marks[1:]):      # a mark comes after the one around it
-        marks[m.around].chars += m.chars
-        marks[m.around].links += m.links
-    out = [False]
+        around = marks[m.around]
+        around.chars += m.chars
+        around.links += m.links
+        around.in_articles += m.in_articles
+    whole, out = marks[0], [False]
     for m in marks[1:]:
-        dense = 2 * m.links > m.chars
-        gone = dense if m.links_only else dense or m.chars < SHORT
-        out.append(out[m.around] or gone and not (m.form and 2 * m.chars > total))
+        part, total = (m.in_articles, whole.in_articles) if whole.in_articles else (m.chars, whole.chars)
+        gone = m.certain or 2 * m.links > m.chars or m.wraps and 2 * part <= total
+        out.append(out[m.around] or gone)
     return [x for x in lines if not out[x.mark]]
 
 
+def dense_lines(lines: list[Line], sigma: float) -> list[Line]:
+    """The lines above the threshold of the smoothed text-to-tag ratios."""
+    ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
+    least = threshold(ratios)
+    return [x for x, r in zip(lines, ratios) if r >= least]
+
+
+def in_articles(lines: list[Line], around: dict[int, int], sigma: float) -> list[Line]:
+    """The lines of the articles that hold dense lines, of those beside them,
+    and the main heading before the first where the articles have none."""
+    inside = [x for x in lines if x.article]
+    beside = {around[x.article] for x in dense_lines(inside, sigma)}
+    chosen = [x for x in inside if around[x.article] in beside]
+    if not any(x.title for x in chosen):
+        before = [x for x in lines[:lines.index(chosen[0])] if x.title and not x.article]
+        chosen = before[-1:] + chosen
+    return chosen
+
+
 def common_region(regions: set[int], around: dict[int, int]) -> set[int]:
     """The smallest region that holds all ``regions``, and all inside it."""
     left = [-r for r in regions]
@@ -269,13 +295,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = unmarked(page)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(x.text) / x.tags for x in lines]), sigma)
-    least = threshold(ratios)
-    chosen = [x for x, r in zip(lines, ratios) if r >= least]
-    articles = {x.article for x in chosen if x.article}
-    regions = {x.region for x in chosen}
-    if articles:
-        return "\n".join(x.text for x in lines if x.article in articles)
+    if any(x.article for x in lines):
+        return "\n".join(x.text for x in in_articles(lines, page.around, sigma))
+    regions = {x.region for x in dense_lines(lines, sigma)}
     inside = common_region(regions, page.around)
     # inside, lists of links that hold no dense line are none of the content
     return "\n".join(x.text for x in lines if x.region in regions or x.region in inside and 2 * x.links <= len(x.text))

@@ -56,3 +56,40 @@ def test_text_is_not_dropped_by_name_form_or_region(html):
 
 def test_deep_nesting_takes_no_quadratic_work():
     assert P.main_text("<div>" * 20_000 + "<p>x") == "x"
+
+
+def page(body):
+    return f"<html><head><title>t</title></head><body>{body}</body></html>"
+
+
+P1, P2 = "The river rose in the night and took the old bridge. " * 2, "Nobody was hurt, said the mayor at noon. " * 2
+LONG_NOTICE = "We and our partners store cookies on your device to measure the use of this site. " * 3
+NOTICES = {
+    page(f'<div class="cookie-notice">{LONG_NOTICE}</div><div id="content"><p>{P1}</p><p>{P2}</p></div>'): [P1, P2],
+    page(f'<article><p>{P1}</p><div class="cookie-notice">{LONG_NOTICE}</div><div class="newsletter-box">{LONG_NOTICE}</div>'
+         f'<div class="advert">{LONG_NOTICE}</div><p>{P2}</p></article>'): [P1, P2],
+    page(f'<article><p>{P1}</p></article><div class="user-reviews">{LONG_NOTICE * 4}</div>'): [P1],
+    page(f"<article><p>{P1 * 4}</p></article><article><p>Short one.</p></article>"): [P1 * 4, "Short one."],
+    page(f"<header><h1>Site</h1></header><h1>The bridge</h1><article><p>{P1}</p></article>"): ["The bridge", P1],
+    page(f"<h1>Site</h1><article><h1>The bridge</h1><p>{P1}</p></article>"): ["The bridge", P1],
+    page(f'<article><p>{P1}</p><div class="legal">He went to law.</div><div class="social">They met often.</div></article>'):
+        [P1, "He went to law.", "They met often."],
+    page(f'<main><p>{P1}</p><div class="related"><a href="/a">More of it</a> <a href="/b">And more</a></div></main>'): [P1],
+    page(f'<article><p>{P1}</p><form>Write to us and we answer soon.</form></article>'): [P1],
+    page(f'<article><p>{P1}</p></article><div class="related"><article><p>{P2}</p></article></div>'): [P1],
+}
+
+
+@pytest.mark.parametrize("html", NOTICES)
+def test_boilerplate_goes_at_any_length_and_articles_win(html):
+    assert P.main_text(html) == "\n".join(" ".join(x.split()) for x in NOTICES[html])
+
+
+def test_unmatched_end_tags_take_no_quadratic_work():
+    import time
+    took = []
+    for n in (20_000, 80_000):
+        at = time.process_time()
+        assert P.main_text("<span>" * n + "x" + "</b>" * n) == "x"
+        took.append(time.process_time() - at)
+    assert took[1] < 10 * took[0]
