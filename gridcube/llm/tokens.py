@@ -3,12 +3,11 @@
 Texts fall into pre-tokens (a run of word-start marks and what follows it)
 that no piece crosses. New pre-tokens of a batch are held as one ragged array
 of symbols; each step merges the lowest-ranked pair of every sequence at once,
-until none is left, and the surviving symbols are counted.
+wherever it stands in it, until none is left, and the surviving symbols are counted.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 from gridcube.llm.common import need, utf8
 
 _MARK = "▁"
-#: Characters of text split at once, counts remembered between batches, and
-#: the symbols up to which a pre-token goes through the arrays (the steps grow
-#: with the longest one; longer ones are merged by a heap, with equal results).
-SLICE, REMEMBERED, ARRAY_SYMBOLS = 1_000_000, 1_000_000, 48
+#: Characters of text split at once and counts remembered between batches.
+SLICE, REMEMBERED = 1_000_000, 1_000_000
 _NEVER = np.iinfo(np.int64).max >> 1
 
 
@@ -53,36 +50,32 @@ class Merges:
             for k in range(1, len(piece)):
                 if piece[:k] in pieces and piece[k:] in pieces:
                     pairs[pieces[piece[:k]] * (n + 5) + pieces[piece[k:]]] = (order[scores[piece]], i)
-        self.symbol, self.pairs = symbol, pairs
+        self.symbol = symbol
         self.keys = np.array(sorted(pairs), np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
         self.into = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+        self.longest = max(map(len, pieces), default=1)
         # a line end that no longer piece contains separates pre-tokens by itself
         self.line_end = None if any("\n" in p for p in pieces if len(p) > 1) else (1 if "\n" in pieces else len(b"\n"))
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair and its place in the table."""
         key = left.astype(np.int64) * (self.known + 5) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        found = self.keys[at] == key
-        return np.where(found, self.rank[at], _NEVER), self.into[at]
+        return np.where(self.keys[at] == key, self.rank[at], _NEVER), at
 
     def count(self, sequences: list[str]) -> list[int]:
         """Symbols left of each sequence after all merges."""
         out = np.zeros(len(sequences), np.int64)
-        short = [k for k, s in enumerate(sequences) if 0 < len(s) <= ARRAY_SYMBOLS]
-        for k, s in enumerate(sequences):
-            if len(s) > ARRAY_SYMBOLS:
-                out[k] = self._count_long(s)
-        if not short:
+        lengths = np.array([len(s) for s in sequences], np.int64)
+        sym = self.symbol[np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32)]
+        if not len(sym):
             return out.tolist()
-        lengths = np.array([len(sequences[k]) for k in short])
-        text = "".join(sequences[k] for k in short).encode("utf-32-le")
-        sym = self.symbol[np.frombuffer(text, np.uint32)]
-        of = np.repeat(np.array(short), lengths)
-        rank, into = self._find(sym[:-1], sym[1:])
-        rank, into = np.append(rank, _NEVER), np.append(into, 0)
+        of = np.repeat(np.arange(len(sequences)), lengths)
+        rank, pair = self._find(sym[:-1], sym[1:])
+        rank, pair = np.append(rank, _NEVER), np.append(pair, 0)
         rank[np.append(np.flatnonzero(of[1:] != of[:-1]), len(of) - 1)] = _NEVER
-        while len(sym):
+        while True:
             starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             least = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(of)))
@@ -91,53 +84,72 @@ class Merges:
                 leaving = np.repeat(done, sizes)
                 out += np.bincount(of[leaving], np.maximum(1, sym[leaving] - self.known), len(out)).astype(np.int64)
                 stay = ~leaving
-                sym, of, rank, into = sym[stay], of[stay], rank[stay], into[stay]
+                sym, of, rank, pair = sym[stay], of[stay], rank[stay], pair[stay]
                 least, sizes = least[~done], sizes[~done]
                 if not len(sym):
-                    break
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                    return out.tolist()
             lowest = np.flatnonzero(rank == np.repeat(least, sizes))
-            owner = of[lowest]
-            at = lowest[np.concatenate(([True], owner[1:] != owner[:-1]))]      # the leftmost of each sequence
-            sym[at] = into[at]
-            last = (at + 2 >= len(of)) | (of[np.minimum(at + 2, len(of) - 1)] != of[at])
-            after = np.minimum(at + 2, len(of) - 1)
-            rank[at], into[at] = self._find(sym[at], sym[after])
-            rank[at[last]] = _NEVER
-            before = at[(at > 0) & (of[at - 1] == of[at])]
-            rank[before - 1], into[before - 1] = self._find(sym[before - 1], sym[before])
+            at = lowest[np.concatenate(([True], of[lowest[1:]] != of[lowest[:-1]]))]      # the leftmost of each sequence
+            long = np.repeat(sizes > self.longest, sizes)
+            if long.any():
+                place = np.flatnonzero(long)
+                at = np.union1d(at, place[self._elsewhere(sym[place], of[place], rank[place], pair[place])])
+            sym[at] = self.into[pair[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            sym, of, rank, into = sym[keep], of[keep], rank[keep], into[keep]
-        return out.tolist()
-
-    def _count_long(self, text: str) -> int:
-        """The same merges for one long sequence, lowest pair first by a heap."""
-        sym = self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist()
-        n, base = len(sym), self.known + 5
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i):
-            j = after[i]
-            if j < n and (found := self.pairs.get(sym[i] * base + sym[j])):
-                heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j] = merged, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return sum(max(1, s - self.known) for s in sym if s >= 0)
+            moved = at - np.arange(len(at))        # where the merged symbols stand among those kept
+            sym, of, rank, pair = sym[keep], of[keep], rank[keep], pair[keep]
+            again = np.unique(np.concatenate((moved, moved - 1)))
+            again = again[again >= 0]
+            after = np.minimum(again + 1, len(sym) - 1)
+            rank[again], pair[again] = self._find(sym[again], sym[after])
+            rank[again[(again + 1 >= len(sym)) | (of[after] != of[again])]] = _NEVER
+
+    def _elsewhere(self, sym: np.ndarray, of: np.ndarray, rank: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Places of long sequences to merge at once with the lowest of the sequence.
+
+        A merge only calls for others that hold its symbol, so it reaches no
+        further than the longest piece. A pair that no lower one stands near
+        within this reach can be merged whatever happens beyond. Of equal pairs
+        near each other the left one comes first; they go together, overlapping
+        ones by every second, up to the first after which a pair of no higher
+        rank appears beside it.
+        """
+        reach, n = self.longest, len(rank)
+        left, right = _window_least(rank, reach), _window_least(rank[::-1], reach)[::-1]
+        at = np.flatnonzero((rank < _NEVER) & (rank <= left) & (rank <= right))
+        if not len(at):
+            return at
+        first = np.concatenate(([True], np.diff(at) > reach))
+        group = np.cumsum(first) - 1
+        waits = left[at[first]] == rank[at[first]]       # for an equal pair on the left that is not lowest around
+        run = np.concatenate(([True], np.diff(at) != 1))
+        order = np.arange(len(at))
+        chosen = ((order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0) & ~waits[group]
+        at, group = at[chosen], group[chosen]
+        if not len(at):
+            return at
+        new = self.into[pair[at]]
+        before = sym[np.maximum(at - 1, 0)]
+        joined = np.flatnonzero(np.diff(at) == 2) + 1
+        before[joined] = new[joined - 1]
+        after = np.minimum(at + 2, n - 1)
+        calls = (self._find(before, new)[0] <= rank[at]) & (at > 0) & (of[np.maximum(at - 1, 0)] == of[at])
+        calls |= (self._find(new, sym[after])[0] <= rank[at]) & (at + 2 < n) & (of[after] == of[at])
+        earlier = np.cumsum(calls) - calls
+        lead = np.concatenate(([True], group[1:] != group[:-1]))
+        return at[earlier == np.maximum.accumulate(np.where(lead, earlier, 0))]
+
+
+def _window_least(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the ``reach`` values before each place."""
+    n = len(values)
+    padded = np.full(-(-(n + reach) // reach) * reach, _NEVER, np.int64)
+    padded[reach:reach + n] = values
+    blocks = padded.reshape(-1, reach)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[reach - 1:reach - 1 + n])
 
 
 class Counter:
