@@ -2,8 +2,10 @@
 
 One logistic classifier sees the words of a text, the other only what is known
 about the document (source, language, size and layout). Over a few rounds each
-labels the unlabelled documents it is surest of for the other. Both are then
-calibrated on labelled documents kept aside and combined to score everything.
+labels the documents it is surest of for the other: Spark scores the whole
+unlabelled table and a histogram of the scores tells from where on a view is
+sure. Both are then calibrated on labelled documents kept aside and combined to
+score everything.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcube.llm.common import fresh, need, utf8
+from gridcube.llm.common import fresh, need, stage, utf8
+from gridcube.plans.strategy import join_small
 
 TEXT_BUCKETS, META_BUCKETS = 1 << 16, 1 << 12
 #: Characters of a text taken apart at once.
 SLICE = 1_000_000
+#: Bins of a log-odds unit in which scores are counted, and the log odds of the last bins.
+BINS, LAST = 16, 30
 
 
 def _words(text: bytes) -> Iterator[bytes]:
@@ -67,18 +72,21 @@ class Sparse:
     weight: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[list[int], list[float]]]) -> "Sparse":
-        sizes = [max(1, len(b)) for b, _ in rows]
-        return cls(np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if rows else np.zeros(0, np.int64),
-                   np.array([x for b, _ in rows for x in (b or [0])], np.int64),
-                   np.array([x for _, w in rows for x in (w or [0.0])], np.float64))
+    def of(cls, rows: pa.Array) -> "Sparse":
+        """From an array of struct<bucket, weight>, no list empty or null."""
+        bucket, weight = rows.field("bucket"), rows.field("weight")
+        starts = bucket.offsets.to_numpy()
+        return cls((starts[:-1] - starts[0]).astype(np.int64), bucket.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy())
 
     def rows(self, keep: np.ndarray) -> "Sparse":
+        """The rows where ``keep`` is true."""
         sizes = np.diff(np.append(self.start, len(self.bucket)))
-        at = np.repeat(keep.nonzero()[0] if keep.dtype == bool else keep, 1)
-        pick = np.concatenate([np.arange(self.start[i], self.start[i] + sizes[i]) for i in at]) if len(at) else np.zeros(0, np.int64)
-        return Sparse(np.concatenate(([0], np.cumsum(sizes[at])[:-1])).astype(np.int64) if len(at) else np.zeros(0, np.int64),
-                      self.bucket[pick], self.weight[pick])
+        entries = np.repeat(keep, sizes)
+        return Sparse(np.concatenate(([0], np.cumsum(sizes[keep])))[:keep.sum()].astype(np.int64), self.bucket[entries], self.weight[entries])
+
+    def plus(self, other: "Sparse") -> "Sparse":
+        return Sparse(np.concatenate((self.start, other.start + len(self.bucket))), np.concatenate((self.bucket, other.bucket)),
+                      np.concatenate((self.weight, other.weight)))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.weight * weights[self.bucket], self.start) if len(self.start) else np.zeros(0)
@@ -129,30 +137,9 @@ class Views:
     shares: tuple[float, float]
 
 
-def co_train(text: Sparse, meta: Sparse, label: np.ndarray, fold: np.ndarray, rounds: int = 3,
-             confident: float = 0.9, most: float = 0.1) -> Views:
-    """``label`` is 0, 1 or -1 (unlabelled); rows with ``fold`` true only serve
-    to calibrate. In each round a view hands over at most ``most`` of the pool
-    per class, the surest first."""
-    taught = {"text": np.where(fold, -1, label).astype(float), "meta": np.where(fold, -1, label).astype(float)}
-    pool = np.flatnonzero((label < 0) & ~fold)
-    data, size = {"text": text, "meta": meta}, {"text": TEXT_BUCKETS, "meta": META_BUCKETS}
-    weights: dict[str, np.ndarray] = {}
-    for r in range(rounds + 1):
-        for view, x in data.items():
-            have = np.flatnonzero(taught[view] >= 0)
-            weights[view] = fit(x.rows(have), taught[view][have], size[view])
-        if r == rounds or not len(pool):
-            break
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(data[view].rows(pool).dot(weights[view]) + weights[view][-1])
-            for cls, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:max(1, int(most * len(pool)))]
-                best = best[(sure[best] >= confident) & (taught[other][pool[best]] < 0)]
-                taught[other][pool[best]] = cls
-    known = np.flatnonzero(fold & (label >= 0))
-    y = label[known].astype(float)
-    scores = {v: x.rows(known).dot(weights[v]) + weights[v][-1] for v, x in data.items()}
+def combine(weights: dict[str, np.ndarray], data: dict[str, Sparse], y: np.ndarray) -> Views:
+    """Views calibrated on labelled rows that the weights have not seen."""
+    scores = {v: x.dot(weights[v]) + weights[v][-1] for v, x in data.items()}
     curves = {v: calibrate(scores[v], y) for v in data}
     gains = []
     for v in data:      # bits of a label that the calibrated view explains
@@ -164,13 +151,25 @@ def co_train(text: Sparse, meta: Sparse, label: np.ndarray, fold: np.ndarray, ro
                  (gains[0] / sum(gains), gains[1] / sum(gains)))
 
 
+def surest(counts: dict[int, int], confident: float, most: float) -> tuple[int, int]:
+    """From which bin of log odds on a view is sure of class 1: the lowest one
+    of at least ``confident`` from which up there is no more than the share
+    ``most`` of all rows, or else the highest; and how many rows these are."""
+    total, have, at = sum(counts.values()), 0, BINS * LAST + 1
+    for b in sorted(counts, reverse=True):
+        if b < BINS * math.log(confident / (1 - confident)) or have and have + counts[b] > most * total:
+            break
+        at, have = b, have + counts[b]
+    return at, have
+
+
 def _text_row(text: bytes | None) -> tuple[list[int], list[float]]:
     count: Counter = Counter()
     for word, n in Counter(_words(text or b"")).items():
         for b in _word_buckets(word):
             count[b] += n
     total = sum(count.values())
-    return list(count), [n / total for n in count.values()]
+    return (list(count), [n / total for n in count.values()]) if total else ([0], [0.0])
 
 
 def _meta_row(features: list[str]) -> tuple[list[int], list[float]]:
@@ -181,37 +180,139 @@ _ROW = "struct<bucket:array<int>,weight:array<double>>"
 _ARROW_ROW = pa.struct([("bucket", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64()))])
 
 
+def _sparse_rows(rows: list[tuple[list[int], list[float]]]) -> pa.Array:
+    return pa.array([dict(zip(("bucket", "weight"), r)) for r in rows], _ARROW_ROW)
+
+
 def _featurise(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pa.array([dict(zip(("bucket", "weight"), _text_row(t))) for t in utf8(texts)], _ARROW_ROW)
+        yield _sparse_rows([_text_row(t) for t in utf8(texts)])
+
+
+def _log_odds(text: np.ndarray, meta: np.ndarray, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What weights of both views say of (text, metadata strings), uncalibrated."""
+    weights, memory = text.tolist(), {}
+    for texts, metas in batches:
+        of_text, of_meta = [], []
+        for raw, strings in zip(utf8(texts), metas.to_pylist()):
+            total = n = 0
+            for word in _words(raw or b""):
+                if (value := memory.get(word)) is None:
+                    a, b = _word_buckets(word)
+                    if len(memory) > 500_000:
+                        memory.clear()
+                    value = memory[word] = weights[a] + weights[b]
+                total += value
+                n += 2
+            of_text.append((total / n if n else 0.0) + weights[-1])
+            bucket, share = _meta_row(strings)
+            of_meta.append(float(meta[bucket] @ np.array(share)) + meta[-1])
+        yield np.array(of_text), np.array(of_meta)
+
+
+def _bin(log_odds: str) -> Column:
+    return F.floor(F.least(F.greatest(F.col(log_odds), F.lit(-LAST)), F.lit(LAST)) * BINS).cast("int")
+
+
+class _Learning:
+    """The documents that views learn from: one row for each id with a text, of
+    several the one whose text has the smallest hash."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text: str, source: str | None, lang: str | None, label: str):
+        self.rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"),
+                                F.array(*meta_features(text, source, lang)).alias("meta")).where("key is not null and text is not null") \
+            .withColumn("hash", F.xxhash64("text"))
+        known = labels.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")) \
+            .where("key is not null and label in (0, 1)").groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        self.labelled = stage(self.rows.select("key").join(known.where("label = other").select("key", "label"), "key").distinct(), "quality-labels")
+
+    @staticmethod
+    def draw(purpose: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(purpose), "key"), F.lit(1 << 30)) / F.lit(1 << 30)
+
+    def sample(self, keys: DataFrame) -> tuple[pa.Table, dict[str, Sparse]]:
+        """The columns of ``keys`` (one row an id, some thousands) and both views' features."""
+        others = [c for c in keys.columns if c != "key"]
+        one = join_small(self.rows, keys, "key").groupBy("key", *others).agg(F.min(F.struct("hash", "meta", "text")).alias("row"))
+        got = one.select("key", *others, "row.meta", F.xxhash64(F.lit("fold"), "key").alias("fold"),
+                         F.arrow_udf(_featurise, _ROW)("row.text").alias("text")).orderBy("fold", "key").toArrow().combine_chunks()
+        whole = lambda c: pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+        return got, {"text": Sparse.of(whole(got["text"])), "meta": Sparse.of(_sparse_rows([_meta_row(m) for m in got["meta"].to_pylist()]))}
+
+    def pool(self, weights: dict[str, np.ndarray]) -> DataFrame:
+        """Bins (``text``, ``meta``) of every unlabelled document's log odds."""
+        shipped = self.rows.sparkSession.sparkContext.broadcast(weights)
+        kind = pa.struct([("text", pa.float64()), ("meta", pa.float64())])
+
+        def say(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            w = shipped.value
+            for both in _log_odds(w["text"], w["meta"], batches):
+                yield pa.StructArray.from_arrays([pa.array(x) for x in both], fields=list(kind))
+
+        say.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+        said = self.rows.select("key", "hash", F.arrow_udf(say, "struct<text:double,meta:double>")("text", "meta").alias("said"))
+        bins = said.select("key", F.struct("hash", _bin("said.text").alias("text"), _bin("said.meta").alias("meta")).alias("bins"))
+        one = bins.groupBy("key").agg(F.min("bins").alias("bins")).join(self.labelled.select("key"), "key", "left_anti")
+        return stage(one.select("key", "bins.text", "bins.meta"), "quality-pool")
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str | None = "source",
-          lang: str | None = "lang", label: str = "quality", max_labelled: int = 4000, max_pool: int = 4000, **training) -> Views | None:
-    """Views fitted on about ``max_labelled`` labelled and ``max_pool`` other
-    documents, chosen by hash of the id; a quarter of the labelled ones only
-    calibrates. Only their bucketed features reach the driver. None without
-    labels of both classes."""
+          lang: str | None = "lang", label: str = "quality", max_labelled: int = 4000, max_taught: int = 4000,
+          rounds: int = 2, confident: float = 0.9, most: float = 0.1) -> Views | None:
+    """Views fitted by co-training on ``docs`` and their ``labels`` (0 or 1).
+
+    Weights are fitted on about ``max_labelled`` labelled documents, half of
+    either class (all of a class that has fewer), drawn by hash of the id; a
+    quarter of each class only calibrates. In every round all unlabelled
+    documents are scored; of the ``most`` surest of either class (whole bins of
+    the histogram of their log odds, ``confident`` at least) about
+    ``max_taught`` / 2, drawn by hash, teach the other view. Only the features
+    of drawn documents and the histograms reach the driver.
+
+    Rows without an id or a text teach nothing; repeated ids count once (see
+    _Learning); ids with both labels count as unlabelled. None if no document
+    has a label of one of the classes, as with empty tables.
+    """
     need(docs, id_col, text, *[c for c in (source, lang) if c])
     need(labels, id_col, label)
-    known = labels.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")) \
-        .where("key is not null and label in (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
-    n_known, n_docs = known.count(), docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "key"), F.lit(1 << 30)) / F.lit(1 << 30)
-    features = F.transform(F.array(*meta_features(text, source, lang)), lambda f: f)
-    rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), features.alias("meta"))
-    threshold = max(max_labelled / max(1, n_known), max_pool / max(1, n_docs))
-    drawn = rows.where("key is not null and text is not null").withColumn("draw", draw).where(F.col("draw") < threshold)
-    sample = drawn.join(known, "key", "left").where(
-        F.when(F.col("label").isNull(), F.col("draw") < max_pool / max(1, n_docs)).otherwise(F.col("draw") < max_labelled / max(1, n_known)))
-    got = sample.select("key", F.coalesce("label", F.lit(-1)).alias("label"), "meta",
-                        (F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(4)) == 0).alias("fold"),
-                        F.arrow_udf(_featurise, _ROW)("text").alias("text")).orderBy("key").toArrow().to_pydict()
-    label_of = np.array(got["label"], np.int64)
-    if not {0, 1} <= set(label_of[label_of >= 0].tolist()):
+    given = _Learning(docs, labels, id_col, text, source, lang, label)
+    n = {r.label: r["count"] for r in given.labelled.groupBy("label").count().collect()}
+    if len(n) < 2:
         return None
-    return co_train(Sparse.of([(r["bucket"], r["weight"]) for r in got["text"]]), Sparse.of([_meta_row(m) for m in got["meta"]]),
-                    label_of, np.array(got["fold"], bool) & (label_of >= 0), **training)
+    rate = F.when(F.col("label") == 1, max_labelled / 2 / n[1]).otherwise(max_labelled / 2 / n[0])
+    got, data = given.sample(given.labelled.where(given.draw("labelled") < rate))
+    y = got["label"].to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
+        raise ValueError(f"max_labelled={max_labelled} draws no document of one class")
+    aside = np.zeros(len(y), bool)
+    for c in (0, 1):       # rows come in the order of another hash
+        of_class = np.flatnonzero(y == c)
+        aside[of_class[3::4]] = True
+    taught = {v: (x.rows(~aside), y[~aside]) for v, x in data.items()}
+    buckets, weights = {"text": TEXT_BUCKETS, "meta": META_BUCKETS}, {}
+    for r in range(rounds + 1):
+        weights = {v: fit(x, goal, buckets[v]) for v, (x, goal) in taught.items()}
+        if r == rounds:
+            break
+        pool = given.pool(weights)
+        bins = pool.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("bin")) for v in data])).alias("x"))
+        counts: dict[str, dict[int, int]] = {v: {} for v in data}
+        for row in bins.groupBy("x.view", "x.bin").count().collect():      # at most 2 * (2 * BINS * LAST + 1) rows
+            counts[row.view][row.bin] = row["count"]
+        labels_of = {}
+        for v in data:
+            high, n_high = surest(counts[v], confident, most)
+            low, n_low = surest({-1 - b: c for b, c in counts[v].items()}, confident, most)      # log odds of class 0
+            share = lambda k: F.lit(max_taught / 2 / max(1, k))
+            labels_of[v] = F.when((F.col(v) >= high) & (given.draw(f"{v} {r}") < share(n_high)), 1) \
+                .when((-1 - F.col(v) >= low) & (given.draw(f"{v} {r}") < share(n_low)), 0)
+        drawn = pool.select("key", *[c.alias(f"by_{v}") for v, c in labels_of.items()]).where("by_text is not null or by_meta is not null")
+        got, found = given.sample(drawn)
+        for v, other in (("text", "meta"), ("meta", "text")):
+            told = got[f"by_{other}"].to_pandas().to_numpy(float, na_value=np.nan) if len(got) else np.zeros(0)
+            use = ~np.isnan(told)
+            taught[v] = data[v].rows(~aside).plus(found[v].rows(use)), np.concatenate((y[~aside], told[use]))
+    return combine(weights, {v: x.rows(aside) for v, x in data.items()}, y[aside])
 
 
 def score(docs: DataFrame, views: Views | None, *, text: str = "text", source: str | None = "source", lang: str | None = "lang",
@@ -238,27 +339,11 @@ def score(docs: DataFrame, views: Views | None, *, text: str = "text", source: s
         shipped = docs.sparkSession.sparkContext.broadcast(views)
 
         def probabilities(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            v, memory = shipped.value, {}
-            weights = v.text.tolist()
-            for texts, metas in batches:
-                rows = []
-                for raw, meta in zip(utf8(texts), metas.to_pylist()):
-                    total = n = 0
-                    for word in _words(raw or b""):
-                        if (value := memory.get(word)) is None:
-                            a, b = _word_buckets(word)
-                            if len(memory) > 500_000:
-                                memory.clear()
-                            value = memory[word] = weights[a] + weights[b]
-                        total += value
-                        n += 2
-                    t = (total / n if n else 0.0) + weights[-1]
-                    bucket, share = _meta_row(meta)
-                    m = float(v.meta[bucket] @ np.array(share)) + v.meta[-1]
-                    t, m = (x * c[0] + c[1] for x, c in ((t, v.text_curve), (m, v.meta_curve)))
-                    both = t * v.shares[0] + m * v.shares[1]
-                    rows.append(dict(zip(("p_text", "p_meta", "score"), (float(_sigmoid(x)) for x in (t, m, both)))))
-                yield pa.array(rows, pa.struct([(x, pa.float64()) for x in ("p_text", "p_meta", "score")]))
+            v = shipped.value
+            for t, m in _log_odds(v.text, v.meta, batches):
+                t, m = (x * c[0] + c[1] for x, c in ((t, v.text_curve), (m, v.meta_curve)))
+                both = t * v.shares[0] + m * v.shares[1]
+                yield pa.StructArray.from_arrays([pa.array(_sigmoid(x)) for x in (t, m, both)], ["p_text", "p_meta", "score"])
 
         probabilities.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
         scored = docs.withColumn(held, F.arrow_udf(probabilities, kind)(body, F.array(*meta_features(text, source, lang))))
