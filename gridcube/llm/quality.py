@@ -137,8 +137,9 @@ class Views:
     shares: tuple[float, float]
 
 
-def combine(weights: dict[str, np.ndarray], data: dict[str, Sparse], y: np.ndarray) -> Views:
-    """Views calibrated on labelled rows that the weights have not seen."""
+def combine(weights: dict[str, np.ndarray], data: dict[str, Sparse], y: np.ndarray, prior: float = 0.0) -> Views:
+    """Views calibrated on labelled rows that the weights have not seen;
+    ``prior`` is by how much log odds are higher where documents are scored."""
     scores = {v: x.dot(weights[v]) + weights[v][-1] for v, x in data.items()}
     curves = {v: calibrate(scores[v], y) for v in data}
     gains = []
@@ -147,10 +148,21 @@ def combine(weights: dict[str, np.ndarray], data: dict[str, Sparse], y: np.ndarr
         base = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         entropy = -(base * math.log(base) + (1 - base) * math.log(1 - base))
         gains.append(max(1e-3, entropy + float(np.mean(np.where(y > 0.5, np.log(p), np.log(1 - p)))) if len(y) else 1e-3))
+    curves = {v: (slope, constant + prior) for v, (slope, constant) in curves.items()}
     return Views(weights["text"], weights["meta"], curves["text"], curves["meta"],
                  (gains[0] / sum(gains), gains[1] / sum(gains)))
 
 
+def frank(weights: np.ndarray, x: Sparse, y: np.ndarray) -> np.ndarray:
+    """Weights scaled to what they are worth on labelled rows they have not
+    seen, both classes counting the same, so that a view that knows nothing is
+    sure of nothing."""
+    slope, constant = calibrate(x.dot(weights) + weights[-1], y)
+    out = weights * slope
+    out[-1] += constant - math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    return out
+
+
 def surest(counts: dict[int, int], confident: float, most: float) -> tuple[int, int]:
     """From which bin of log odds on a view is sure of class 1: the lowest one
     of at least ``confident`` from which up there is no more than the share
@@ -265,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
     either class (all of a class that has fewer), drawn by hash of the id; a
     quarter of each class only calibrates. In every round all unlabelled
     documents are scored; of the ``most`` surest of either class (whole bins of
-    the histogram of their log odds, ``confident`` at least) about
+    the histogram of their calibrated log odds, ``confident`` at least) about
     ``max_taught`` / 2, drawn by hash, teach the other view. Only the features
     of drawn documents and the histograms reach the driver.
 
@@ -294,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
         weights = {v: fit(x, goal, buckets[v]) for v, (x, goal) in taught.items()}
         if r == rounds:
             break
-        pool = given.pool(weights)
+        pool = given.pool({v: frank(weights[v], x.rows(aside), y[aside]) for v, x in data.items()})
         bins = pool.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("bin")) for v in data])).alias("x"))
         counts: dict[str, dict[int, int]] = {v: {} for v in data}
         for row in bins.groupBy("x.view", "x.bin").count().collect():      # at most 2 * (2 * BINS * LAST + 1) rows
@@ -312,7 +324,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: s
             told = got[f"by_{other}"].to_pandas().to_numpy(float, na_value=np.nan) if len(got) else np.zeros(0)
             use = ~np.isnan(told)
             taught[v] = data[v].rows(~aside).plus(found[v].rows(use)), np.concatenate((y[~aside], told[use]))
-    return combine(weights, {v: x.rows(aside) for v, x in data.items()}, y[aside])
+    prior = math.log(n[1] / n[0]) - math.log(y.sum() / (len(y) - y.sum()))     # classes were drawn alike
+    return combine(weights, {v: x.rows(aside) for v, x in data.items()}, y[aside], prior)
 
 
 def score(docs: DataFrame, views: Views | None, *, text: str = "text", source: str | None = "source", lang: str | None = "lang",
