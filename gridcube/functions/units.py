@@ -36,56 +36,41 @@ STANDARD_UNIT_CONVERSIONS: Mapping[tuple[str, str], tuple[float, float] | None]
     ("watt/m^2", "mm/day"): (1000 * 60 * 60 * 24 / 2453e6, 0),
 })
 
-# A converter maps a Column to a Column; custom tables may hold these directly.
-UnitConverter = Callable[[Column], Column]
-Conversion = tuple[float, float] | UnitConverter | None
-
-
-def linear_converter(offset: float, scale: float, float32: bool = False) -> UnitConverter:
-    """``x * scale + offset``; with ``float32`` the literals are single precision
-    so a FloatType column stays FloatType (numpy keeps float32 the same way)."""
-    s, o = F.lit(scale), F.lit(offset)
-    if float32:
-        s, o = s.cast("float"), o.cast("float")
-    return lambda c: c * s + o
-
-
-def null_converter(c: Column) -> Column:
-    return c
-
-
-def converter_for(pair: tuple[str, str], conversions: Mapping, float32: bool = False) -> UnitConverter:
-    conv = conversions[pair]
-    if conv is None:
-        return null_converter
-    if callable(conv):
-        return conv
-    scale, offset = conv
-    return linear_converter(offset, scale, float32)
+# A conversion: an affine (scale, offset), None for another spelling of the
+# same unit, or (in own tables) any function of a Column.
+Conversion = tuple[float, float] | None | Callable[[Column], Column]
 
 
 class UnitError(Exception):
     pass
 
 
+def apply_conversion(col: Column, conversion: Conversion, float32: bool = False) -> Column:
+    """``col`` in the new unit; with ``float32`` the constants are single
+    precision, so that a FloatType column keeps its type."""
+    if conversion is None:
+        return col
+    if callable(conversion):
+        return conversion(col)
+    scale, offset = (F.lit(x).cast("float") if float32 else F.lit(x) for x in conversion)
+    return col * scale + offset
+
+
 def convert_units_col(col: Column, original: str | None, new: str | None,
                       conversions: Mapping = STANDARD_UNIT_CONVERSIONS,
                       float32: bool = False) -> tuple[Column, str | None]:
-    """Return (converted column, resulting units attr).
-
-    Same units: unchanged. Unknown original units: error. Target None: values
-    kept, ``units`` attr dropped. Unknown pair: KeyError.
-    """
-    if new == original:
-        return col, original
+    """(column in the new units, its ``units`` attr). Values stay where the
+    units are equal or the new ones are None. Unknown original units are a
+    ``UnitError``, a pair that the table lacks is a KeyError."""
+    if new is None or new == original:
+        return col, new
     if original is None:
-        raise UnitError(f"Can't convert to {new} because I don't know the original units")
-    if new is None:
-        return col, None
-    pair = (original, new)
-    if pair not in conversions:
-        raise KeyError(f"Don't know how to convert from {original} to {new}")
-    return converter_for(pair, conversions, float32)(col), new
+        raise UnitError(f"values without units cannot be converted to {new}")
+    try:
+        conversion = conversions[original, new]
+    except KeyError:
+        raise KeyError(f"no conversion from {original} to {new}") from None
+    return apply_conversion(col, conversion, float32), new
 
 
 def unit_table(spark: SparkSession,

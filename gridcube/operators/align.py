@@ -63,9 +63,8 @@ def raise_on_region_errors(violations: DataFrame) -> None:
     if v:
         r = v[0]
         if r["error"] == "KeyError":
-            raise KeyError(f"Not all values of coordinate '{r['dim']}' in the new array were "
-                           f"found in the original store ({r['label']} from {r[0]})")
-        raise RegionError(f"The region of coordinate '{r['dim']}' for {r[0]} is not contiguous")
+            raise KeyError(f"{r[0]} has {r['dim']} = {r['label']}, which is not on the stored axis")
+        raise RegionError(f"{r[0]} leaves gaps on the stored axis of {r['dim']}")
 
 
 def align_to(cube: GridCube, other: GridCube, dim: str = "S", strict: bool = False) -> GridCube:

@@ -157,10 +157,10 @@ def drop_non_std(cube: GridCube, standard_attrs: Mapping[str, Mapping[str, str]]
     bare = set(bare_dims)
     keep_vars = tuple(v for v in cube.data_vars if v in standard_attrs)
     if not keep_vars:
-        raise SchemaError(f"None of the data variables were found in standard_attrs. {original}")
+        raise SchemaError(f"no data variable of {original} is declared")
     non_std = [d for d in cube.dims if d not in bare and d not in standard_attrs]
     if non_std:
-        raise SchemaError(f"non standard dims {tuple(non_std)} in dataset")
+        raise SchemaError(f"dimensions {non_std} are neither declared nor bare")
     out = cube
     # dimension coordinates that are not declared are dropped: the dim keeps positions
     for d in cube.dims:

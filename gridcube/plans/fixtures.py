@@ -57,8 +57,8 @@ def cube_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RAW_ATTRS = {
-    "tas": {"units": "K", "long_name": "2 metre temperature", "GRIB_paramId": "167"},
-    "prate": {"units": "kg m-2 s-1", "long_name": "Precipitation rate"},
+    "tas": {"units": "K", "comment": "250 plus the mean quantity", "GRIB_level": "surface"},
+    "prate": {"units": "kg m-2 s-1", "comment": "largest discount a day"},
     "latitude": {"units": "degrees_north"},
     "longitude": {"units": "degrees_east"},
     "init_time": {},
@@ -66,11 +66,10 @@ RAW_ATTRS = {
     "step": {},
 }
 RAW_DS_ATTRS = {
-    "GRIB_centre": "cwao",
-    "GRIB_edition": "2",
-    "Conventions": "CF-1.7",
-    "institution": "Canadian Meteorological Service",
-    "history": "decoded from fixture tables",
+    "GRIB_packing": "simple",
+    "Conventions": "none",
+    "title": "orders and their lines as forecasts",
+    "history": "aggregated from lineitem",
 }
 
 
@@ -101,18 +100,16 @@ def raw_cube(spark: SparkSession, sf_dir: str) -> GridCube:
 
 # The harmonisation config of the fixture ensemble.
 DA_ATTRS = {
-    "S": {"long_name": "Forecast start time", "standard_name": "forecast_reference_time"},
-    "L": {"long_name": "Lead", "standard_name": "forecast_period"},
-    "M": {"long_name": "Ensemble member", "standard_name": "realization"},
-    "Y": {"long_name": "Latitude", "standard_name": "latitude", "units": "degree_north"},
-    "X": {"long_name": "Longitude", "standard_name": "longitude", "units": "degree_east"},
-    "tas": {"long_name": "Near-surface air temperature", "standard_name": "air_temperature",
-            "units": "degree_Celsius"},
-    "prcp": {"long_name": "Total precipitation", "standard_name": "lwe_precipitation_rate",
-             "units": "mm/day"},
+    "S": {"axis": "T", "comment": "month of the order"},
+    "L": {"comment": "months after the start, by line number"},
+    "M": {"axis": "E", "comment": "supplier class"},
+    "Y": {"axis": "Y", "units": "degree_north"},
+    "X": {"axis": "X", "units": "degree_east"},
+    "tas": {"units": "degree_Celsius", "comment": "from quantities"},
+    "prcp": {"units": "mm/day", "comment": "from discounts"},
 }
 ENCODINGS = {"S": {"units": "hours since 1960-01-01", "calendar": "standard", "dtype": "int32"}}
-DS_ATTRS = {"Conventions": "CF-1.13"}
+DS_ATTRS = {"Conventions": "CF-1.11", "title": "harmonised orders"}
 
 
 def ensemble_config(y_increasing: bool | None = None, lead_is_month: bool = True):

@@ -173,7 +173,7 @@ def update(spark: SparkSession, descriptor: LS.FileSetDescriptor, store: str, li
         return initialized
     last_old = stored.agg(F.max(TIME)).first()[0]
     if last_old is not None and bounds["lo"] < last_old:
-        raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
+        raise LateStartError("a start prior to the newest stored one cannot be added")
     chosen = LS.path_lookup(files, todo)
     # every file's M/P/L label must already be on the store's axes
     labels = chosen.select("path", *[F.col(c).alias(FILE_DIM_NAMES[c]) for c in ("m", "p", "l")
@@ -320,7 +320,7 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: T.StructType, st
         late = labelled.filter(F.col("status") == "late")
         if stored_max is not None and late.limit(1).count() > 0:
             if on_late == "raise":
-                raise LateStartError("Inserting prior to an existing time slice is not yet implemented.")
+                raise LateStartError("a start prior to the newest stored one cannot be added")
             late.drop("status").write.mode("overwrite").parquet(f"{late_dir or f'{store}_late'}/batch={batch_id}")
         ok = labelled.filter(F.col("status") == "accepted").drop("status")
         _merge_into(spark, store, ok if known is None else ok.unionByName(known), dims, data_vars, time_col,
@@ -371,7 +371,7 @@ class FileLoader:
         late = keep_small(status, status.where("status = 'late'").drop("status"))
         if late.limit(1).count():
             if self.on_late == "raise":
-                raise LateStartError("A start before the newest stored one cannot be added.")
+                raise LateStartError("a start prior to the newest stored one cannot be added")
             late.withColumnRenamed("t", TIME).write.mode("overwrite").parquet(f"{self.late_dir}/batch={batch}")
         chosen = keep_small(status, status.where("status IS NULL").drop("status"))
         if not chosen.limit(1).count():

@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -7,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from gridcube.model import GridCube  # noqa: E402
 from gridcube.session import get_spark  # noqa: E402
@@ -22,19 +22,20 @@ def spark() -> SparkSession:
 
 @pytest.fixture
 def make_cube(spark):
-    """Factory for a small synthetic forecast cube (S, L, Y, X) with one data
-    variable valued 0, 1, 2, ... in (S, L, Y, X) row-major order."""
-    def _make(varname="prcp", units="mm/day", n_s=3, n_l=4, ys=(0.0, 1.0), xs=(10.0, 11.0)):
-        rows = []
-        v = 0.0
-        for i in range(n_s):
-            s = dt.datetime(1980 + (i // 12), i % 12 + 1, 1)
-            for l in range(n_l):
-                for y in ys:
-                    for x in xs:
-                        rows.append((s, l, float(y), float(x), v))
-                        v += 1.0
-        df = spark.createDataFrame(rows, f"S timestamp_ntz, L int, Y double, X double, {varname} double")
-        attrs = {} if units is None else {varname: {"units": units}}
-        return GridCube(cells=df, dims=("S", "L", "Y", "X"), data_vars=(varname,), attrs=attrs)
-    return _make
+    """Builds whole cubes (S, L, Y, X) on Spark. Each cell is one id of a
+    range: the id is its value, and its digits, in the mixed base of the axis
+    sizes, pick its labels. Starts are the months from January 1991 on."""
+    def build(var="prcp", units="mm/day", *, starts=3, leads=4, lats=(-5.0, 5.0), lons=(100.0, 160.0)):
+        def digit(below, size):
+            return F.floor(F.col("id") / below).cast("int") % size
+
+        def label(values, below):
+            return F.get(F.array(*[F.lit(float(v)) for v in values]), digit(below, len(values)))
+
+        rows, row = len(lats) * len(lons), len(lons)
+        month = F.make_interval(months=digit(rows * leads, starts))
+        cells = spark.range(starts * leads * rows).select(
+            (F.lit("1991-01-01").cast("timestamp_ntz") + month).alias("S"), digit(rows, leads).alias("L"),
+            label(lats, row).alias("Y"), label(lons, 1).alias("X"), F.col("id").cast("double").alias(var))
+        return GridCube(cells, ("S", "L", "Y", "X"), (var,), attrs={var: {"units": units}} if units else {})
+    return build
