@@ -77,6 +77,19 @@ class Coord:
             raise ValueError("a Coord needs exactly one of expr or table")
 
 
+@dataclass(frozen=True)
+class Packed:
+    """Cells held as chunks (``sources.packed``): one row per key of the dims
+    outside ``grid``, each variable an array laid out by the index."""
+    frame: DataFrame
+    grid: tuple[str, str]
+    types: Mapping[str, str]
+
+
+# Fields that say nothing about the cells: chunks stay when they change.
+_BESIDE_CELLS = {"coords", "attrs", "ds_attrs", "encodings", "packed"}
+
+
 @dataclass(frozen=True)
 class GridCube:
     cells: DataFrame
@@ -93,6 +106,8 @@ class GridCube:
     # labels of a dimension in stored order, where they are known without
     # reading ``cells`` (from the store, or declared); see ``with_index``
     index: Mapping[str, tuple] = field(default_factory=dict)
+    # the same cells as chunks, where they come from a packed store
+    packed: Packed | None = None
 
     # ------------------------------------------------------------------ basics
     def replace(self, **changes) -> "GridCube":
@@ -105,6 +120,8 @@ class GridCube:
             elif "descending" in changes:
                 turned = self.descending ^ frozenset(changes["descending"])
                 changes["index"] = {d: v[::-1] if d in turned else v for d, v in self.index.items()}
+        if not set(changes) <= _BESIDE_CELLS:
+            changes.setdefault("packed", None)
         return dataclasses.replace(self, **changes)
 
     def with_values(self, cells: DataFrame, **changes) -> "GridCube":

@@ -8,11 +8,14 @@ a position table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcube.model import Coord, GridCube
 from gridcube.plans.strategy import MAX_BROADCAST_ROWS, bounded
+from gridcube.sources.packed import keep
 
 # More kept labels than this become a semi join with the label table
 # instead of an IN list in the plan.
@@ -41,18 +44,18 @@ def _between(axis_labels: tuple, kept: tuple) -> bool:
     return len(kept) > 1 and (all(a < b for a, b in pairs) or all(a > b for a, b in pairs))
 
 
-def _indexed(cube: GridCube, dim: str, sel) -> tuple[DataFrame, tuple]:
-    """Cells and labels that ``sel`` keeps, from the index alone."""
+def _indexed(cube: GridCube, dim: str, sel) -> tuple[Callable[[DataFrame], DataFrame], tuple]:
+    """The filter of ``sel`` and the labels it keeps, from the index alone."""
     labels = cube.index[dim]
     kept = tuple(labels[i] for i in _positions(len(labels), sel))
     if isinstance(sel, slice) and (sel.step or 1) == 1 and _between(labels, kept):
         lo, hi = sorted((kept[0], kept[-1]))
-        return cube.cells.filter(F.col(dim).between(lo, hi)), kept
+        return lambda df: df.filter(F.col(dim).between(lo, hi)), kept
     if len(kept) <= MAX_IN_LIST:
-        return cube.cells.filter(F.col(dim).isin(list(kept))), kept
+        return lambda df: df.filter(F.col(dim).isin(list(kept))), kept
     few = cube.replace(index={dim: kept}).axis(dim).select(dim)
     small, fits = bounded(few, MAX_BROADCAST_ROWS)
-    return cube.cells.join(F.broadcast(small) if fits else small, dim, "left_semi"), kept
+    return lambda df: df.join(F.broadcast(small) if fits else small, dim, "left_semi"), kept
 
 
 def _without(cube: GridCube, cells: DataFrame, dim: str, label, index) -> GridCube:
@@ -66,7 +69,8 @@ def isel(cube: GridCube, **indexers) -> GridCube:
     """Select by position: an int (the dim becomes a scalar coordinate), a
     slice (``start:stop:step``, negative steps reverse the stored order) or
     a list of positions. Dimensions of the index start no job, and keep the
-    labels that they were selected by; the index of the others stays."""
+    labels that they were selected by; the index of the others stays. Slices
+    and lists leave the chunks of a packed cube packed."""
     out = cube
     # positions refer to the axes of the cube as given (all indexers apply
     # at once, not one after another): one pass collects them all
@@ -75,11 +79,13 @@ def isel(cube: GridCube, **indexers) -> GridCube:
     for dim, sel in indexers.items():
         turned = out.descending ^ {dim} if isinstance(sel, slice) and (sel.step or 1) < 0 else out.descending
         if dim in cube.index:
-            cells, labels = _indexed(out, dim, sel)
-            if isinstance(sel, int):
-                out = _without(out, cells, dim, labels[0], {d: v for d, v in out.index.items() if d != dim})
+            rows, labels = _indexed(out, dim, sel)
+            if not isinstance(sel, int) and out.packed is not None:
+                out = keep(out, dim, rows, labels, descending=turned)
+            elif isinstance(sel, int):
+                out = _without(out, rows(out.cells), dim, labels[0], {d: v for d, v in out.index.items() if d != dim})
             else:
-                out = out.replace(cells=cells, descending=turned, index={**out.index, dim: labels})
+                out = out.replace(cells=rows(out.cells), descending=turned, index={**out.index, dim: labels})
             continue
         axis = axes[dim]
         n = axis.count()
@@ -118,7 +124,14 @@ def sel(cube: GridCube, check: bool = True, **indexers) -> GridCube:
     """Select by label: exact value, list of values (with ``check``, a label
     that the dimension lacks is a KeyError) or inclusive ``slice(lo, hi)``.
     An exact value keeps the dimension, with one label. Dimensions of the
-    index are checked without reading cells, and keep the stored order."""
+    index are checked without reading cells, and keep the stored order. A
+    packed cube stays packed."""
+    if cube.packed is not None and set(indexers) <= set(cube.index):
+        for dim, v in indexers.items():
+            one = sel(cube.replace(packed=None), check, **{dim: v})
+            kept = one.index[dim]
+            cube = keep(cube, dim, _indexed(cube, dim, [cube.index[dim].index(x) for x in kept])[0], kept)
+        return cube
     cells, index = cube.cells, dict(cube.index)
     for dim, v in indexers.items():
         c = F.col(dim)

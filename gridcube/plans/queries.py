@@ -404,6 +404,15 @@ def q_error_rate_gate(spark, sf_dir):
     return QL.load_outcomes(outcomes, by=["day"])
 
 
+@query("running_error_rate", """
+SELECT event_id, row_number() OVER (ORDER BY event_id) AS n_done,
+       count(*) FILTER (WHERE event_type = 'error') OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n_failed
+FROM events""")
+def q_running_error_rate(spark, sf_dir):
+    failed = F.when(F.col("event_type") == "error", F.lit("failed"))
+    return QL.running_failures(FX.table(spark, sf_dir, "events").select("event_id", failed.alias("error")), ["event_id"])
+
+
 @query("cube_shape", with_views("""
 SELECT 'L' AS dim, count(DISTINCT L) AS size FROM cube UNION ALL
 SELECT 'M', count(DISTINCT M) FROM cube UNION ALL SELECT 'S', count(DISTINCT S) FROM cube UNION ALL
@@ -530,9 +539,7 @@ def q_concat_slices(spark, sf_dir):
     assigned = _assigned(spark, sf_dir)
     t0 = assigned.agg(F.min("init_time")).first()[0]
     first = assigned.filter(F.col("init_time") == F.lit(t0))
-    members = [r[0] for r in first.select("number").distinct().orderBy("number").collect()]
-    slices = [first.filter(F.col("number") == m) for m in members]
-    return IG.concat_slices(slices, ["init_time", "number", "step", "latitude", "longitude"]) \
+    return IG.concat_slices(first, ["init_time", "number", "step", "latitude", "longitude"]) \
         .select("init_time", "number", "step", "latitude", "longitude", "tas")
 
 
@@ -556,7 +563,7 @@ def q_snapshot_identical(spark, sf_dir):
     a = FX.standard_cube(spark, sf_dir)
     b = a.replace(cells=a.cells.withColumn("tas", F.col("tas") + F.when(
         F.col("S") == F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1.0)).otherwise(F.lit(0.0))))
-    return QL.snapshot_identical(a.cells, b.cells)
+    return QL.snapshot_identical(a.cells, b.cells, by="S")
 
 
 # ------------------------------------------------------------------ scalar functions (ops 52-62)
@@ -714,8 +721,11 @@ def q_decode_files(spark, sf_dir):
     schema = T.StructType([T.StructField("l_orderkey", T.LongType()),
                            T.StructField("l_linenumber", T.IntegerType()),
                            T.StructField("l_quantity", T.DoubleType())])
-    dec = DC.decode_files(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet",
-                          DC.parquet_decoder([f.name for f in schema.fields]), schema)
+    # a folder of files of 20,000 lines each, decoded file by file
+    folder = shared_dir(spark, "files", "decode_files")
+    lines = FX.table(spark, sf_dir, "lineitem").select(*[f.name for f in schema.fields])
+    lines.write.option("maxRecordsPerFile", 20_000).parquet(folder)
+    dec = DC.decode_files(spark, folder, DC.parquet_decoder([f.name for f in schema.fields]), schema)
     good = QL.error_rate_gate(dec)
     return good.select("l_orderkey", "l_linenumber", "l_quantity")
 
@@ -737,6 +747,21 @@ def q_write_cube(spark, sf_dir):
     return ST.read_cube(spark, root).cells
 
 
+@query("packed_slice", with_views(f"""
+SELECT S, M, L, Y, X, tas * {dbl(1)} + {dbl(-KELVIN)} AS tas, prate * {dbl(PRATE_SCALE)} + {dbl(0)} AS prate
+FROM cube WHERE S IN (SELECT S FROM s WHERE pos % 2 = 0) AND L IN (SELECT L FROM l WHERE pos IN (0, 2, 5))
+  AND Y IN (SELECT Y FROM y WHERE pos BETWEEN 1 AND 3) AND X >= 90""",
+    s=axis_sql("S"), l=axis_sql("L"), y=axis_sql("Y", desc=True)))
+def q_packed_slice(spark, sf_dir):
+    roots = [shared_dir(spark, "stores", "packed_slice") for _ in range(2)]
+    ST.write_cube(FX.standard_cube(spark, sf_dir), roots[0], layout="packed")
+    cube = ST.read_cube(spark, roots[0]).isel(S=slice(None, None, 2), L=[0, 2, 5], Y=slice(1, 4), X=slice(None, None, -1))
+    cube = H.convert_units(cube.sel(X=slice(90.0, None)), {"tas": {"units": "degree_Celsius"}, "prate": {"units": "mm/day"}})
+    assert cube.packed is not None
+    ST.write_cube(cube, roots[1], layout="packed")   # from chunks to chunks
+    return ST.read_cube(spark, roots[1]).cells
+
+
 @query("catalog_open", with_views(
     f"SELECT S, M, L, Y, X, prate * {dbl(PRATE_SCALE)} + {dbl(0)} AS prcp FROM cube"))
 def q_catalog_open(spark, sf_dir):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcube.model import Axes, Coord, GridCube
+from gridcube.model import Axes, Coord, GridCube, Packed
 from gridcube.plans.strategy import join_small, localize, mark_small
 from gridcube.sources.index import INDEX, AxisMismatch, dict_types, extended, labels_of, load_index, save_index
 
@@ -190,7 +190,12 @@ def write_cube(cube: GridCube, root: str, mode: str = "errorifexists", layout: s
             for d, labels in (labels_of(written, scanned) if scanned else {}).items():
                 index[d] = labels[::-1] if d in cube.descending else labels
     elif layout == "packed":
-        write(pack_chunks(cube.replace(index=index), grid), "chunks", [c for c in cube.dims if c not in grid])
+        laid_out = cube.packed is not None and cube.packed.grid == tuple(grid) and PRESENT in cube.packed.frame.columns \
+            and all(cube.index.get(d) == index.get(d) for d in grid)
+        keys = [c for c in cube.dims if c not in grid]
+        chunks = cube.packed.frame.select(*keys, *cube.data_vars, PRESENT) if laid_out else \
+            pack_chunks(cube.replace(index=index), grid)
+        write(chunks, "chunks", keys)
     else:
         raise ValueError(f"unknown layout {layout!r}")
     tables = _write_coords(cube, root, before, types)
@@ -295,9 +300,11 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
     data_vars = tuple(v for v in meta["data_vars"] if v not in drop)
     dims = tuple(meta["dims"])
     index = stored_index(spark, root, meta)
+    packed = None
     if meta["layout"] == "packed":
-        cells = unpack_chunks(_read(spark, root, meta, "chunks"), dims, data_vars, tuple(meta["grid"]), index,
-                              meta.get("grid_types", {}))
+        chunks, grid = _read(spark, root, meta, "chunks"), tuple(meta["grid"])
+        packed = Packed(chunks.drop(*drop), grid, meta.get("grid_types", {}))
+        cells = unpack_chunks(chunks, dims, data_vars, grid, index, packed.types)
         coords = {}
     else:
         raw = _read(spark, root, meta, "cells")
@@ -313,18 +320,19 @@ def read_cube(spark: SparkSession, root: str, drop_variables=(), decode_times: b
         attrs={k: v for k, v in meta["attrs"].items() if k not in drop},
         ds_attrs=meta["ds_attrs"], encodings=meta["encodings"],
         descending=frozenset(meta["descending"]), bare_dims=frozenset(meta["bare_dims"]),
-        index=index,
+        index=index, packed=packed,
     )
     if decode_cf:
+        from gridcube.sources.packed import map_values
         from gridcube.functions.cf import mask_and_scale
-        packed = {v: mask_and_scale(F.col(v), cube.var_attrs(v)) for v in cube.data_vars
-                  if any(k in cube.var_attrs(v) for k in ("_FillValue", "missing_value",
-                                                           "scale_factor", "add_offset"))}
-        if packed:
+        encoded = {v: (lambda x, a=cube.var_attrs(v): mask_and_scale(x, a)) for v in cube.data_vars
+                   if any(k in cube.var_attrs(v) for k in ("_FillValue", "missing_value",
+                                                            "scale_factor", "add_offset"))}
+        if encoded:
             attrs = {k: {a: b for a, b in v.items() if a not in ("_FillValue", "missing_value",
                                                                   "scale_factor", "add_offset")}
-                     if k in packed else v for k, v in cube.attrs.items()}
-            cube = cube.with_values(cube.cells.withColumns(packed), attrs=attrs)
+                     if k in encoded else v for k, v in cube.attrs.items()}
+            cube = map_values(cube, encoded, attrs=attrs)
     if not decode_times:
         from gridcube.functions.calendar import encode_time, parse_units
         cols = {}
