@@ -120,13 +120,13 @@ def ensemble_config(y_increasing: bool | None = None, lead_is_month: bool = True
 
 def listing(spark: SparkSession, sf_dir: str, month_names: bool = False) -> DataFrame:
     """One file per order: ``path``, ``modificationTime`` (plus the order key).
-    160 orders share a member: of those in one month only the newest counts, so
-    about four in ten files are read, however many orders there are."""
+    800 orders share a member, ten of them a month: the newest counts, so one
+    file in ten is read, however many orders there are."""
     o = table(spark, sf_dir, "orders")
     month = (F.date_format("o_orderdate", "yyyy-MMM") if month_names
              else F.substring(F.col("o_orderdate").cast("string"), 1, 7))
     path = F.concat(F.lit("/data/run"), F.col("o_orderkey").cast("string"), F.lit("/fc_"),
-                    month, F.lit("_m"), F.expr("o_orderkey div 160 + 1").cast("string"), F.lit(".nc"))
+                    month, F.lit("_m"), F.expr("o_orderkey div 800 + 1").cast("string"), F.lit(".nc"))
     return o.select(path.alias("path"), F.col("o_orderdate").alias("modificationTime"),
                     F.col("o_orderkey"))
 

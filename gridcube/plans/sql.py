@@ -17,7 +17,7 @@ GROUP BY 1, 2, 3, 4, 5
 LISTING = """
 SELECT concat('/data/run', CAST(o_orderkey AS VARCHAR), '/fc_',
               substr(CAST(o_orderdate AS VARCHAR), 1, 7),
-              '_m', CAST(o_orderkey // 160 + 1 AS VARCHAR), '.nc') AS path,
+              '_m', CAST(o_orderkey // 800 + 1 AS VARCHAR), '.nc') AS path,
        o_orderdate AS modificationTime, o_orderkey
 FROM orders
 """
@@ -25,7 +25,7 @@ FROM orders
 LISTING_ABBREV = """
 SELECT concat('/data/run', CAST(o_orderkey AS VARCHAR), '/fc_',
               strftime(o_orderdate, '%Y-%b'),
-              '_m', CAST(o_orderkey // 160 + 1 AS VARCHAR), '.nc') AS path,
+              '_m', CAST(o_orderkey // 800 + 1 AS VARCHAR), '.nc') AS path,
        o_orderdate AS modificationTime, o_orderkey
 FROM orders
 """
