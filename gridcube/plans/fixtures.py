@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridcube.functions.calendar import month_start
 from gridcube.model import GridCube
+from gridcube.session import shared_dir
 
 PROVIDER_NAMES = {"S": "init_time", "M": "number", "L": "step", "Y": "latitude", "X": "longitude"}
 STANDARD_NAMES = {v: k for k, v in PROVIDER_NAMES.items()} | {"prate": "prcp"}
@@ -85,6 +86,20 @@ def standard_cube(spark: SparkSession, sf_dir: str) -> GridCube:
     )
 
 
+def computed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: written once, read by every pass
+    over it, where each would scan, join and shuffle the driver's tables again."""
+    path = shared_dir(df.sparkSession, "tables", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def computed_cube(spark: SparkSession, sf_dir: str) -> GridCube:
+    """:func:`standard_cube` for queries that pass over its cells more than once."""
+    cube = standard_cube(spark, sf_dir)
+    return cube.replace(cells=computed(cube.cells, "cube"))
+
+
 def raw_cube(spark: SparkSession, sf_dir: str) -> GridCube:
     """The fixture cube as a provider delivers it (provider names, GRIB attrs)."""
     cells = cube_cells(spark, sf_dir).withColumnsRenamed(PROVIDER_NAMES)
@@ -160,10 +175,11 @@ def descriptor(pattern: str = LISTING_PATTERN, parse_match=None, name: str = "ta
     return FileSetDescriptor(name=name, dir="/data", pattern=pattern, parse_match=parse_match)
 
 
-def comparison_cube(spark: SparkSession, sf_dir: str, shift: bool = True) -> GridCube:
-    """The fixture cube as another service would return it: every tas off by
-    1e-9, the 1997-01-01 start off by 1, latitudes off by 1e-9 (``shift``)."""
-    c = standard_cube(spark, sf_dir)
+def comparison_cube(spark: SparkSession, sf_dir: str, shift: bool = True, of: GridCube | None = None) -> GridCube:
+    """The fixture cube (or ``of``, where it is computed already) as another
+    service would return it: every tas off by 1e-9, the 1997-01-01 start off by
+    1, latitudes off by 1e-9 (``shift``)."""
+    c = of or standard_cube(spark, sf_dir)
     bump = F.when(F.col("S") == F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1.0)).otherwise(F.lit(0.0))
     cols = {"tas": F.col("tas") + F.lit(1e-9) + bump}
     if shift:

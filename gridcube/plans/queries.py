@@ -246,7 +246,7 @@ def q_promote_time_dim(spark, sf_dir):
     "SELECT S, M, Y, X, tas, prate FROM cube WHERE L = (SELECT min(L) FROM cube)"))
 def q_drop_scalar_coords(spark, sf_dir):
     from gridcube.operators.select import isel
-    c = isel(FX.standard_cube(spark, sf_dir), L=0)
+    c = isel(FX.computed_cube(spark, sf_dir), L=0)
     assert "L" in c.coords and not c.coords["L"].dims
     c = SC.drop_scalar_coords(c)
     return c.with_coords()
@@ -282,7 +282,7 @@ def q_drop_non_std(spark, sf_dir):
 SELECT c.* FROM cube c JOIN s USING (S) JOIN l USING (L)
 WHERE s.pos % 3 = 1 AND l.pos BETWEEN 0 AND 2""", s=axis_sql("S"), l=axis_sql("L")))
 def q_isel(spark, sf_dir):
-    return SL.isel(FX.standard_cube(spark, sf_dir), S=slice(1, None, 3), L=slice(0, 3)).cells
+    return SL.isel(FX.computed_cube(spark, sf_dir), S=slice(1, None, 3), L=slice(0, 3)).cells
 
 
 @query("sel", with_views("""
@@ -297,14 +297,14 @@ SELECT S, M, L, Y, X, tas FROM cube
 WHERE S = (SELECT min(S) FROM cube) AND M = (SELECT min(M) FROM cube) AND L = (SELECT min(L) FROM cube)
   AND Y = (SELECT max(Y) FROM cube) AND X = (SELECT min(X) FROM cube)"""))
 def q_probe_first(spark, sf_dir):
-    return SL.probe_first(FX.standard_cube(spark, sf_dir))
+    return SL.probe_first(FX.computed_cube(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ joins (ops 33-38)
 
 
-def _stored(spark, sf_dir):
-    c = FX.standard_cube(spark, sf_dir)
+def _stored(spark, sf_dir, of=None):
+    c = of or FX.computed_cube(spark, sf_dir)
     return c.replace(cells=c.cells.filter(F.col("S") < F.lit(STORED_BEFORE).cast("timestamp_ntz")))
 
 
@@ -333,7 +333,7 @@ GROUP BY path HAVING max(pos) - min(pos) + 1 <> count(*)""",
     y=axis_sql("Y", "stored", desc=True), l=axis_sql("L", "stored")))
 def q_check_region(spark, sf_dir):
     stored = _stored(spark, sf_dir)
-    assigned = _assigned(spark, sf_dir)
+    assigned = FX.computed(_assigned(spark, sf_dir).select("path", "init_time", "step", "latitude"), "assigned")
     axes = {"init_time": stored.axis("S").withColumnRenamed("S", "init_time"),
             "step": stored.axis("L").withColumnRenamed("L", "step"),
             "latitude": stored.axis("Y").withColumnRenamed("Y", "latitude")}
@@ -342,7 +342,8 @@ def q_check_region(spark, sf_dir):
 
 @query("align_to", with_views(f"SELECT * FROM cube WHERE S < TIMESTAMP '{STORED_BEFORE}'"))
 def q_align_to(spark, sf_dir):
-    return AL.align_to(FX.standard_cube(spark, sf_dir), _stored(spark, sf_dir)).cells
+    c = FX.computed_cube(spark, sf_dir)
+    return AL.align_to(c, _stored(spark, sf_dir, of=c)).cells
 
 
 @query("densify", with_views("""
@@ -351,7 +352,7 @@ FROM (SELECT DISTINCT S, Y, X FROM cube WHERE S = (SELECT min(S) FROM cube)) t
 CROSS JOIN (SELECT DISTINCT M FROM cube) m CROSS JOIN (SELECT DISTINCT L FROM cube) l
 LEFT JOIN cube c ON c.S = t.S AND c.M = m.M AND c.L = l.L AND c.Y = t.Y AND c.X = t.X"""))
 def q_densify(spark, sf_dir):
-    c = FX.standard_cube(spark, sf_dir)
+    c = FX.computed_cube(spark, sf_dir)
     axes = c.axes(["S", "M", "L"])  # one pass for all three axes
     s0 = axes["S"].orderBy("pos").first()["S"]
     template = c.cells.filter(F.col("S") == F.lit(s0)).select("S", "Y", "X").distinct()
@@ -371,7 +372,8 @@ ON a.s_pos = b.s_pos AND a.m_pos = b.m_pos AND a.l_pos = b.l_pos AND a.y_pos = b
     cube_b=CUBE_B, s=axis_sql("S"), m=axis_sql("M"), l=axis_sql("L"), y=axis_sql("Y", desc=True),
     yb=axis_sql("Y", "cube_b", desc=True), x=axis_sql("X")))
 def q_align_positional(spark, sf_dir):
-    a, b = FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir)
+    a = FX.computed_cube(spark, sf_dir)
+    b = FX.comparison_cube(spark, sf_dir, of=a)
     return AL.align_positional(a, b, "tas").select(*DIMS, "a", "b")
 
 
@@ -438,7 +440,8 @@ def _coords_sql() -> str:
 
 @query("compare_coords", with_views(_coords_sql(), cube_b=CUBE_B))
 def q_compare_coords(spark, sf_dir):
-    return QL.compare_coords(FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir))
+    a = FX.computed_cube(spark, sf_dir)
+    return QL.compare_coords(a, FX.comparison_cube(spark, sf_dir, of=a))
 
 
 _POS_VIEWS = dict(cube_b=CUBE_B, s=axis_sql("S"), m=axis_sql("M"), l=axis_sql("L"),
@@ -458,7 +461,8 @@ SELECT abs(a - b) AS max_diff, S, M, L, Y, X, a, b FROM pairs
 WHERE abs(a - b) IS NOT NULL AND NOT isnan(abs(a - b))
 ORDER BY abs(a - b) DESC, s_pos, m_pos, l_pos, y_pos, x_pos LIMIT 1""", **_POS_VIEWS, pairs=_PAIRS))
 def q_max_diff(spark, sf_dir):
-    a, b = FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir)
+    a = FX.computed_cube(spark, sf_dir)
+    b = FX.comparison_cube(spark, sf_dir, of=a)
     pairs = AL.align_positional(a, b, "tas")
     return QL.max_diff(pairs, list(DIMS))
 
@@ -482,7 +486,8 @@ LEFT JOIN pairs p ON p.S = st.S GROUP BY st.S"""
 
 @query("compare_cubes", with_views(_compare_sql(), **_POS_VIEWS, pairs=_PAIRS))
 def q_compare_cubes(spark, sf_dir):
-    return QL.compare_cubes(FX.standard_cube(spark, sf_dir), FX.comparison_cube(spark, sf_dir), "tas")
+    a = FX.computed_cube(spark, sf_dir)
+    return QL.compare_cubes(a, FX.comparison_cube(spark, sf_dir, of=a), "tas")
 
 
 # ------------------------------------------------------------------ windows, sorts (ops 45-48)
@@ -490,7 +495,7 @@ def q_compare_cubes(spark, sf_dir):
     "SELECT c.S, c.M, c.L, y.pos AS Y, c.X, c.tas, c.prate FROM cube c JOIN y USING (Y)",
     y=axis_sql("Y", desc=True)))
 def q_axis_position(spark, sf_dir):
-    return H.axis_position(FX.standard_cube(spark, sf_dir), "Y").cells
+    return H.axis_position(FX.computed_cube(spark, sf_dir), "Y").cells
 
 
 _WS = "".join(f"' || chr({ord(c)}) || '" for c in QL.PY_WHITESPACE)  # same characters as Spark
@@ -517,7 +522,7 @@ def q_pair_lines(spark, sf_dir):
     "SELECT c.S, c.M, c.L, c.Y, c.X, c.tas, y.pos AS y_pos FROM cube c JOIN y USING (Y)",
     y=axis_sql("Y")))
 def q_standardize_y(spark, sf_dir):
-    c = H.standardize_y(FX.standard_cube(spark, sf_dir), want_increasing=True)
+    c = H.standardize_y(FX.computed_cube(spark, sf_dir), want_increasing=True)
     return AL.with_positions(c, ["Y"]).select(*DIMS, "tas", F.col("Y_pos").alias("y_pos"))
 
 
@@ -525,7 +530,7 @@ def q_standardize_y(spark, sf_dir):
 SELECT c.S, c.M, c.L, c.Y, c.X, c.tas FROM cube c JOIN s USING (S)
 WHERE s.pos IN (0, (SELECT count(*) FROM s) // 2, (SELECT count(*) FROM s) - 1)""", s=axis_sql("S")))
 def q_sample_starts(spark, sf_dir):
-    c = FX.standard_cube(spark, sf_dir)
+    c = FX.computed_cube(spark, sf_dir)
     starts = QL.sample_starts(c)
     return c.cells.join(F.broadcast(starts.select("S")), "S", "left_semi").select(*DIMS, "tas")
 
@@ -536,7 +541,7 @@ def q_sample_starts(spark, sf_dir):
     "WHERE init_time = (SELECT min(init_time) FROM assigned)",
     **listing_views(), contents=CONTENTS, assigned=ASSIGNED))
 def q_concat_slices(spark, sf_dir):
-    assigned = _assigned(spark, sf_dir)
+    assigned = FX.computed(_assigned(spark, sf_dir), "assigned")
     t0 = assigned.agg(F.min("init_time")).first()[0]
     first = assigned.filter(F.col("init_time") == F.lit(t0))
     return IG.concat_slices(first, ["init_time", "number", "step", "latitude", "longitude"]) \
@@ -545,8 +550,8 @@ def q_concat_slices(spark, sf_dir):
 
 @query("append_times", with_views("SELECT * FROM cube"))
 def q_append_times(spark, sf_dir):
-    c = FX.standard_cube(spark, sf_dir)
-    stored = _stored(spark, sf_dir).cells
+    c = FX.computed_cube(spark, sf_dir)
+    stored = _stored(spark, sf_dir, of=c).cells
     new = c.cells.filter(F.col("S") >= F.lit(STORED_BEFORE).cast("timestamp_ntz"))
     return IG.append_times(stored, new, "S")
 
@@ -833,7 +838,7 @@ SELECT DISTINCT t AS init_time,
 FROM parsed WHERE t NOT IN (SELECT S FROM stored)""", **listing_views(),
     stored="SELECT * FROM cube WHERE S >= TIMESTAMP '1997-01-01' AND S < TIMESTAMP '2000-01-01'"))
 def q_late_start_guard(spark, sf_dir):
-    c = FX.standard_cube(spark, sf_dir)
+    c = FX.computed_cube(spark, sf_dir)
     stored = c.cells.filter(F.col("S").between(F.lit("1997-01-01").cast("timestamp_ntz"),
                                                F.lit("1999-12-31").cast("timestamp_ntz")))
     incoming = AL.new_times(_parsed(spark, sf_dir), stored.select("S"))
