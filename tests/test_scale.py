@@ -1,12 +1,48 @@
-"""Steps that are computed once, however large the input."""
+"""Steps that are computed once, or handed over together, however large the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridcube.plans import fixtures as FX
 from gridcube.plans.queries import QUERIES
+from gridcube.plans.strategy import settled
+from gridcube.sources import index as IX
+from gridcube.streaming import ingest as SI
 from tests.conftest import SF_SMALL
 
 
+@pytest.mark.parametrize("max_rows", [2, 100])
+def test_settled_table_reads_its_source_no_more(spark, tmp_path, max_rows):
+    rows = spark.range(10).select("id", F.expr("uuid()").alias("drawn"))
+    kept = settled(rows, str(tmp_path / "t"), max_rows)
+    assert sorted(kept.collect()) == sorted(kept.collect()) and kept.count() == 10
+    assert bool(kept.inputFiles()) == (max_rows == 2)
+
+
+def test_update_parses_a_large_listing_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(SI, "settled", lambda df, path: made.append(path) or settled(df, path, 1))
+    listing = spark.createDataFrame([(f"/d/fc_1999-0{k}_m1.nc", k) for k in (1, 2, 3)], "path string, modificationTime int") \
+        .withColumn("modificationTime", F.col("modificationTime").cast("timestamp"))
+
+    def decode(files):
+        assert files.inputFiles() and all("listing-" in f for f in files.inputFiles())
+        return files.select("path", F.lit(1.0).alias("Y"), F.lit(2.0).alias("v"), F.lit(None).cast("string").alias("error"))
+
+    store = str(tmp_path / "store")
+    assert SI.update(spark, FX.descriptor(), store, listing, decode, ["v"], ["Y"])
+    assert SI.read_cells(spark, store).count() == 3
+    assert len(made) == 1 and not list((tmp_path / "store_staging").glob("listing-*"))
+
+
+def test_an_axis_is_fingerprinted_once(spark, tmp_path, monkeypatch):
+    taken, real = [], IX.fingerprint
+    monkeypatch.setattr(IX, "fingerprint", lambda labels: taken.append(labels) or real(labels))
+    IX.save_index(spark, str(tmp_path), {"M": tuple(range(50)), "X": (1.0, 2.0)}, {"M": "int", "X": "double"})
+    assert len(taken) == 2
+    assert IX.load_index(spark, str(tmp_path), {"M": "int", "X": "double"}) == {"M": tuple(range(50)), "X": (1.0, 2.0)}
+
+
 @pytest.mark.parametrize("name", ["compare_coords", "align_positional", "max_diff", "compare_cubes", "check_region"])
 def test_the_cube_is_computed_once(spark, monkeypatch, name):
     made, real = [], FX.cube_cells
