@@ -1,11 +1,14 @@
 """Steps that are computed once, or handed over together, however large the input."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcube.plans import fixtures as FX
 from gridcube.plans.queries import QUERIES
 from gridcube.plans.strategy import settled
+from gridcube.sources import decode as DC
 from gridcube.sources import index as IX
 from gridcube.streaming import ingest as SI
 from tests.conftest import SF_SMALL
@@ -43,6 +46,27 @@ def test_an_axis_is_fingerprinted_once(spark, tmp_path, monkeypatch):
     assert IX.load_index(spark, str(tmp_path), {"M": "int", "X": "double"}) == {"M": tuple(range(50)), "X": (1.0, 2.0)}
 
 
+def test_small_files_are_handed_over_together():
+    frames = [pd.DataFrame({"path": [str(k)], "v": [float(k)], "error": [None]}) for k in range(1000)]
+    out = list(DC._together(iter(frames)))
+    assert len(out) == 1 and list(out[0]["v"]) == [f["v"][0] for f in frames]
+
+
+def test_small_files_of_other_types_stay_apart():
+    frames = [pd.DataFrame({"v": [1]}), pd.DataFrame({"v": [None]}), pd.DataFrame({"v": []}), pd.DataFrame({"v": [2]})]
+    assert [list(f["v"]) for f in DC._together(iter(frames))] == [[1], [None], [2]]
+
+
+def test_written_files_hold_the_rows_of_their_name(spark, tmp_path):
+    rows = [("b.nc", 2, 1.5), ("a.nc", 1, None), ("b.nc", None, 2.5)]
+    cells = spark.createDataFrame(rows, "file string, step int, tas double")
+    FX.write_files(cells, str(tmp_path / "raw"))
+    schema = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("tas", T.DoubleType())])
+    read = DC.decode_files(spark, str(tmp_path / "raw"), DC.parquet_decoder(["step", "tas"]), schema)
+    got = {(r.path.rsplit("/", 1)[1], r.step, r.tas, r.error) for r in read.collect()}
+    assert got == {(f, s, t, None) for f, s, t in rows}
+
+
 @pytest.mark.parametrize("name", ["compare_coords", "align_positional", "max_diff", "compare_cubes", "check_region"])
 def test_the_cube_is_computed_once(spark, monkeypatch, name):
     made, real = [], FX.cube_cells
