@@ -13,7 +13,7 @@ Every view is a lazy plan over the parquet tables, so its work grows with them.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcube.functions.calendar import month_start
@@ -40,23 +40,50 @@ def _grid_cols(partkey: str = "l_partkey") -> dict:
     }
 
 
+# Beside the line numbers (int) a cell can hold.
+_NO_LINE = 1 << 31
+
+
+def _cell() -> Column:
+    """What decides a line's cell, as one number: the remainders of its part (six
+    bits) and its supplier (three bits), then its line number; nulls count as well."""
+    part = F.coalesce(F.col("l_partkey") % 20 + 20, F.lit(0))
+    supplier = F.coalesce(F.col("l_suppkey") % 4 + 4, F.lit(0))
+    line = F.coalesce(F.col("l_linenumber").cast("bigint"), F.lit(_NO_LINE))
+    return line * 512 + supplier * 64 + part
+
+
+def _of_cell(cell: str) -> dict:
+    """The parts of a :func:`_cell`, each of the remainder that decides its labels."""
+    part, supplier = F.col(cell).bitwiseAND(F.lit(63)), F.shiftright(cell, 6).bitwiseAND(F.lit(7))
+    line = F.shiftright(cell, 9)
+    return {
+        "l_partkey": F.when(part > 0, part - 20),
+        "l_suppkey": F.when(supplier > 0, supplier - 4),
+        "l_linenumber": F.when(line != _NO_LINE, line.cast("int")),
+    }
+
+
 def cube_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture cube with standard names (S, M, L, Y, X, tas, prate)."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    """The fixture cube with standard names (S, M, L, Y, X, tas, prate).
+
+    The join shuffles every line, so a line brings its key, its cell as one
+    number and two values, and an order its month; labels are made from the
+    cells once the lines are grouped."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", _cell().alias("cell"), "l_quantity", "l_discount")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", month_start(F.col("o_orderdate")).alias("S"))
+    cells = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+               .groupBy("S", "cell")
+               .agg((F.lit(250) + F.avg("l_quantity")).alias("tas"),
+                    (F.max("l_discount") / F.lit(864000.0)).alias("prate")))
     g = _grid_cols()
-    keys = [
-        month_start(F.col("o_orderdate")).alias("S"),
-        (F.col("l_suppkey") % 4 + 1).alias("M"),
+    return cells.withColumns(_of_cell("cell")).select(
+        "S",
+        (F.col("l_suppkey") + 1).alias("M"),
         (F.col("l_linenumber") - 1).alias("L"),
         g["Y"].alias("Y"),
         g["X"].alias("X"),
-    ]
-    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-              .groupBy(*keys)
-              .agg((F.lit(250) + F.avg("l_quantity")).alias("tas"),
-                   (F.max("l_discount") / F.lit(864000.0)).alias("prate")))
+        "tas", "prate")
 
 
 RAW_ATTRS = {

@@ -1,5 +1,7 @@
 """Steps that are computed once, or handed over together, however large the input."""
 
+import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,31 @@ def test_the_cube_is_computed_once(spark, monkeypatch, name):
     out = QUERIES[name](spark, SF_SMALL)
     assert len(made) == 1
     assert not any("lineitem" in f for f in out.inputFiles())
+
+
+def test_a_line_takes_one_number_for_its_cell_through_the_join(spark):
+    """A line's part, supplier and line number are not shuffled beside its key and values."""
+    left = FX.cube_cells(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]
+    assert "l_partkey#" in left and " AS cell#" in left
+    made = next(x for x in left.splitlines() if "Project [" in x)
+    assert made.count(" AS ") == 1 and "l_orderkey#" in made and "l_quantity#" in made and "l_discount#" in made
+
+
+def test_cells_of_negative_null_and_large_keys(spark, tmp_path):
+    """Against the plain grouping; every part remainder, supplier remainder and line number is a cell of its own."""
+    numbers = [None, -2**31 + 1, -3, 0, 1, 7, 2**31 - 1]
+    keys = [(p, s, n) for p in [None, *range(-43, 44), 2**62, -2**62] for s in (None, -5, -3, 0, 2, 7, 2**61 + 3) for n in numbers]
+    rows = [(k % 5 or None, *key, float(k % 50), None if k % 7 == 0 else k % 11 / 100) for k, key in enumerate(keys)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double") \
+        .write.parquet(str(tmp_path / "lineitem.parquet"))
+    dates = [(k, datetime.datetime(1995, k, 3)) for k in (1, 2, 3)] + [(4, None), (1, datetime.datetime(1995, 1, 9)), (None, None)]
+    spark.createDataFrame(dates, "o_orderkey bigint, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    li, o = (FX.table(spark, str(tmp_path), n) for n in ("lineitem", "orders"))
+    want = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("S"), (F.col("l_suppkey") % 4 + 1).alias("M"),
+        (F.col("l_linenumber") - 1).alias("L"), (90 - 45 * (F.col("l_partkey") % 5)).cast("double").alias("Y"),
+        (90 * (F.expr("l_partkey div 5") % 4)).cast("double").alias("X")
+    ).agg((250 + F.avg("l_quantity")).alias("tas"), (F.max("l_discount") / 864000.0).alias("prate"))
+    got = FX.cube_cells(spark, str(tmp_path))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
