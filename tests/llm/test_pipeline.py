@@ -37,6 +37,16 @@ def test_stages_take_effect_and_clean_documents_stay(spark, tmp_path):
     assert again.exceptAll(docs).count() == 0 and docs.exceptAll(again).count() == 0
 
 
+def test_long_lines_are_judged_by_their_edits(spark):
+    """As shorter ones are: many small edits make no other line, another order of the words does."""
+    from tests.llm.test_lines import long_lines
+    texts = long_lines()
+    docs = spark.createDataFrame([(k, f"{text}\n{20 * 'abcdefg'[k]} own line", "en", "s", 0) for k, text in texts], DOC)
+    got = {r.doc_id: r for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert {k for k, r in got.items() if len(r.text) < 4000} == {1, 3}
+    assert all(r.n_chars == (len(r.text) if k in (1, 3) else 0) for k, r in got.items())
+
+
 def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     rng = random.Random(4)
     text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
