@@ -69,6 +69,43 @@ def test_written_files_hold_the_rows_of_their_name(spark, tmp_path):
     assert got == {(f, s, t, None) for f, s, t in rows}
 
 
+def test_a_backlog_of_files_is_loaded_delivery_by_delivery(spark, monkeypatch):
+    """No stream lists more files than a delivery has; all are loaded and in the ledger."""
+    from gridcube.plans.queries import _assigned
+    assigned = _assigned(spark, SF_SMALL)
+    files = assigned.select("path").distinct().count()
+    starts = assigned.select("path", "init_time").distinct().groupBy("init_time").count().agg(F.max("count")).first()[0]
+    most = max(starts, -(-files * 2 // 3))
+    monkeypatch.setattr(FX, "FILES_AT_ONCE", most, raising=False)
+    met, stores, load = [], set(), SI.FileLoader._load
+
+    def recorded(self, raw, batch, gated):
+        met.append((batch, raw.select("path").count()))
+        stores.add(self.store)
+        return load(self, raw, batch, gated)
+
+    monkeypatch.setattr(SI.FileLoader, "_load", recorded)
+    got = QUERIES["ingest_file_stream"](spark, SF_SMALL)
+    want = assigned.select("init_time", "number", "step", "latitude", "longitude", F.col("tas").cast("float").alias("tas"))
+    got = got.select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len(met) > 1 and max(n for _, n in met) <= most and sum(n for _, n in met) == files
+    ledger = SI.read_ledger(spark, *stores)
+    assert ledger.where("status = 'loaded'").count() == files and ledger.select("batch").distinct().count() == len(met)
+
+
+def test_deliveries_hold_whole_starts_in_order(spark, monkeypatch):
+    monkeypatch.setattr(FX, "FILES_AT_ONCE", 5)
+    at = [datetime.datetime(2000, m, 1) for m in range(1, 8)]
+    counts = [2, 3, 1, 9, 4, 1, 1]
+    files = spark.createDataFrame([(t,) for t, n in zip(at, counts) for _ in range(n)], "t timestamp_ntz")
+    bounds = FX.delivery_bounds(files)
+    assert bounds == [at[2], at[3], at[4], at[6]] and FX.delivery_bounds(files.limit(0)) == []
+    got = files.distinct().select("t", FX.delivery(F.col("t"), bounds).alias("k")).orderBy("t").collect()
+    assert [r["k"] for r in got] == [0, 0, 1, 2, 3, 3, 4]
+    assert files.select(FX.delivery(F.col("t"), []).alias("k")).distinct().collect()[0]["k"] == 0
+
+
 @pytest.mark.parametrize("name", ["compare_coords", "align_positional", "max_diff", "compare_cubes", "check_region"])
 def test_the_cube_is_computed_once(spark, monkeypatch, name):
     made, real = [], FX.cube_cells
